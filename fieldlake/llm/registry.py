@@ -1,11 +1,12 @@
 """The subpackage's queries and their SQL."""
 
-from fieldlake.llm import decontaminate, exact_dedup, html_text, near_dedup, quality, url_filter
+from fieldlake.llm import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, url_filter
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
