@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from fieldlake.llm import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, url_filter
+from fieldlake.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, near_dedup, quality, url_filter
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_licence_scan": licences.op5_licence_scan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -14,5 +15,6 @@ QUERIES = {
 
 SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
+    "op5_licence_scan": licences.OP5_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
