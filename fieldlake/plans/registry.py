@@ -1,4 +1,6 @@
 """The engine's queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from fieldlake.plans import spectra
+
+QUERIES = {**spectra.QUERIES}
+SQL = {**spectra.SQL}
