@@ -1,6 +1,6 @@
 """The engine's queries and their SQL."""
 
-from fieldlake.plans import spectra
+from fieldlake.plans import motion, spectra, statistics
 
-QUERIES = {**spectra.QUERIES}
-SQL = {**spectra.SQL}
+QUERIES = {**spectra.QUERIES, **statistics.QUERIES, **motion.QUERIES}
+SQL = {**spectra.SQL, **statistics.SQL, **motion.SQL}

@@ -111,9 +111,15 @@ class Checkpoints:
         return divergence_free(low_pass(w, self.grid.km))
 
     def union(self) -> DataFrame:
-        """All snapshots of all files as one table: paths are read together, nothing is copied."""
+        """All snapshots of all files as one table; nothing is copied."""
         files = sorted({f for f, _ in self._known()})
-        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{f}/vorticity/complex" for f in files])
+        out = None
+        for f in files:
+            part = self.spark.read.parquet(f"{self.path}/{f}/vorticity/complex")
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise KeyError("no snapshots")
+        return out
 
 
 def append_samples(samples: DataFrame, path: str, quantity: str) -> int:
