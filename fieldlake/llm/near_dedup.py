@@ -2,11 +2,10 @@
 
 A document's MinHash samples make its band keys and, folded into one parity bitmap, its odd
 sketch: the number of differing bits of two sketches tells their similarity, precisely where it
-is high.  Documents of equal sets are one class.  Within each bucket of equal band keys the
-classes are first linked with the bucket's least one where the sketches allow it and the full
-sets confirm it; then, in buckets that still hold several components, every pair across
-components whose sketches allow it is confirmed on the full sets.  Pairs inside one component
-need no check, since only the components are asked for.
+is high.  Documents of equal sets are one class.  In each bucket of equal band keys every class
+is paired with the bucket's least one; pairs whose sketches allow at least half the similarity
+make clusters.  Within a cluster, cut into parts of bounded size, all pairs of classes that
+aren't connected yet are compared on their full sets; then the same between its parts.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +29,8 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Sketches of more differing bits stand for less than 0.5; at 0.75, 57 are expected and 115 lie eight deviations off.
 MOST_BITS = 115
-#: Classes of a bucket that one cell of the pairwise step holds on either side.
-CELL = 2048
+#: Shingles of a cluster's part: a cell of the exact step holds one part, or two.
+CELL = 1_000_000
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -132,50 +130,77 @@ def _differing(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar: 100 * intersection >= 75 * union."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def links_between(sets: list[np.ndarray], labels: np.ndarray, left: int) -> list[tuple[int, int]]:
+    """Pairs whose full sets are similar, thinned to those that join different labels.
+
+    With ``left`` 0 all pairs are compared, else each of the first ``left`` sets with each of the
+    others; pairs of equal labels are joined already.  One pass over the others' shingles counts
+    a set's intersections with all of them.
+    """
+    labels, found, n = labels.copy(), [], len(sets)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    flag = np.zeros(int(at.max()) + 1, np.int32)
+    for i in range(left or n):
+        lo = left or i + 1
+        other = lo + np.nonzero((labels[lo:] != labels[i]) & (100 * np.minimum(sizes[lo:], sizes[i]) >= 75 * np.maximum(sizes[lo:], sizes[i])))[0]
+        if not len(other):
+            continue
+        own = at[ends[i] - sizes[i] : ends[i]]
+        flag[own] = 1
+        if len(other) * 2 > n - lo:
+            common = np.add.reduceat(flag[at[ends[lo] - sizes[lo] :]], ends[lo:] - sizes[lo:] - (ends[lo] - sizes[lo]))[other - lo]
+        else:
+            common = np.array([int(flag[at[ends[j] - sizes[j] : ends[j]]].sum()) for j in other])
+        flag[own] = 0
+        for j in other[100 * common >= 75 * (sizes[i] + sizes[other] - common)]:
+            if labels[j] != labels[i]:
+                found.append((i, int(j)))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def _confirm(cells: DataFrame, keys: list[str], side: str | None) -> DataFrame:
+    """Links (a, b) among the rows (rep, comp, text) of each cell, confirmed on full sets.
+
+    ``side`` names a boolean column: then only rows of different sides are compared.
+    """
+    id_type, id_arrow = cells.schema["rep"].dataType.simpleString(), to_arrow_type(cells.schema["rep"].dataType)
+    columns = [*keys, "rep", "comp", "text", *([side] if side else [])]
+    rows = cells.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *([F.desc(side)] if side else []), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        last: tuple[object, str, np.ndarray] = (None, "", np.zeros(0, np.uint64))
+        key, reps, comps, sets, left = None, [], [], [], 0
+
+        def done() -> list[tuple]:
+            if len(sets) < 2 or side and left in (0, len(sets)):
+                return []
+            labels = np.unique(np.array(comps), return_inverse=True)[1]
+            return [(min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in links_between(sets, labels, left)]
+
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, id_arrow), pa.array(b, id_arrow)], names=["a", "b"])
+
         for batch in batches:
-            ok = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b").to_pylist()):
-                if a != last[0] or last[1] != ta.as_py():
-                    last = (a, ta.as_py(), shingler(ta.as_py()))
-                sa, sb = last[2], shingler(tb)
-                n = len(np.intersect1d(sa, sb, assume_unique=True)) if 100 * min(len(sa), len(sb)) >= 75 * max(len(sa), len(sb)) else 0
-                ok.append(100 * n >= 75 * (len(sa) + len(sb) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    id_type = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
-
-
-def _across(cells: DataFrame) -> DataFrame:
-    """Pairs of classes of one bucket that stand in different components and whose sketches allow a link."""
-    id_type = cells.schema["rep"].dataType.simpleString()
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        i, j = cell["i"].iat[0], cell["j"].iat[0]
-        cell = cell.drop_duplicates("rep")
-        left, right = cell[cell["chunk"] == i], cell[cell["chunk"] == j]
-        sketch = np.stack(right["odd"].to_numpy()).astype(np.int64).view(np.uint64) if len(right) else np.zeros((0, SKETCH_BITS // 64), np.uint64)
-        reps, comps = right["rep"].to_numpy(), right["comp"].to_numpy()
-        found = []
-        for rep, comp, odd in zip(left["rep"], left["comp"], left["odd"]):
-            other = comps != comp
-            if i == j:
-                other &= reps > rep
-            at = np.nonzero(other)[0]
-            if len(at):
-                bits = np.bitwise_count(sketch[at] ^ np.asarray(odd, np.int64).view(np.uint64)).sum(1)
-                found += [(min(rep, r), max(rep, r)) for r in reps[at[bits <= MOST_BITS]]]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return cells.groupBy("key", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}").distinct()
+            found: list[tuple] = []
+            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+                if row[: len(keys)] != key:
+                    found += done()
+                    key, reps, comps, sets, left = row[: len(keys)], [], [], [], 0
+                rep, comp, text = row[len(keys) : len(keys) + 3]
+                s = shingler(text)
+                if len(s):
+                    reps.append(rep)
+                    comps.append(comp)
+                    sets.append(s)
+                    left += bool(side and row[-1])
+            yield emit(found)
+        yield emit(done())
+
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -193,31 +218,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low")).filter(F.col("size") > 1)
     buckets = written(keyed.join(shared, "key"), "buckets")
 
-    odd = classes.groupBy("rep").agg(F.min("odd").alias("odd"))
+    odd = classes.groupBy("rep").agg(F.min("odd").alias("odd"), F.max("n").alias("n"))
     star = buckets.filter(F.col("low") < F.col("rep")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b")), "b").join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a")), "a")
-    star = star.withColumn("bits", _differing("odd_a", "odd_b")).filter(F.col("bits") <= MOST_BITS)
-    first = written(star.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b"), "first-pairs")
-
-    texts = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shared-texts")
-    links = written(_confirm(first, texts), "first-links")
+    clusters = components(star.filter(_differing("odd_a", "odd_b") <= MOST_BITS))
+
+    sized = clusters.join(odd.select(F.col("rep").alias("node"), "n"), "node")
+    parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"))
+    members = sized.join(parts, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(members, "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = written(texts, "cluster-texts")
+    links = written(_confirm(texts.withColumn("comp", F.col("rep")), ["cluster", "part"], None), "links-within")
     comps = components(links)
-
-    placed = buckets.select("key", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    chunks = F.ceil(F.col("size") / CELL).cast("int")
-    cells = (
-        placed.join(mixed, "key", "left_semi").join(odd, "rep")
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", "rep", "comp", "odd", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    )
-    second = written(_across(cells).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not second.isEmpty():
-        more = written(_confirm(second, texts), "second-links")
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
+    if not texts.filter("parts > 1").isEmpty():  # what is left: links between parts of a large cluster that join components
+        wide = texts.filter("parts > 1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        cells = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+        cells = cells.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "comp", "text", (F.col("part") < F.col("other")).alias("is_left"))
+        links = links.unionByName(written(_confirm(cells, ["cluster", "i", "j"], "is_left"), "links-across"))
+        comps = components(links)
 
     whole = classes.select("digest", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n", "digest").join(whole, ["digest", "n"]).select("doc_id", "n", "component_id")
