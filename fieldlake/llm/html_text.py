@@ -37,6 +37,8 @@ CUT_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "widget widgets form search toolbar pagination pager skip banner paywall copyright tags toc".split()
 )
+#: Words of class names that say whether something is there.
+ABOUT = frozenset("has have with no without is".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
@@ -74,8 +76,9 @@ def _is_cut(tag: str, attrs: str) -> bool:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in CUT_ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id"):
-            for word in re.split(r"[^A-Za-z0-9]+", value):
-                if word.lower() in CUT_WORDS or any(w.lower() in CUT_WORDS for w in _WORDS.findall(word)):
+            for one in value.split():  # has-sidebar and the like speak of what is elsewhere
+                words = [w.lower() for part in re.split(r"[^A-Za-z0-9]+", one) if part for w in {part, *_WORDS.findall(part)}]
+                if not ABOUT.intersection(words) and CUT_WORDS.intersection(words):
                     return True
     return False
 

@@ -49,10 +49,10 @@ def test_empty_table(docs, labels, bench, name):
 
 
 def test_pages(spark):
-    rows = [(1, None, None), (2, "no scheme", ""), (3, "http://A.Example.COM/en/7?x", "<p>a"), (None, "x://", "<"), (3, "http://A.Example.COM/en/7?x", "<p>a")]
+    rows = [(1, None, None), (2, "no scheme", ""), (3, "http://A.Example.COM/en/7?x", "<p>a"), (None, "x://", "<p><"), (3, "http://A.Example.COM/en/7?x", "<p>a")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit(1))
     texts = html_text.extract(pages).collect()
-    assert sorted(r["text"] for r in texts) == ["", "", "", "a", "a"]
+    assert sorted(r["text"] for r in texts) == ["", "", "<", "a", "a"]
     found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages).collect()}
     assert found[3] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and found[2] == ("", "", None, "allow") and found[1] == ("", "", None, "allow")
     assert html_text.extract(pages.filter("false")).count() == url_filter.filter_urls(pages.filter("false")).count() == 0
