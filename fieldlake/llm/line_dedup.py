@@ -61,15 +61,16 @@ def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS, gram_chars: in
     lines = written(line_table(docs), "lines")
     prints = fingerprints(lines, gram_chars, run_chars)
     first = prints.groupBy("g").agg(F.min(F.struct("doc_id", "at")).alias("s"), F.count("*").alias("c")).filter(F.col("c") > 1).select("g", F.col("s.doc_id").alias("doc_s"), F.col("s.at").alias("at_s"))
-    meets = prints.join(first, "g").filter((F.col("doc_id") != F.col("doc_s")) | (F.col("at") != F.col("at_s")))
+    meets = prints.join(first.hint("merge"), "g").filter((F.col("doc_id") != F.col("doc_s")) | (F.col("at") != F.col("at_s")))
     low = F.lit(0xFFFFFFFF)
     pairs = meets.select(
         "doc_id", F.col("at").bitwiseAND(low).alias("row"), "doc_s", F.col("at_s").bitwiseAND(low).alias("row_s"), (F.shiftright("at", 32) - F.shiftright("at_s", 32)).cast("int").alias("shift")
     ).distinct()
     # A row is no copy of itself, and of two rows of one document the later key gives way.
     pairs = pairs.filter((F.col("doc_id") != F.col("doc_s")) | (F.col("row") != F.col("row_s")) | (F.col("shift") > 0))
-    both = pairs.join(lines.select("doc_id", "row", "hs", "ls").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).join(
-        lines.select(F.col("doc_id").alias("doc_s"), F.col("row").alias("row_s"), F.col("hs").alias("hs_s")).dropDuplicates(["doc_s", "row_s"]), ["doc_s", "row_s"]
+    # None of these tables is bounded: joins sort and merge at every size, and are never broadcast.
+    both = pairs.join(lines.select("doc_id", "row", "hs", "ls").dropDuplicates(["doc_id", "row"]).hint("merge"), ["doc_id", "row"]).join(
+        lines.select(F.col("doc_id").alias("doc_s"), F.col("row").alias("row_s"), F.col("hs").alias("hs_s")).dropDuplicates(["doc_s", "row_s"]).hint("merge"), ["doc_s", "row_s"]
     )
     # Along the offset, lines that agree; what stands alone or apart from the offset's overlap doesn't.
     at = both.withColumn("lo", F.greatest(F.lit(0), "shift"))
@@ -100,7 +101,7 @@ def dedup_lines(docs: DataFrame, *, run_chars: int = RUN_CHARS, gram_chars: int
     cuts = written(repeated_runs(docs, run_chars=run_chars, gram_chars=gram_chars), "cuts").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("cuts").alias("_cuts"))
     columns = [c for c in docs.columns if c not in ("lines", "removed")]
     keyed = docs.select(*columns, _row_key(text_or_empty("text")).alias("_key"))
-    met = keyed.join(cuts, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").drop("_doc", "_row", "_key")
+    met = keyed.join(cuts.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").drop("_doc", "_row", "_key")
     met = met.withColumn("_lines", _lines(F.col("text")))
     kept = F.expr("filter(_lines, (x, i) -> not exists(_cuts, c -> i >= c.lo and i < c.hi))")
     met = met.withColumn("_kept", F.when(F.col("_cuts").isNotNull(), kept))
