@@ -247,7 +247,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that no earlier near duplicate makes needless."""
     gone = near_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # not bounded, so never broadcast
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
