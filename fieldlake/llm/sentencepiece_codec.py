@@ -26,7 +26,7 @@ from fieldlake.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Code points of new units that one suffix array holds, and units whose ids a worker keeps.
-INDEX_CHARS, KEPT_UNITS = 400_000, 250_000
+INDEX_CHARS, KEPT_UNITS = 300_000, 150_000
 #: Longer units are merged with a heap, so that one of them doesn't lengthen the others' rounds.
 LONG_UNIT = 96
 _NONE = np.int32(2**31 - 1)
@@ -273,7 +273,7 @@ def _codec(path: str, vocabulary: Vocabulary) -> Codec:
 
 
 #: Characters of text taken at once from a batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
