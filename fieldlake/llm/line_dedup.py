@@ -1,26 +1,24 @@
-"""Repeated runs of lines, found by winnowing over line hashes, with DataFrame operations only.
-
-A line here ends at a line feed or after a sentence.  The hashes of two lines in a row make a
-gram; of every window of two grams the smaller one is a fingerprint, and so is every line that
-is long enough to count alone.  Any repeated run of three lines therefore shares a fingerprint
-with its copies.  Every fingerprint is joined with its first position in the corpus; along each
-pair of rows and offset the match is extended both ways as far as the line hashes agree; runs
-that are long enough are deleted where they come later, so that the first one always stays.
+"""Repeated runs of lines, found by grams of as many lines as a run needs, with DataFrame operations only.
+
+A line here ends at a line feed or after a sentence.  From every line on, the shortest sequence
+of lines that reaches the characters of a run is a gram, and so is the shortest one that ends
+with every line.  Each gram is a run by itself, and every line of a repeated run lies in a gram
+that lies in the run; so the lines to cut are those of all grams that also stand earlier in the
+corpus.  No gram is left out, whatever its lines' lengths, and the first one always stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table, text_or_empty, written
 
 #: A repeated run counts from so many characters on.
 RUN_CHARS = 120
-#: Shorter grams stand in unrelated documents by chance and are no fingerprints.
-GRAM_CHARS = 48
 _ENDS = r"(?<=\n)|(?<=[.!?][ \t])"
-_LAST = "9223372036854775807L"
+#: Lines whose lengths are added up at once: appending to arrays copies them.
+_BLOCK = 64
 
 
 def _lines(text):
@@ -39,66 +37,61 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", _row_key(F.col("t")).alias("row"), trimmed.alias("ts")).select("doc_id", "row", F.expr("transform(ts, x -> xxhash64(x))").alias("hs"), F.expr("transform(ts, x -> length(x))").alias("ls"))
 
 
-def fingerprints(lines: DataFrame, gram_chars: int, run_chars: int) -> DataFrame:
-    """g, doc_id and at (position and row key in one number) of every fingerprint."""
-    grams = lines.filter(F.size("hs") > 0).withColumn(
-        "gs",
-        F.expr(
-            f"transform(arrays_zip(slice(hs, 1, size(hs) - 1), slice(hs, 2, size(hs) - 1), slice(ls, 1, size(ls) - 1), slice(ls, 2, size(ls) - 1)), "
-            f"x -> if(x.`2` + x.`3` >= {gram_chars}, xxhash64(x.`0`, x.`1`), {_LAST}))"
-        ),
-    )
-    minima = f"""transform(
-        arrays_zip(gs, concat(array({_LAST}), gs), concat(slice(gs, 2, size(gs)), array({_LAST}))),
-        (x, i) -> if(i < size(gs) and x.gs <> {_LAST} and (x.gs <= x.`1` or x.gs <= x.`2`), struct(x.gs as g, i as pos), null))"""
-    alone = f"transform(arrays_zip(hs, ls), (x, i) -> if(x.ls >= {run_chars}, struct(xxhash64(x.hs, 1) as g, i as pos), null))"
-    found = F.expr(f"filter(concat({minima}, {alone}), x -> x is not null)")
-    return grams.select("doc_id", "row", F.explode(found).alias("f")).select(F.col("f.g").alias("g"), "doc_id", (F.shiftleft(F.col("f.pos").cast("long"), 32).bitwiseOR(F.col("row"))).alias("at"))
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value``, computed once, under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _sums(n: str, ls: str) -> str:
+    """The characters before each of ``n`` lines, and all of them."""
+    blocks = f"transform(sequence(0, ({n} - 1) div {_BLOCK}), b -> aggregate(slice({ls}, int(b) * {_BLOCK} + 1, {_BLOCK}), array(0), (a, l) -> array_append(a, element_at(a, -1) + l)))"
+    before = "aggregate(bs, array(0), (a, x) -> array_append(a, element_at(a, -1) + element_at(x, -1)))"
+    return _let(blocks, "bs", _let(before, "os", "array_append(flatten(transform(bs, (x, b) -> transform(slice(x, 1, size(x) - 1), v -> v + get(os, b)))), element_at(os, -1))"))
+
 
+def _search(low: str, high: str, holds: str) -> str:
+    """The least of low..high for which ``holds`` (of m), or high, by halving."""
+    step = f"(s, k) -> if(s.lo < s.hi, {_let('(s.lo + s.hi) div 2', 'q', _let('int(q)', 'm', f'if({holds}, struct(s.lo as lo, m as hi), struct(m + 1 as lo, s.hi as hi))'))}, s)"
+    return f"aggregate(steps, struct({low} as lo, {high} as hi), {step}, s -> s.lo)"
 
-def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS, gram_chars: int = GRAM_CHARS) -> DataFrame:
+
+def grams(lines: DataFrame, run_chars: int) -> DataFrame:
+    """g, doc_id, row, lo and hi (first line, line after the last) of every gram."""
+    n = "size(hs)"
+    # Of sums ps: where the gram from line i ends, and where the one that ends before line i starts (the last start that still reaches).
+    ahead = f"transform(filter(sequence(0, {n} - 1), i -> get(ps, {n}) - get(ps, i) >= {run_chars}), i -> shiftleft(bigint(i), 32) + {_search('i + 1', n, f'get(ps, m) - get(ps, i) >= {run_chars}')})"
+    back = f"transform(filter(sequence(1, {n}), i -> get(ps, i) >= {run_chars}), i -> shiftleft(bigint({_search('0', 'i', f'get(ps, i) - get(ps, m) < {run_chars}')} - 1), 32) + i)"
+    both = _let(_sums(n, "ls"), "ps", _let(f"sequence(0, int(ceil(log2({n} + 1))))", "steps", f"array_union({ahead}, {back})"))
+    found = f"transform({both}, w -> struct(xxhash64(slice(hs, int(shiftright(w, 32)) + 1, int(w & 4294967295) - int(shiftright(w, 32)))) as g, w))"
+    return lines.select("doc_id", "row", F.explode(F.expr(found)).alias("f")).select(F.col("f.g").alias("g"), "doc_id", "row", F.shiftright("f.w", 32).cast("int").alias("lo"), F.col("f.w").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("hi"))
+
+
+def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     """doc_id, row and cuts: (first line, line after the last) of every later repeated run."""
-    lines = written(line_table(docs), "lines")
-    prints = fingerprints(lines, gram_chars, run_chars)
-    first = prints.groupBy("g").agg(F.min(F.struct("doc_id", "at")).alias("s"), F.count("*").alias("c")).filter(F.col("c") > 1).select("g", F.col("s.doc_id").alias("doc_s"), F.col("s.at").alias("at_s"))
-    meets = prints.join(first.hint("merge"), "g").filter((F.col("doc_id") != F.col("doc_s")) | (F.col("at") != F.col("at_s")))
-    low = F.lit(0xFFFFFFFF)
-    pairs = meets.select(
-        "doc_id", F.col("at").bitwiseAND(low).alias("row"), "doc_s", F.col("at_s").bitwiseAND(low).alias("row_s"), (F.shiftright("at", 32) - F.shiftright("at_s", 32)).cast("int").alias("shift")
-    ).distinct()
-    # A row is no copy of itself, and of two rows of one document the later key gives way.
-    pairs = pairs.filter((F.col("doc_id") != F.col("doc_s")) | (F.col("row") != F.col("row_s")) | (F.col("shift") > 0))
-    # None of these tables is bounded: joins sort and merge at every size, and are never broadcast.
-    both = pairs.join(lines.select("doc_id", "row", "hs", "ls").dropDuplicates(["doc_id", "row"]).hint("merge"), ["doc_id", "row"]).join(
-        lines.select(F.col("doc_id").alias("doc_s"), F.col("row").alias("row_s"), F.col("hs").alias("hs_s")).dropDuplicates(["doc_s", "row_s"]).hint("merge"), ["doc_s", "row_s"]
-    )
-    # Along the offset, lines that agree; what stands alone or apart from the offset's overlap doesn't.
-    at = both.withColumn("lo", F.greatest(F.lit(0), "shift"))
-    same = at.withColumn(
-        "same", F.expr("transform(arrays_zip(slice(hs, lo + 1, size(hs)), slice(hs_s, lo - shift + 1, size(hs_s)), slice(ls, lo + 1, size(ls))), x -> if(x.`0` = x.`1`, x.`2`, -1))")
-    )
-    runs = F.expr(
-        f"""aggregate(concat(same, array(-1)),
-            cast(struct(0 as i, 0 as start, 0 as chars, array() as cuts) as struct<i:int, start:int, chars:int, cuts:array<struct<lo:int, hi:int>>>),
-            (s, l) -> if(l >= 0,
-                struct(s.i + 1 as i, s.start as start, s.chars + l as chars, s.cuts as cuts),
-                struct(s.i + 1 as i, s.i + 1 as start, 0 as chars, if(s.chars >= {run_chars}, array_append(s.cuts, struct(s.start as lo, s.i as hi)), s.cuts) as cuts)),
+    # Rows of equal id and text have equal places and rank alike, so that they are no copies of each other.
+    place = Window.partitionBy("g").orderBy("doc_id", "row", "lo")
+    later = grams(line_table(docs), run_chars).withColumn("place", F.rank().over(place)).filter("place > 1").select("doc_id", "row", F.struct("lo", "hi").alias("w"))
+    merged = F.expr(
+        """aggregate(concat(sort_array(ws), array(struct(2147483647 as lo, 2147483647 as hi))),
+            cast(struct(-1 as lo, -1 as hi, array() as cuts) as struct<lo:int, hi:int, cuts:array<struct<lo:int, hi:int>>>),
+            (s, w) -> if(w.lo <= s.hi,
+                struct(s.lo as lo, greatest(s.hi, w.hi) as hi, s.cuts as cuts),
+                struct(w.lo as lo, w.hi as hi, if(s.hi >= 0, array_append(s.cuts, struct(s.lo as lo, s.hi as hi)), s.cuts) as cuts)),
             s -> s.cuts)"""
     )
-    cuts = same.select("doc_id", "row", "lo", runs.alias("cuts")).filter(F.size("cuts") > 0).select("doc_id", "row", F.expr("transform(cuts, c -> struct(c.lo + lo as lo, c.hi + lo as hi))").alias("cuts"))
-    # At most as many as the row has fingerprints.
-    return cuts.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    # At most two windows for each of the row's lines.
+    return later.groupBy("doc_id", "row").agg(F.collect_set("w").alias("ws")).select("doc_id", "row", merged.alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, *, run_chars: int = RUN_CHARS, gram_chars: int = GRAM_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     """``docs`` with later repeated runs of ``run_chars`` or more cut out of text, and lines and removed added.
 
     ``lines`` counts a row's lines and ``removed`` those cut.  A run's first occurrence, by
-    doc_id and then position, stays.  Null texts stay null with no lines, empty ones have one;
+    doc_id, row key (of rows of one doc_id) and then position, stays.  Null texts stay null with no lines, empty ones have one;
     rows of a null doc_id are never cut and never a source; repeated rows (equal id and text)
     count as one and are treated alike.  n_chars, where ``docs`` has it, follows the new text.
     """
-    cuts = written(repeated_runs(docs, run_chars=run_chars, gram_chars=gram_chars), "cuts").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("cuts").alias("_cuts"))
+    cuts = written(repeated_runs(docs, run_chars=run_chars), "cuts").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("cuts").alias("_cuts"))
     columns = [c for c in docs.columns if c not in ("lines", "removed")]
     keyed = docs.select(*columns, _row_key(text_or_empty("text")).alias("_key"))
     met = keyed.join(cuts.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").drop("_doc", "_row", "_key")

@@ -217,6 +217,46 @@ def test_repeated_passages_go_and_their_first_stays(spark):
     assert before == after  # nothing is lost
 
 
+def brute_cuts(texts, run_chars=line_dedup.RUN_CHARS):
+    """(document, line) of every line in a run of so many characters that also stands earlier, pair by pair of positions."""
+    docs = [[x.strip() for x in re.split(r"(?<=\n)|(?<=[.!?][ \t])", t)] for t in texts]
+    cut = set()
+    for d, b in enumerate(docs):
+        for e, a in enumerate(docs[: d + 1]):
+            for shift in range(1 if d == e else 1 - len(a), len(b)):
+                run = []
+                for i in range(max(0, shift), len(b) + 1):
+                    if i < len(b) and i - shift < len(a) and b[i] == a[i - shift]:
+                        run.append(i)
+                        continue
+                    if sum(len(b[k]) for k in run) >= run_chars:
+                        cut.update((d, k) for k in run)
+                    run = []
+    return docs, cut
+
+
+def check_cuts(spark, texts):
+    docs, cut = brute_cuts(texts)
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    for d, ls in enumerate(docs):
+        kept = [x.strip() for x in re.split(r"(?<=\n)|(?<=[.!?][ \t])", rows[d]["text"])]
+        assert rows[d]["removed"] == sum((d, k) in cut for k in range(len(ls)))
+        assert [x for x in kept if x] == [x for k, x in enumerate(ls) if x and (d, k) not in cut]
+    return cut
+
+
+def test_runs_of_short_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    passage = [word() for _ in range(90)]
+    texts = []
+    for k in range(10):
+        lo, n = rng.randrange(30), rng.randint(35, 60)
+        texts.append("\n".join([word() for _ in range(rng.randint(0, 30))] + passage[lo : lo + n] + ["", ""] + [word() for _ in range(rng.randint(0, 30))]))
+    texts += ["\n".join(["same"] * 150), "\n".join([*["same"] * 40, "", "end"])]
+    assert len(check_cuts(spark, texts)) > 200
+
+
 # Near duplicates.
 
 
