@@ -59,8 +59,14 @@ def grams(lines: DataFrame, run_chars: int) -> DataFrame:
     """g, doc_id, row, lo and hi (first line, line after the last) of every gram."""
     n = "size(hs)"
     # Of sums ps: where the gram from line i ends, and where the one that ends before line i starts (the last start that still reaches).
-    ahead = f"transform(filter(sequence(0, {n} - 1), i -> get(ps, {n}) - get(ps, i) >= {run_chars}), i -> shiftleft(bigint(i), 32) + {_search('i + 1', n, f'get(ps, m) - get(ps, i) >= {run_chars}')})"
-    back = f"transform(filter(sequence(1, {n}), i -> get(ps, i) >= {run_chars}), i -> shiftleft(bigint({_search('0', 'i', f'get(ps, i) - get(ps, m) < {run_chars}')} - 1), 32) + i)"
+    ends = _search("i + 1", n, f"get(ps, m) - get(ps, i) >= {run_chars}")
+    starts = _search("0", "i", f"get(ps, i) - get(ps, m) < {run_chars}") + " - 1"
+    # Most grams have few lines: these are tried before the search.
+    for k in (4, 3, 2, 1):
+        ends = f"if(get(ps, i + {k}) - get(ps, i) >= {run_chars}, i + {k}, {ends})"
+        starts = f"if(get(ps, i) - get(ps, i - {k}) >= {run_chars}, i - {k}, {starts})"
+    ahead = f"transform(filter(sequence(0, {n} - 1), i -> get(ps, {n}) - get(ps, i) >= {run_chars}), i -> shiftleft(bigint(i), 32) + {ends})"
+    back = f"transform(filter(sequence(1, {n}), i -> get(ps, i) >= {run_chars}), i -> shiftleft(bigint({starts}), 32) + i)"
     both = _let(_sums(n, "ls"), "ps", _let(f"sequence(0, int(ceil(log2({n} + 1))))", "steps", f"array_union({ahead}, {back})"))
     found = f"transform({both}, w -> struct(xxhash64(slice(hs, int(shiftright(w, 32)) + 1, int(w & 4294967295) - int(shiftright(w, 32)))) as g, w))"
     return lines.select("doc_id", "row", F.explode(F.expr(found)).alias("f")).select(F.col("f.g").alias("g"), "doc_id", "row", F.shiftright("f.w", 32).cast("int").alias("lo"), F.col("f.w").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("hi"))

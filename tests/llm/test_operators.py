@@ -257,6 +257,17 @@ def test_runs_of_short_lines_against_brute_force(spark):
     assert len(check_cuts(spark, texts)) > 200
 
 
+def test_runs_of_two_lines_and_of_later_first_places_against_brute_force(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    pairs = [(line(rng.randint(55, 115)), line(rng.randint(66, 115))) for _ in range(60)]
+    texts = ["\n".join([line(rng.randint(20, 110)), *p, line(rng.randint(20, 110))]) for p in pairs for _ in range(2)]
+    # Pairs of lines stand first in runs that are too short, and only then in the run that is repeated.
+    a, b, c = line(50), line(50), line(50)
+    texts += ["\n".join([line(90), *x, line(90)]) for x in ((a, b), (b, c), (a, b, c), (a, b, c))]
+    assert len(check_cuts(spark, texts)) == 2 * len(pairs) + 3
+
+
 # Near duplicates.
 
 
