@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 A word is predicted from the words on both of its sides.  The vocabulary is the corpus's most
-frequent words and hash buckets for the others.  The network (embeddings of the window, one
+frequent words and hash buckets for the others.  A word of a bucket has the bucket's probability
+times its own share of the bucket by counts of the whole corpus, so that every distinct word is
+predicted, however many there are.  The network (embeddings of the window, one
 hidden layer, a softmax over word classes and one over the words of the class) is trained in
 numpy on masked positions of every document: each task trains a copy on its own documents, the
 copies are averaged by their numbers of positions, and the next round starts from the average.
@@ -16,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,18 +152,24 @@ class Trainer:
             self.seen += len(by)
 
 
+def _word_hash(word: bytes) -> int:
+    """As Spark's xxhash64."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 class Ids:
-    """Ids of a text's words; others than the frequent ones share buckets."""
+    """Ids of a text's words; others than the frequent ones share buckets, and have hashes."""
 
     def __init__(self, frequent: list[str]):
         self.get = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(frequent)}.get
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         ids = np.fromiter(map(self.get, words, repeat(-1)), np.int16, len(words))
         rare = np.nonzero(ids < 0)[0]
-        ids[rare] = VOCABULARY - BUCKETS + np.fromiter(map(crc32, map(words.__getitem__, rare.tolist())), np.int64, len(rare)) % BUCKETS
-        return ids
+        others = list(map(words.__getitem__, rare.tolist()))
+        ids[rare] = VOCABULARY - BUCKETS + np.fromiter(map(crc32, others), np.int64, len(rare)) % BUCKETS
+        return ids, np.fromiter(map(_word_hash, others), np.uint64, len(rare)).view(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,11 +178,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''").groupBy("word").count()
 
 
+def word_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
+    """hash and gain (logarithm of its count, by which it is likelier than an unseen word) of every word that has a bucket."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
+    rare = counts.join(F.broadcast(known), "word", "left_anti")
+    return rare.select(F.xxhash64("word").alias("hash"), F.log("count").alias("gain"))
+
+
+def unseen_shares(counts: DataFrame, frequent: list[str]) -> np.ndarray:
+    """The log-share of a word that the corpus doesn't have in each bucket, as one word more."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
+    bucket = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(BUCKETS)).cast("int").alias("bucket")
+    out = np.zeros(BUCKETS)
+    for r in counts.join(F.broadcast(known), "word", "left_anti").groupBy(bucket).agg(F.sum("count").alias("total")).collect():
+        out[r["bucket"]] = -np.log(r["total"] + 1)
+    return out
+
+
 class Network:
-    """Vocabulary and weights."""
+    """Vocabulary and weights; ``shares`` are those of the words outside the vocabulary, and ``unseen`` that of any other word of each bucket."""
 
-    def __init__(self, frequent: list[str], flat: np.ndarray):
-        self.frequent, self.flat = frequent, flat
+    def __init__(self, frequent: list[str], flat: np.ndarray, shares: DataFrame | None = None, unseen: np.ndarray | None = None):
+        self.frequent, self.flat, self.shares = frequent, flat, shares
+        self.unseen = np.zeros(BUCKETS) if unseen is None else unseen
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each document the sum of its words' log-probabilities; ``ids`` are those of all, one after another."""
@@ -195,20 +222,27 @@ class Network:
 
 
 def encode(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """doc_id and ids (16 bits a word) of every row, written down."""
+    """doc_id, row (its own number), ids (16 bits a word) and others (hashes of the words that have buckets) of every row, written down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids.of(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            found = [ids.of(t) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(o) for _, o in found)]).astype(np.int32)
+            others = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *(o for _, o in found)])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([x.tobytes() for x, _ in found], pa.binary()), others], names=["doc_id", "row", "ids", "others"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, ids binary"), "word-ids")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(run, f"doc_id {id_type}, row long, ids binary, others array<long>"), "word-ids")
 
 
 def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The most frequent words of all documents, and the counts of all ids."""
-    counts = written(word_counts(docs), "word-counts")
+    return _vocabulary(written(word_counts(docs), "word-counts"))
+
+
+def _vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = counts.orderBy(F.desc("count"), "word").limit(VOCABULARY - BUCKETS).collect()
     total = counts.agg(F.sum("count")).first()[0] or 0
     own = np.zeros(VOCABULARY)
@@ -217,6 +251,16 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["word"] for r in rows], own
 
 
+def fit(docs: DataFrame) -> tuple[Network, DataFrame]:
+    """A network trained on ``docs``, with the shares of all their words, and ``docs`` encoded."""
+    counts = written(word_counts(docs), "word-counts")
+    frequent, own = _vocabulary(counts)
+    encoded = encode(docs, frequent)
+    network = train(encoded, frequent, own)
+    network.shares, network.unseen = word_shares(counts, frequent), unseen_shares(counts, frequent)
+    return network, encoded
+
+
 def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     """Trains on masked positions of all documents: one position in ``stride`` each round."""
     flat = initial(counts)
@@ -247,24 +291,35 @@ def score(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
     Null, empty and blank texts have no words, a sum of 0 and a null mean.  Repeated rows give
     repeated results; other columns are ignored.  ``network`` is trained on ``docs`` unless given.
+    A given network without shares scores the buckets only; words that its corpus didn't have
+    count as one more word of their bucket.
     """
     if network is None:
-        frequent, counts = vocabulary(docs)
-        encoded = encode(docs, frequent)
-        network = train(encoded, frequent, counts)
+        network, encoded = fit(docs)
     else:
         encoded = encode(docs, network.frequent)
+    shares, network = network.shares, Network(network.frequent, network.flat, None, network.unseen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("ids").to_pylist()
             n = np.array([len(x) // 2 for x in raw], np.int64)
-            s = network.score(np.frombuffer(b"".join(raw), np.int16), n)
-            mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            ids = np.frombuffer(b"".join(raw), np.int16)
+            s = network.score(ids, n)
+            # All words of buckets as unseen ones; known words' shares are added where they differ.
+            rare = ids >= VOCABULARY - BUCKETS
+            s += np.bincount(np.repeat(np.arange(len(n)), n)[rare], network.unseen[ids[rare] - (VOCABULARY - BUCKETS)], len(n)) if len(n) else 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(s)], names=["doc_id", "row", "n_tokens", "log_likelihood"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    scores = encoded.mapInArrow(run, f"doc_id {id_type}, row long, n_tokens long, log_likelihood double")
+    if shares is not None:
+        # Neither table is bounded: joins sort and merge at every size.
+        words = encoded.select("row", F.explode("others").alias("hash"))
+        known = words.join(shares.hint("merge"), "hash").groupBy("row").agg(F.sum("gain").alias("gain"))
+        scores = scores.join(known.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return scores.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -68,6 +69,28 @@ def test_score_is_the_sum_over_words():
             assert s == pytest.approx(total, abs=1e-3)
 
 
+def test_every_word_is_predicted_by_its_own_share(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(words + words[:1000] + ["often"] * 9)] + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)] + ["w1499 w1499 Twice twice", None, ""]
+    docs = frame(spark, texts)
+    network, _ = lm_score.fit(docs)
+    counts = Counter(w for t in texts if t for w in t.lower().split())
+    frequent, bucket = set(network.frequent), lambda w: crc32(w.encode()) % lm_score.BUCKETS
+    totals = Counter()
+    for w, c in counts.items():
+        totals[bucket(w)] += c * (w not in frequent)
+    asked = [*texts, "xqzv unheard w1499", "xqzv"]
+    got = {r["doc_id"]: r for r in lm_score.score(frame(spark, asked), network).collect()}
+    plain = {r["doc_id"]: r for r in lm_score.score(frame(spark, asked), lm_score.Network(network.frequent, network.flat)).collect()}
+    for i, t in enumerate(asked):
+        ws = [w for w in (t or "").lower().split() if w not in frequent]
+        share = sum(np.log(max(1, counts[w]) / (totals[bucket(w)] + 1)) for w in ws)
+        assert got[i]["log_likelihood"] == pytest.approx(plain[i]["log_likelihood"] + share, abs=1e-6)
+    own = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs).collect()}
+    assert len(own) == len(texts) and all(np.isclose(own[i], got[i]["log_likelihood"], atol=0.5) for i in own)
+
+
 # Pages.
 
 PAGES = [
