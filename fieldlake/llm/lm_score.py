@@ -29,8 +29,8 @@ CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = 256
 SIDE, DIM, HIDDEN = 2, 16, 32
-#: A round masks one position in so many, another residue each time.
-ROUNDS, STRIDE = 3, 48
+#: A round masks one position in so many, another residue each time: over the rounds every position once.
+ROUNDS, STRIDE = 3, 3
 BATCH, RATE = 2048, 0.08
 #: Words scored at once.
 SCORE_WORDS = 8192
@@ -261,6 +261,12 @@ def fit(docs: DataFrame) -> tuple[Network, DataFrame]:
     return network, encoded
 
 
+def masked(raw: bytes, k: int, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
+    """The positions of a document's ids that round ``k`` masks: where rounds are as many as the stride, each position is masked in one of them."""
+    first = (crc32(raw[:64]) + k * max(1, stride // rounds)) % stride
+    return np.arange(first, len(raw) // 2, stride)
+
+
 def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     """Trains on masked positions of all documents: one position in ``stride`` each round."""
     flat = initial(counts)
@@ -271,9 +277,8 @@ def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: i
             for batch in batches:
                 for raw in batch.column("ids").to_pylist():
                     x = np.frombuffer(raw, np.int16)
-                    first = (crc32(raw[:64]) + k * max(1, stride // rounds)) % stride
-                    if len(x) > first:
-                        at = np.arange(first, len(x), stride)
+                    at = masked(raw, k, rounds, stride)
+                    if len(at):
                         trainer.add(windows(x, at), x[at].astype(np.int64))
             trainer.flush()
             if trainer.seen:

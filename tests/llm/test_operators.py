@@ -91,6 +91,23 @@ def test_every_word_is_predicted_by_its_own_share(spark):
     assert len(own) == len(texts) and all(np.isclose(own[i], got[i]["log_likelihood"], atol=0.5) for i in own)
 
 
+def test_rounds_mask_every_position_once():
+    rng = np.random.default_rng(5)
+    for n in [*range(40), 1000]:
+        raw = rng.integers(0, 1024, n).astype(np.int16).tobytes()
+        masked = [lm_score.masked(raw, k) for k in range(lm_score.ROUNDS)]
+        assert sorted(np.concatenate(masked)) == list(range(n))
+
+
+def test_short_documents_train_with_production_values(spark):
+    """Every document is shorter than the positions that were once skipped."""
+    train = frame(spark, [t for _ in range(1500) for t in ("the red house", "a blue boat", "old green hill")])
+    frequent, counts = lm_score.vocabulary(train)
+    network = lm_score.train(lm_score.encode(train, frequent), frequent, counts)
+    rows = {r["doc_id"]: r for r in lm_score.score(frame(spark, ["the red house", "house the red"]), network).collect()}
+    assert rows[0]["mean_log_likelihood"] > rows[1]["mean_log_likelihood"] + 0.2
+
+
 # Pages.
 
 PAGES = [
