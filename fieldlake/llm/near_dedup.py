@@ -2,9 +2,9 @@
 
 A document's MinHash samples make its band keys and, folded into one parity bitmap, its odd
 sketch: the number of differing bits of two sketches tells their similarity, precisely where it
-is high.  Documents of equal sets are one class.  In each bucket of equal band keys every class
-is paired with the bucket's least one; pairs whose sketches allow at least half the similarity
-make clusters.  Within a cluster, cut into parts of bounded size, all pairs of classes that
+is high.  Documents of equal sets are one class.  In each bucket of equal band keys all
+classes that aren't connected yet are compared by their sketches; pairs whose sketches allow at
+least half the similarity make clusters.  Within a cluster, cut into parts of bounded size, all pairs of classes that
 aren't connected yet are compared on their full sets; then the same between its parts.
 """
 
@@ -126,8 +126,59 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n long, digest binary, bands array<long>, odd array<long>")
 
 
-def _differing(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+def bucket_links(odd: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sketches of at most MOST_BITS differing bits that connect what all such pairs connect.
+
+    Each sketch is compared once with those that nothing has reached so far, so that groups of
+    near copies cost little; only sketches that are all dissimilar are compared all with all.
+    """
+    found, left, reached = [], np.arange(len(odd)), []
+    while len(left):
+        if not reached:
+            reached, left = [int(left[0])], left[1:]
+        i = reached.pop()
+        near = np.bitwise_count(odd[left] ^ odd[i]).sum(1, dtype=np.int64) <= MOST_BITS
+        found += [(i, j) for j in left[near].tolist()]
+        reached += left[near].tolist()
+        left = left[~near]
+    return found
+
+
+def _propose(buckets: DataFrame) -> DataFrame:
+    """Links (a, b) among the rows (key, rep, odd) of each bucket."""
+    id_type, id_arrow = buckets.schema["rep"].dataType.simpleString(), to_arrow_type(buckets.schema["rep"].dataType)
+    words = SKETCH_BITS // 64
+    rows = buckets.select("key", "rep", "odd").repartition("key").sortWithinPartitions("key", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, odds = None, [], []
+
+        def done() -> list[tuple]:
+            if len(reps) < 2:
+                return []
+            return [(min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in bucket_links(np.concatenate(odds))]
+
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            a, b = zip(*set(found)) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, id_arrow), pa.array(b, id_arrow)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found: list[tuple] = []
+            keys, own = batch.column("key").to_numpy(), batch.column("rep").to_pylist()
+            odd = batch.column("odd").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            starts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+            for lo, hi in zip(starts, starts[1:]):
+                if keys[lo] != key:
+                    found += done()
+                    key, reps, odds = keys[lo], [], []
+                reps += own[lo:hi]
+                odds.append(odd[lo:hi])
+            yield emit(found)
+        yield emit(done())
+
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def links_between(sets: list[np.ndarray], labels: np.ndarray, left: int) -> list[tuple[int, int]]:
@@ -215,13 +266,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     known = signed.filter(F.col("n") > 0).filter(F.col("doc_id").isNotNull())
     classes = written(known.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "odd"), "doc_id").alias("s")).select("digest", "n", "rep", "s.bands", "s.odd"), "classes")
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low")).filter(F.col("size") > 1)
-    buckets = written(keyed.join(shared, "key"), "buckets")
-
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1).select("key")
     odd = classes.groupBy("rep").agg(F.min("odd").alias("odd"), F.max("n").alias("n"))
-    star = buckets.filter(F.col("low") < F.col("rep")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b")), "b").join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a")), "a")
-    clusters = components(star.filter(_differing("odd_a", "odd_b") <= MOST_BITS))
+    buckets = keyed.join(shared, "key").join(odd.select("rep", "odd"), "rep")
+    clusters = components(written(_propose(buckets), "proposed"))
 
     sized = clusters.join(odd.select(F.col("rep").alias("node"), "n"), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"))

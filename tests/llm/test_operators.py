@@ -351,6 +351,46 @@ def test_components_against_brute_force(spark, sf, monkeypatch, cell):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_bucket_links_connect_what_any_pair_connects():
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 3, 40, 120):
+        odd = rng.integers(0, 1 << 63, (max(1, m // 3), 8)).astype(np.uint64)[rng.integers(0, max(1, m // 3), m)]
+        odd ^= np.packbits(rng.random((m, 512)) < rng.choice([0.02, 0.1, 0.14])).view(np.uint64).reshape(m, 8)
+        links = near_dedup.bucket_links(odd)
+        bits = np.bitwise_count(odd[:, None] ^ odd[None]).sum(2, dtype=int)
+        assert all(bits[i, j] <= near_dedup.MOST_BITS for i, j in links)
+        same = [set(components_of(m, x)) for x in (links, [(i, j) for i in range(m) for j in range(i) if bits[i, j] <= near_dedup.MOST_BITS])]
+        assert same[0] == same[1]
+
+
+def components_of(m, links):
+    label = list(range(m))
+    for i, j in links:
+        old, new = label[j], label[i]
+        label = [new if x == old else x for x in label]
+    return [frozenset(i for i in range(m) if label[i] == x) for x in label]
+
+
+def test_neighbours_meet_where_the_least_of_their_bucket_is_another(spark):
+    """One bucket holds all documents, and the least one is like none of the others."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [" ".join(word() for _ in range(150))]
+    for _ in range(4):
+        base = [word() for _ in range(150)]
+        for k in range(3):
+            base[k * 40] = word()
+            texts.append(" ".join(base))
+    expected = components({i: shingles(t) for i, t in enumerate(texts)})
+    got = {}
+    signed = [(i, near_dedup.odd_sketch(near_dedup.signature(near_dedup.Shingler()(t))).tolist()) for i, t in enumerate(texts)]
+    buckets = spark.createDataFrame([(0, i, o) for i, o in signed], "key long, rep long, odd array<long>")
+    links = [(r["a"], r["b"]) for r in near_dedup._propose(buckets).collect()]
+    for i, group in enumerate(components_of(len(texts), links)):
+        got[i] = min(group)
+    assert got == expected and len(set(got.values())) == 5
+
+
 def test_odd_sketches_estimate():
     rng = np.random.default_rng(2)
     errors = []
