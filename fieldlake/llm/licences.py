@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table, text_or_empty
+from fieldlake.llm.licence_digests import DIGESTS
 from fieldlake.llm.licence_texts import known
 
 #: Known texts are a curated list; beyond this number it would have to be joined as a table.
@@ -53,11 +54,11 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     rows of a null doc_id results of their own; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = known() if texts is None else texts
+    texts, digests = (known(), DIGESTS) if texts is None else (texts, ())
     if len(texts) > MAX_KNOWN:
         raise ValueError(f"{len(texts)} known texts; {MAX_KNOWN} at most")
     own = spark.createDataFrame(texts, "licence string, body string")
-    own = own.select("licence", F.sha2(F.encode(canonical(F.col("body")), "UTF-8"), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    own = own.select("licence", F.sha2(F.encode(canonical(F.col("body")), "UTF-8"), 256).alias("digest")).unionByName(spark.createDataFrame(list(digests), "licence string, digest string")).groupBy("digest").agg(F.min("licence").alias("licence"))
     rows = docs.select("doc_id", text_or_empty("text").alias("t")).withColumn("row", F.xxhash64("t"))
     lines = F.split("t", "\n", -1)
     units = rows.select("doc_id", "row", F.posexplode(F.concat(F.array("t"), F.when(F.size(lines) > 1, lines).otherwise(F.array()))).alias("pos", "t"))

@@ -191,6 +191,14 @@ def test_licences(spark):
     assert rows[1]["whole_licence"] is None and rows[2]["licences"] == [] and rows[3]["licences"] == []
 
 
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")])
+def test_whole_licence_texts(spark, name, file):
+    text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+    texts = [text, text.replace(" ", "  ").upper(), text[: len(text) // 2], text + "\nand more"]
+    rows = {r["doc_id"]: r["whole_licence"] for r in licences.scan(frame(spark, texts)).collect()}
+    assert rows == {0: name, 1: name, 2: None, 3: None}
+
+
 # Leaks.
 
 
