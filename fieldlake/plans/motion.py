@@ -186,7 +186,7 @@ query("g5_tracers")(lambda s, d: G.tracers(s, 1000))
 query("g6_regular_cloud", f"WITH {V.PTS3} SELECT particle AS centre, CAST(m AS INTEGER) AS member, {r('x + ((m % 3) / 2 - 0.5) * 0.3', 'x')}, {r('y + ((m // 3 % 3) / 2 - 0.5) * 0.3', 'y')}, {r('z + ((m // 9) / 2 - 0.5) * 0.3', 'z')} FROM pts3, (SELECT unnest(range(27)) AS m)")(
     lambda s, d: rounded(G.regular_cloud(V.pts3(s, d), 3, 0.3), ["centre", "member"], ["x", "y", "z"])
 )
-query("g6_random_cloud")(lambda s, d: G.random_cloud(V.pts3(s, d), 4, 0.1))
+query("g6_random_cloud")(lambda s, d: G.random_cloud(V.orders3(s, d), 4, 0.1))
 query("g6_lattice", f"SELECT p AS particle, {r('p % 5 * 2 * pi() / 5', 'x')}, {r('p // 5 * 2 * pi() / 5', 'y')}, 0.0 AS z FROM (SELECT unnest(range(25)) AS p)")(lambda s, d: rounded(G.lattice(s, 5), ["particle"], ["x", "y", "z"]))
 
 _VOUT = f"WITH {V.VEC} SELECT snapshot, iz, iy, ix, {r('a', 'v0')}, {r('b', 'v1')}, {r('d', 'v2')} FROM vec"

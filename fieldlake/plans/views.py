@@ -51,10 +51,14 @@ def pts(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("particle"), (F.col("value") / 500 * 6.283185307179586).alias("x"))
 
 
+def orders3(spark, d) -> DataFrame:
+    """Orders as positions in the cube."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("particle"), (F.col("o_totalprice") % 7).alias("x"), (F.col("o_custkey") % 97 / 13.0).alias("y"), (F.col("o_orderkey") % 89 / 11.0 - 2.0).alias("z"))
+
+
 def pts3(spark, d) -> DataFrame:
-    """Order lines as positions in the cube."""
-    li = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
-    return li.select(F.col("o_orderkey").alias("particle"), (F.col("o_totalprice") % 7).alias("x"), (F.col("o_custkey") % 97 / 13.0).alias("y"), (F.col("o_orderkey") % 89 / 11.0 - 2.0).alias("z"))
+    """Every tenth order, as the SQL has it."""
+    return orders3(spark, d).filter("particle % 10 = 0")
 
 
 SIG = "sig AS (SELECT vec_id AS snapshot, unnest(range(64)) AS ix, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"

@@ -18,3 +18,10 @@ def test_runs(spark, sf, name):
 
 def test_sql_belongs_to_queries():
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_random_clouds_stand_around_every_order(spark, sf):
+    from fieldlake.plans.motion import QUERIES
+
+    orders = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    assert {r[0] for r in QUERIES["g6_random_cloud"](spark, sf).select("centre").collect()} == orders
