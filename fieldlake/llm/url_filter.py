@@ -1,16 +1,15 @@
 """URL rules in a sorted digest array: 64-bit xxhash keys, memory-mapped on every executor.
 
 A rule is a string ``host/path-prefix`` with an action.  The rules are held as one file: the
-sorted keys, the ends of the rules' strings, the actions, and the strings.  The file goes from
-the shared folder to every executor, which maps it into memory; a batch of urls makes all
-candidate keys (every suffix of the host at a dot, every path prefix of a length that some rule
-has), finds them by vectorised binary search, and confirms each find on the stored string.
+lengths that rules' paths have, the sorted keys, the ends of the rules' strings, the actions,
+and the strings.  The file goes from the shared folder to every executor, which maps it into
+memory and reads no rule but those it asks for; a batch of urls makes all candidate keys (every
+suffix of the host at a dot, every path prefix of a length that some rule has), finds them by
+vectorised binary search, and confirms the finds on the stored strings, all at once.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +23,9 @@ from fieldlake.llm.common import put_bytes, table
 
 ACTIONS = ("allow", "block")
 #: The rules of the query: (action, host/path).
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
-#: Rules are a curated list; more than this do not belong into one mapped file.
-MAX_RULES = 50_000_000
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+#: Rules are a curated list that the driver sorts; more than this do not belong into one mapped file.
+MAX_RULES = 2_000_000
 
 
 def build_index(rules: Iterable[tuple[str, str]]) -> bytes:
@@ -37,9 +36,11 @@ def build_index(rules: Iterable[tuple[str, str]]) -> bytes:
     keyed = sorted((xxhash.xxh64_intdigest(r.encode()), r, a) for r, a in own.items())
     keys = np.array([k for k, _, _ in keyed], np.uint64)
     strings = [r.encode() for _, r, _ in keyed]
-    ends = np.cumsum([len(s) for s in strings], dtype=np.int64) if strings else np.zeros(0, np.int64)
-    actions = np.array([a for _, _, a in keyed], np.uint8)
-    return struct.pack("<q", len(keys)) + keys.tobytes() + ends.tobytes() + actions.tobytes() + b"".join(strings)
+    starts = np.r_[0, np.cumsum([len(s) for s in strings], dtype=np.int64)].astype(np.int64)
+    run = int(np.unique(keys, return_counts=True)[1].max()) if len(keys) else 0  # most rules of one key
+    lengths = sorted({len(r.partition("/")[2]) + 1 for r in own})
+    head = np.array([len(keys), run, len(lengths), *lengths], np.int64)
+    return head.tobytes() + keys.tobytes() + starts.tobytes() + bytes(a for _, _, a in keyed) + b"".join(strings)
 
 
 class DigestIndex:
@@ -47,44 +48,53 @@ class DigestIndex:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n = struct.unpack("<q", raw[:8].tobytes())[0]
-        self.keys = raw[8 : 8 + 8 * n].view(np.uint64)
-        self.ends = raw[8 + 8 * n : 8 + 16 * n].view(np.int64)
-        self.actions = raw[8 + 16 * n : 8 + 17 * n]
-        self.raw, self.base = raw, 8 + 17 * n
-        paths = [self.rule(k).partition("/")[2] for k in range(n)]
-        self.prefix_lengths = sorted({len(p) + 1 for p in paths})
-        _, runs = np.unique(self.keys, return_counts=True)
-        self.run = int(runs.max()) if n else 0
+        n, self.run, k = (int(x) for x in raw[:24].view(np.int64))
+        self.prefix_lengths = raw[24 : 24 + 8 * k].view(np.int64).tolist()
+        at = 24 + 8 * k
+        self.keys = raw[at : at + 8 * n].view(np.uint64)
+        self.starts = raw[at + 8 * n : at + 16 * n + 8].view(np.int64)
+        self.actions = raw[at + 16 * n + 8 : at + 17 * n + 8]
+        self.letters = raw[at + 17 * n + 8 :]
 
     def rule(self, k: int) -> str:
-        lo = self.ends[k - 1] if k else 0
-        return self.raw[self.base + lo : self.base + self.ends[k]].tobytes().decode()
+        return self.letters[self.starts[k] : self.starts[k + 1]].tobytes().decode()
+
+    def _equal(self, rules: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each rule's string is that of its probe."""
+        same = self.starts[rules + 1] - self.starts[rules] == sizes
+        own = np.nonzero(same & (sizes > 0))[0]
+        if len(own):
+            step = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+            stored = self.letters[np.repeat(self.starts[rules[own]], sizes[own]) + step]
+            asked = letters[np.repeat(starts[own], sizes[own]) + step]
+            same[own] = np.logical_and.reduceat(stored == asked, np.cumsum(sizes[own]) - sizes[own])
+        return same
 
     def find(self, strings: list[str]) -> np.ndarray:
         """For each string the number of the equal rule, or -1."""
         out = np.full(len(strings), -1, np.int64)
         if not strings or not len(self.keys):
             return out
-        digest = xxhash.xxh64_intdigest
-        probes = np.fromiter((digest(s.encode("utf-8", "surrogatepass")) for s in strings), np.uint64, len(strings))
+        raw = [s.encode("utf-8", "surrogatepass") for s in strings]
+        probes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
         at = np.searchsorted(self.keys, probes)
         for step in range(self.run):  # several rules may share a key
             k = np.minimum(at + step, len(self.keys) - 1)
-            for i in np.nonzero((out < 0) & (self.keys[k] == probes))[0]:
-                if self.rule(int(k[i])) == strings[i]:
-                    out[i] = k[i]
+            hit = np.nonzero((out < 0) & (self.keys[k] == probes))[0]
+            hit = hit[self._equal(k[hit], letters, starts[hit], sizes[hit])]
+            out[hit] = k[hit]
         return out
 
 
-_URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host and path as the contract has them; both empty without a ``://``."""
-    m = _URL.match(url) if isinstance(url, str) else None
-    return (m[1].translate(_LOWER), m[2]) if m else ("", "")
+def split_url(url):
+    """Columns host and path as the contract has them; both empty without a ``://``."""
+    part = lambda k: F.coalesce(F.regexp_extract(url, _URL, k), F.lit(""))
+    return F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), part(2)
 
 
 def suffixes(host: str) -> Iterator[str]:
@@ -111,9 +121,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defa
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestIndex(SparkFiles.get(name))
         for batch in batches:
-            parts = [split_url(u) for u in batch.column("url").to_pylist()]
             owner, keys = [], []
-            for i, (host, path_) in enumerate(parts):
+            for i, (host, path_) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())):
                 if not host and not path_:
                     continue
                 lengths = [n for n in index.prefix_lengths if n <= len(path_)]
@@ -122,28 +131,27 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defa
                         owner.append(i)
                         keys.append(s + path_[:n])
             best: dict[int, tuple[int, int]] = {}
-            for i, k, s in zip(owner, index.find(keys), keys):
-                if k >= 0 and (i not in best or len(s) > best[i][0]):
-                    best[i] = (len(s), int(k))
-            rule = [index.rule(best[i][1]) if i in best else None for i in range(len(parts))]
-            verdict = [ACTIONS[index.actions[best[i][1]]] if i in best else default for i in range(len(parts))]
-            columns = [[h for h, _ in parts], [p for _, p in parts], rule, verdict]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "verdict"])
+            found = index.find(keys)
+            for at in np.nonzero(found >= 0)[0].tolist():
+                i, size = owner[at], len(keys[at])
+                if i not in best or size > best[i][0]:
+                    best[i] = (size, int(found[at]))
+            rule = [index.rule(best[i][1]) if i in best else None for i in range(batch.num_rows)]
+            verdict = [ACTIONS[index.actions[best[i][1]]] if i in best else default for i in range(batch.num_rows)]
+            columns = [batch.column(c) for c in ("page_id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(judge, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    host, path_ = split_url(F.col("url").cast("string"))
+    return pages.select("page_id", host.alias("host"), path_.alias("path")).mapInArrow(judge, f"page_id {id_type}, host string, path string, rule string, verdict string")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-def _fits(rule: str) -> str:
-    host, _, path = rule.partition("/")
-    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
-
-
-OP3_SQL = f"""
+#: The contract's five rules, spelt out here once more so that the SQL doesn't follow the engine's.
+OP3_SQL = """
 WITH u AS (
   SELECT page_id, strpos(url, '://') AS k, url FROM pages
 ), s AS (
@@ -151,9 +159,18 @@ WITH u AS (
 ), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s
-), r AS (
-  SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(RULES, key=lambda x: -len(x[1])))} END AS rule FROM p
 )
-SELECT page_id, host, path, rule,
-       CASE {" ".join(f"WHEN rule = '{r}' THEN '{a}'" for a, r in RULES)} ELSE 'allow' END AS verdict FROM r
+SELECT page_id, host, path,
+       CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+            WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
+       CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'allow'
+            WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'block'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'block'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'allow'
+            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM p
 """

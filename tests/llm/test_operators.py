@@ -153,6 +153,19 @@ def test_rules_survive_colliding_keys(monkeypatch, tmp_path):
     assert [index.rule(int(k)) if k >= 0 else None for k in found] == ["b.com/x", "c.com/y", None, "a.com/x"]
 
 
+def test_the_five_rules(spark):
+    cases = [
+        ("http://example.com/en/7", "example.com/en/7", "allow"), ("http://a.b.Example.COM/en/78?x=/es/", "example.com/en/7", "allow"), ("http://example.com/en/8", "com/en/", "block"), ("http://notexample.com/en/7", "com/en/", "block"),
+        ("https://com/en/", "com/en/", "block"), ("http://example.com/EN/7", None, "allow"), ("http://example.com/en", None, "allow"), ("http://x.net/de/1", "net/de/", "allow"), ("http://example.net/de/7", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net/de/8", "block"), ("http://www.example.net/de/81#a", "example.net/de/8", "block"), ("http://badexample.net/de/8", "net/de/", "allow"), ("http://q.org/es/x", "org/es/", "block"),
+        ("http://q.org/x/es/", None, "allow"), ("http://q.org.uk/es/", None, "allow"), ("no scheme", None, "allow"), ("a://b://com/en/", None, "allow"), ("http://q.org?/es/", None, "allow"), (None, None, "allow"),
+    ]
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    rows = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages).collect()}
+    assert rows == {k: (rule, verdict) for k, (_, rule, verdict) in enumerate(cases)}
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules=(), default="block").collect()} == {"block"}
+
+
 # Tokens.
 
 SP = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
