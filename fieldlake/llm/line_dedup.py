@@ -1,15 +1,18 @@
-"""Repeated runs of lines, found by grams of as many lines as a run needs, with DataFrame operations only.
+"""Repeated runs of lines by winnowing over line hashes, with DataFrame operations only.
 
 A line here ends at a line feed or after a sentence.  From every line on, the shortest sequence
-of lines that reaches the characters of a run is a gram, and so is the shortest one that ends
-with every line.  Each gram is a run by itself, and every line of a repeated run lies in a gram
-that lies in the run; so the lines to cut are those of all grams that also stand earlier in the
-corpus.  No gram is left out, whatever its lines' lengths, and the first one always stays.
+of lines that reaches the characters of a run is a window; the least line hash in it is its
+fingerprint, and neighbouring windows mostly share one.  A repeated run holds at least the window
+from its first line, whose fingerprint is the same in every copy: so fingerprints that stand in
+one place only rule their windows out, and none of a repeated run is lost.  Around the places
+that are left, every window and every sequence that goes on from it to a later last line is
+compared whole with those of all other places; what stands earlier too is cut, and overlapping
+sequences extend each other both ways to the whole run.  A run's first place always stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table, text_or_empty, written
@@ -17,8 +20,13 @@ from fieldlake.llm.common import table, text_or_empty, written
 #: A repeated run counts from so many characters on.
 RUN_CHARS = 120
 _ENDS = r"(?<=\n)|(?<=[.!?][ \t])"
+_WHITE = " \t\n\x0b\f\r"
+#: Lines under so many characters are fingerprints only of windows that have no others.
+LONG_LINE = 16
 #: Lines whose lengths are added up at once: appending to arrays copies them.
 _BLOCK = 64
+#: Keys of over HOT_ROWS rows are hot; so many of them, the most frequent, are joined by broadcast and the others by sort and merge.
+HOT_KEYS, HOT_ROWS = 4096, 2000
 
 
 def _lines(text):
@@ -26,13 +34,13 @@ def _lines(text):
 
 
 def _row_key(text):
-    """What tells rows of one doc_id apart, in 32 bits."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, row, hs (hashes of trimmed lines) and ls (their lengths) of rows that have both a doc_id and text."""
-    trimmed = F.transform(_lines(F.col("t")), lambda x: F.trim(F.regexp_replace(x, r"\s+$", "")))
+    trimmed = F.transform(_lines(F.col("t")), lambda x: F.btrim(x, F.lit(_WHITE)))
     rows = docs.select("doc_id", text_or_empty("text").alias("t")).filter(F.col("doc_id").isNotNull() & (F.length("t") >= RUN_CHARS))
     return rows.select("doc_id", _row_key(F.col("t")).alias("row"), trimmed.alias("ts")).select("doc_id", "row", F.expr("transform(ts, x -> xxhash64(x))").alias("hs"), F.expr("transform(ts, x -> length(x))").alias("ls"))
 
@@ -52,31 +60,56 @@ def _sums(n: str, ls: str) -> str:
 def _search(low: str, high: str, holds: str) -> str:
     """The least of low..high for which ``holds`` (of m), or high, by halving."""
     step = f"(s, k) -> if(s.lo < s.hi, {_let('(s.lo + s.hi) div 2', 'q', _let('int(q)', 'm', f'if({holds}, struct(s.lo as lo, m as hi), struct(m + 1 as lo, s.hi as hi))'))}, s)"
-    return f"aggregate(steps, struct({low} as lo, {high} as hi), {step}, s -> s.lo)"
-
-
-def grams(lines: DataFrame, run_chars: int) -> DataFrame:
-    """g, doc_id, row, lo and hi (first line, line after the last) of every gram."""
-    n = "size(hs)"
-    # Of sums ps: where the gram from line i ends, and where the one that ends before line i starts (the last start that still reaches).
-    ends = _search("i + 1", n, f"get(ps, m) - get(ps, i) >= {run_chars}")
-    starts = _search("0", "i", f"get(ps, i) - get(ps, m) < {run_chars}") + " - 1"
-    # Most grams have few lines: these are tried before the search.
-    for k in (4, 3, 2, 1):
-        ends = f"if(get(ps, i + {k}) - get(ps, i) >= {run_chars}, i + {k}, {ends})"
-        starts = f"if(get(ps, i) - get(ps, i - {k}) >= {run_chars}, i - {k}, {starts})"
-    ahead = f"transform(filter(sequence(0, {n} - 1), i -> get(ps, {n}) - get(ps, i) >= {run_chars}), i -> shiftleft(bigint(i), 32) + {ends})"
-    back = f"transform(filter(sequence(1, {n}), i -> get(ps, i) >= {run_chars}), i -> shiftleft(bigint({starts}), 32) + i)"
-    both = _let(_sums(n, "ls"), "ps", _let(f"sequence(0, int(ceil(log2({n} + 1))))", "steps", f"array_union({ahead}, {back})"))
-    found = f"transform({both}, w -> struct(xxhash64(slice(hs, int(shiftright(w, 32)) + 1, int(w & 4294967295) - int(shiftright(w, 32)))) as g, w))"
-    return lines.select("doc_id", "row", F.explode(F.expr(found)).alias("f")).select(F.col("f.g").alias("g"), "doc_id", "row", F.shiftright("f.w", 32).cast("int").alias("lo"), F.col("f.w").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("hi"))
+    return f"aggregate(sequence(0, int(ceil(log2(size(ps) + 1)))), struct({low} as lo, {high} as hi), {step}, s -> s.lo)"
+
+
+def windows(lines: DataFrame, run_chars: int) -> DataFrame:
+    """rid (a row's own number), doc_id, row, hs and w of ``lines``.
+
+    w.ends holds the line after each first line's window; of neighbouring windows with one
+    fingerprint w.los holds the first of their first lines and w.gs the fingerprint; w.again
+    those fingerprints that the row has as several lines.
+    """
+    end = _search("i + 1", "size(ps) - 1", f"get(ps, m) >= p + {run_chars}")
+    for k in (8, 7, 6, 5, 4, 3, 2, 1):  # most windows have few lines: these are tried before the search
+        end = f"if(get(ps, i + {k}) >= p + {run_chars}, i + {k}, {end})"
+    ends = _let(_sums("size(hs)", "ls"), "ps", f"transform(filter(slice(ps, 1, size(hs)), p -> p <= element_at(ps, -1) - {run_chars}), (p, i) -> {end})")
+    # The hashes of long lines are negative, so that short lines are the least only among themselves.
+    ranked = f"zip_with(hs, ls, (h, l) -> if(l >= {LONG_LINE}, h | shiftleft(1L, 63), h & 9223372036854775807L))"
+    least = _let(ranked, "ks", "transform(es, (e, i) -> array_min(slice(ks, i + 1, e - i)))")
+    heads = "filter(transform(fs, (f, i) -> if(i > 0 and get(fs, i - 1) = f, null, i)), i -> i is not null)"
+    twice = _let("sort_array(transform(hs, h -> h & 9223372036854775807L))", "xs", "filter(xs, (x, i) -> x = get(xs, i + 1))")
+    found = _let("transform(is, i -> get(fs, i) & 9223372036854775807L)", "gs", f"struct(es as ends, is as los, gs, array_intersect(gs, {twice}) as again)")
+    found = _let(ends, "es", _let(f"{least}", "fs", _let(heads, "is", found)))
+    return lines.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "row", "hs", F.expr(found).alias("w"))
+
+
+def _met(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` joined with ``known`` (g, n: how many rows have it, ...) by g, so that no frequent g lands in one task."""
+    hot = written(known.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "g").limit(HOT_KEYS), "hot-keys")  # bounded; rarer keys have under 1 / HOT_KEYS of the rows each
+    rest = rows.join(F.broadcast(hot.select("g")), "g", "left_anti").join(known.hint("merge"), "g")
+    return rows.join(F.broadcast(hot), "g").unionByName(rest)
+
+
+def grams(docs: DataFrame, run_chars: int) -> DataFrame:
+    """g, doc_id, row, lo and hi (first line, line after the last) of every sequence that may be repeated."""
+    lines = written(windows(line_table(docs), run_chars), "windows").select("rid", "doc_id", "row", "hs", "w.*")
+    counts = lines.select(F.explode(F.concat("gs", "again")).alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    places = lines.select("rid", F.explode(F.expr("transform(gs, (g, k) -> struct(g, get(los, k) as i, coalesce(get(los, k + 1), size(ends)) - 1 as j))")).alias("p")).select("rid", "p.*")
+    held = _met(places, written(counts, "fingerprints")).groupBy("rid").agg(F.collect_list(F.struct("i", "j")).alias("ranges"))  # at most the row's lines
+    # From each first line: its window, and what goes on from there until the next line's window ends.
+    spans = "flatten(transform(flatten(transform(ranges, r -> sequence(r.i, r.j))), i -> transform(sequence(get(ends, i), greatest(get(ends, i), coalesce(get(ends, i + 1), size(hs) + 1) - 1)), e -> struct(xxhash64(slice(hs, i + 1, e - i)) as g, i as lo, e as hi))))"
+    found = lines.select("rid", "doc_id", "row", "hs", "ends").join(held.hint("merge"), "rid")
+    return found.select("doc_id", "row", F.explode(F.expr(spans)).alias("f")).select("f.g", "doc_id", "row", "f.lo", "f.hi")
 
 
 def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     """doc_id, row and cuts: (first line, line after the last) of every later repeated run."""
-    # Rows of equal id and text have equal places and rank alike, so that they are no copies of each other.
-    place = Window.partitionBy("g").orderBy("doc_id", "row", "lo")
-    later = grams(line_table(docs), run_chars).withColumn("place", F.rank().over(place)).filter("place > 1").select("doc_id", "row", F.struct("lo", "hi").alias("w"))
+    own = written(grams(docs, run_chars), "grams")
+    place = F.struct("doc_id", "row", "lo")
+    # Rows of equal id and text have equal places, so that they are no copies of each other.
+    first = own.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = _met(own, written(first, "first-places")).filter(place > F.col("first")).select("doc_id", "row", F.struct("lo", "hi").alias("w"))
     merged = F.expr(
         """aggregate(concat(sort_array(ws), array(struct(2147483647 as lo, 2147483647 as hi))),
             cast(struct(-1 as lo, -1 as hi, array() as cuts) as struct<lo:int, hi:int, cuts:array<struct<lo:int, hi:int>>>),
@@ -85,7 +118,7 @@ def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
                 struct(w.lo as lo, w.hi as hi, if(s.hi >= 0, array_append(s.cuts, struct(s.lo as lo, s.hi as hi)), s.cuts) as cuts)),
             s -> s.cuts)"""
     )
-    # At most two windows for each of the row's lines.
+    # At most two sequences for each of the row's lines.
     return later.groupBy("doc_id", "row").agg(F.collect_set("w").alias("ws")).select("doc_id", "row", merged.alias("cuts"))
 
 

@@ -329,6 +329,29 @@ def test_runs_of_two_lines_and_of_later_first_places_against_brute_force(spark):
     assert len(check_cuts(spark, texts)) == 2 * len(pairs) + 3
 
 
+def test_partial_earlier_copies_leave_no_repeat(spark):
+    """An earlier document holds the beginning of a passage that two later ones hold whole, and runs overlap themselves."""
+    rng = random.Random(10)
+    line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)) + "."
+    texts = []
+    for _ in range(60):
+        a, b, c = (line(rng.randint(25, 90)) for _ in range(3))
+        texts += [" ".join([line(40), a, b, line(50)]), " ".join([line(40), a, b, c, line(50)]), " ".join([line(60), a, b, c, line(30)])]
+    texts += ["\n".join(["again and again"] * 40), "\n".join([line(200), *[""] * 30, line(10), line(200)]), "\n".join(f"l{k % 7}" for k in range(400))]
+    assert len(check_cuts(spark, texts)) > 100
+
+
+@pytest.mark.parametrize("hot", [(4096, 2), (3, 2), (4096, 2000)])
+def test_frequent_fingerprints_are_joined_alike(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot[0])
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot[1])
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)) + "."
+    shared = [line(rng.randint(30, 150)) for _ in range(12)]
+    texts = [" ".join([line(40), *shared[(lo := rng.randrange(9)) : lo + rng.randint(1, 5)], line(50)]) for _ in range(40)]
+    assert len(check_cuts(spark, texts)) > 30
+
+
 # Near duplicates.
 
 
