@@ -3,16 +3,18 @@
 A word is predicted from the words on both of its sides.  The vocabulary is the corpus's most
 frequent words and hash buckets for the others.  A word of a bucket has the bucket's probability
 times its own share of the bucket by counts of the whole corpus, so that every distinct word is
-predicted, however many there are.  The network (embeddings of the window, one
-hidden layer, a softmax over word classes and one over the words of the class) is trained in
-numpy on masked positions of every document: each task trains a copy on its own documents, the
-copies are averaged by their numbers of positions, and the next round starts from the average.
-A document's score is the sum of its words' conditional log-probabilities.
+predicted, however many there are.  The network (embeddings of the window, one hidden layer, a
+softmax over word classes and one over the words of the class) is trained in numpy on masked
+positions of every document: each task trains a copy on its own documents, and the next round
+starts from the copies' average, in which an embedding or a class counts as often as a copy has
+used it.  So weights depend a little on how rows lie in partitions.  A document's score is the
+sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from itertools import repeat
 from zlib import crc32
 
@@ -24,16 +26,18 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table, written
 
-#: 32 classes of 32 words: 768 frequent words, 256 buckets.
-CLASSES, PER_CLASS = 32, 32
+#: 128 classes of 128 words: 15360 frequent words, 1024 buckets.
+CLASSES, PER_CLASS = 128, 128
 VOCABULARY = CLASSES * PER_CLASS
-BUCKETS = 256
+BUCKETS = 1024
 SIDE, DIM, HIDDEN = 2, 16, 32
 #: A round masks one position in so many, another residue each time: over the rounds every position once.
 ROUNDS, STRIDE = 3, 3
-BATCH, RATE = 2048, 0.08
+BATCH, RATE = 4096, 0.08
 #: Words scored at once.
-SCORE_WORDS = 8192
+SCORE_WORDS = 16384
+#: Copies that are trained at once; distinct words that a task counts before it passes them on; weights of a row of the average.
+MOST_COPIES, COUNTED_WORDS, CHUNK = 8192, 400_000, 1024
 _EDGE = VOCABULARY  # stands beyond a document's ends
 
 SHAPES = {
@@ -67,68 +71,73 @@ def initial(counts: np.ndarray) -> np.ndarray:
 
 def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The ids on both sides of the positions ``at``."""
-    padded = np.full(len(ids) + 2 * SIDE, _EDGE, np.int64)
+    padded = np.full(len(ids) + 2 * SIDE, _EDGE, np.int16)
     padded[SIDE : SIDE + len(ids)] = ids
     return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and all probabilities."""
+def _softmax_loss(logits: np.ndarray, target: np.ndarray, share: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and, with ``share``, all probabilities."""
     logits -= logits.max(1, keepdims=True)
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     total = logits.sum(1, keepdims=True)
-    logits /= total
+    if share:
+        logits /= total
     return own - np.log(total[:, 0]), logits
 
 
-def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Log-probabilities of the targets; with ``grad``, adds the loss's gradients there.  Targets come sorted by class."""
+#: Takes the loss's gradient of a weight, or of rows of it: (name, which rows, gradient).
+Update = Callable[[str, object, np.ndarray], None]
+
+
+def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, update: Update | None = None) -> np.ndarray:
+    """Log-probabilities of the targets; ``update`` gets the gradients, each after its weight's last use.  Targets come sorted."""
     n = len(target)
-    x = p["e"][context.ravel()].reshape(n, -1)
+    at = context.ravel()
+    x = p["e"][at].reshape(n, -1)
     a = x @ p["w"] + p["b"]
     d = 1 / (1 + np.abs(a))
     h = a * d
     cls, word = target // PER_CLASS, target % PER_CLASS
-    out, pc = _softmax_loss(h @ p["wc"] + p["bc"], cls)
-    if grad is not None:
+    out, pc = _softmax_loss(h @ p["wc"] + p["bc"], cls, update is not None)
+    if update is not None:
         pc[np.arange(n), cls] -= 1
-        grad["wc"] += h.T @ pc
-        grad["bc"] += pc.sum(0)
         dh = pc @ p["wc"].T
+        update("wc", ..., h.T @ pc)
+        update("bc", ..., pc.sum(0))
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for k in range(CLASSES):
+    for k in np.nonzero(ends[1:] > ends[:-1])[0].tolist():
         lo, hi = ends[k], ends[k + 1]
-        if lo == hi:
-            continue
-        own, pw = _softmax_loss(h[lo:hi] @ p["wo"][k] + p["bo"][k], word[lo:hi])
+        own, pw = _softmax_loss(h[lo:hi] @ p["wo"][k] + p["bo"][k], word[lo:hi], update is not None)
         out[lo:hi] += own
-        if grad is not None:
+        if update is not None:
             pw[np.arange(hi - lo), word[lo:hi]] -= 1
-            grad["wo"][k] += h[lo:hi].T @ pw
-            grad["bo"][k] += pw.sum(0)
             dh[lo:hi] += pw @ p["wo"][k].T
-    if grad is not None:
+            update("wo", k, h[lo:hi].T @ pw)
+            update("bo", k, pw.sum(0))
+    if update is not None:
         da = dh * d * d
-        grad["w"] += x.T @ da
-        grad["b"] += da.sum(0)
         dx = (da @ p["w"].T).reshape(-1, DIM)
-        at = context.ravel()
-        for k in range(DIM):
-            grad["e"][:, k] += np.bincount(at, dx[:, k], VOCABULARY + 1)
+        update("w", ..., x.T @ da)
+        update("b", ..., da.sum(0))
+        by = np.argsort(at, kind="stable")
+        heads = np.nonzero(np.r_[True, at[by[1:]] != at[by[:-1]]])[0]
+        update("e", at[by[heads]], np.add.reduceat(dx[by], heads))
     return out
 
 
 class Trainer:
-    """Adagrad over masked positions, from given weights."""
+    """Adagrad over masked positions, from given weights; ``used`` counts the uses of each embedding, then of each class, then all."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.copy()
         self.p = parts(self.flat)
-        self.square = np.full(SIZE, 1e-7, np.float32)
+        self.squares = parts(np.full(SIZE, 1e-7, np.float32))
+        self.used = np.zeros(VOCABULARY + 1 + CLASSES + 1, np.float32)
         self.context: list[np.ndarray] = []
         self.target: list[np.ndarray] = []
-        self.waiting = self.seen = 0
+        self.waiting = 0
 
     def add(self, context: np.ndarray, target: np.ndarray) -> None:
         self.context.append(context)
@@ -142,14 +151,32 @@ class Trainer:
             return
         context, target = np.concatenate(self.context), np.concatenate(self.target)
         self.context, self.target, self.waiting = [], [], 0
+        self.used += np.r_[np.bincount(context.ravel(), minlength=VOCABULARY + 1), np.bincount(target // PER_CLASS, minlength=CLASSES), len(target)]
         for lo in range(0, len(target), BATCH):
             by = lo + np.argsort(target[lo : lo + BATCH], kind="stable")
-            g = np.zeros(SIZE, np.float32)
-            forward(self.p, context[by], target[by], parts(g))
-            g /= len(by)
-            self.square += g * g
-            self.flat -= RATE * g / np.sqrt(self.square)
-            self.seen += len(by)
+            n = np.float32(len(by))
+
+            def update(name: str, rows: object, g: np.ndarray, n=n) -> None:
+                g = g / n
+                square = self.squares[name][rows] + g * g
+                self.squares[name][rows] = square
+                self.p[name][rows] -= np.float32(RATE) * g / np.sqrt(square)
+
+            forward(self.p, context[by], target[by], update)
+
+    def share(self) -> np.ndarray:
+        """What the average adds up: every weight times its uses, and the uses."""
+        return np.r_[self.flat * spread(self.used), self.used]
+
+
+def spread(used: np.ndarray) -> np.ndarray:
+    """The uses of every weight."""
+    out = np.full(SIZE, used[-1])
+    p = parts(out)
+    p["e"][...] = used[: VOCABULARY + 1, None]
+    p["wo"][...] = used[VOCABULARY + 1 : -1, None, None]
+    p["bo"][...] = used[VOCABULARY + 1 : -1, None]
+    return out
 
 
 def _word_hash(word: bytes) -> int:
@@ -157,6 +184,11 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 class Ids:
     """Ids of a text's words; others than the frequent ones share buckets, and have hashes."""
 
@@ -164,7 +196,7 @@ class Ids:
         self.get = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(frequent)}.get
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        words = words_of(text)
         ids = np.fromiter(map(self.get, words, repeat(-1)), np.int16, len(words))
         rare = np.nonzero(ids < 0)[0]
         others = list(map(words.__getitem__, rare.tolist()))
@@ -173,24 +205,41 @@ class Ids:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Every word of the corpus, A-Z lower-cased, with its count."""
-    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''").groupBy("word").count()
+    """Every word (its bytes, A-Z lower-cased) of the corpus with its count; a task adds up its own words before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "count"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(words_of(text))
+                if len(counts) > COUNTED_WORDS:
+                    yield emit()
+        yield emit()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+
+
+def _rare(counts: DataFrame, frequent: list[str]) -> DataFrame:
+    known = counts.sparkSession.createDataFrame([(bytearray(w.encode("utf-8", "surrogatepass")),) for w in frequent], "word binary")  # at most the vocabulary
+    return counts.join(F.broadcast(known), "word", "left_anti")
 
 
 def word_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
-    """hash and gain (logarithm of its count, by which it is likelier than an unseen word) of every word that has a bucket."""
-    known = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
-    rare = counts.join(F.broadcast(known), "word", "left_anti")
-    return rare.select(F.xxhash64("word").alias("hash"), F.log("count").alias("gain"))
+    """hash and gain (logarithm of its count, by which it is likelier than an unseen word) of every word that has a bucket and a gain."""
+    return _rare(counts, frequent).filter(F.col("count") > 1).select(F.xxhash64("word").alias("hash"), F.log("count").alias("gain"))
 
 
 def unseen_shares(counts: DataFrame, frequent: list[str]) -> np.ndarray:
     """The log-share of a word that the corpus doesn't have in each bucket, as one word more."""
-    known = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
-    bucket = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(BUCKETS)).cast("int").alias("bucket")
+    bucket = F.pmod(F.crc32("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
     out = np.zeros(BUCKETS)
-    for r in counts.join(F.broadcast(known), "word", "left_anti").groupBy(bucket).agg(F.sum("count").alias("total")).collect():
+    for r in _rare(counts, frequent).groupBy(bucket).agg(F.sum("count").alias("total")).collect():
         out[r["bucket"]] = -np.log(r["total"] + 1)
     return out
 
@@ -216,7 +265,7 @@ class Network:
             by = np.argsort(target, kind="stable")  # 16-bit: a radix sort
             context = np.stack([np.where(same[lo + k : lo + k + n] == own, padded[lo + k : lo + k + n], _EDGE) for k in range(2 * SIDE + 1) if k != SIDE], 1)
             first = own[0]
-            s = np.bincount(own[by] - first, forward(p, context[by], target[by].astype(np.int64)))
+            s = np.bincount(own[by] - first, forward(p, context[by], target[by]))
             out[first : first + len(s)] += s
         return out
 
@@ -248,7 +297,7 @@ def _vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     own = np.zeros(VOCABULARY)
     own[: len(rows)] = [r["count"] for r in rows]
     own[VOCABULARY - BUCKETS :] = (total - own.sum()) / BUCKETS
-    return [r["word"] for r in rows], own
+    return [bytes(r["word"]).decode("utf-8", "surrogatepass") for r in rows], own
 
 
 def fit(docs: DataFrame) -> tuple[Network, DataFrame]:
@@ -270,24 +319,37 @@ def masked(raw: bytes, k: int, rounds: int = ROUNDS, stride: int = STRIDE) -> np
 def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     """Trains on masked positions of all documents: one position in ``stride`` each round."""
     flat = initial(counts)
+    context = encoded.sparkSession.sparkContext
     for k in range(rounds):
+        sent = context.broadcast(flat)  # of a fixed size
 
-        def run(batches: Iterator[pa.RecordBatch], flat=flat, k=k) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(flat)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(sent.value)
             for batch in batches:
                 for raw in batch.column("ids").to_pylist():
                     x = np.frombuffer(raw, np.int16)
                     at = masked(raw, k, rounds, stride)
                     if len(at):
-                        trainer.add(windows(x, at), x[at].astype(np.int64))
+                        trainer.add(windows(x, at), x[at])
             trainer.flush()
-            if trainer.seen:
-                weight = float(trainer.seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(trainer.flat.astype(np.float64) * weight), pa.array(np.full(SIZE, weight))], names=["i", "v", "w"])
+            share = trainer.share()
+            chunks = [(i, share[lo : lo + CHUNK]) for i, lo in enumerate(range(0, len(share), CHUNK)) if share[lo : lo + CHUNK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names=["chunk", "v"])
 
-        moved = encoded.select("ids").mapInArrow(run, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
-        if len(moved):
-            flat = moved.sort_values("i")["v"].to_numpy(np.float32)
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(1))
+            for batch in batches:
+                for i, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist()):
+                    sums[i] = sums[i] + np.frombuffer(v, np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["chunk", "v"])
+
+        copies = encoded.select("ids").coalesce(MOST_COPIES).mapInArrow(run, "chunk int, v binary")
+        total = np.zeros(SIZE + VOCABULARY + 1 + CLASSES + 1)
+        for r in copies.repartition("chunk").mapInArrow(add_up, "chunk int, v binary").collect():  # as much as the weights
+            v = np.frombuffer(bytes(r["v"]))
+            total[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(v)] = v
+        used = spread(total[SIZE:])
+        flat = np.where(used > 0, total[:SIZE] / np.maximum(used, 1), flat).astype(np.float32)
     return Network(frequent, flat)
 
 
@@ -303,9 +365,10 @@ def score(docs: DataFrame, network: Network | None = None) -> DataFrame:
         network, encoded = fit(docs)
     else:
         encoded = encode(docs, network.frequent)
-    shares, network = network.shares, Network(network.frequent, network.flat, None, network.unseen)
+    shares, sent = network.shares, docs.sparkSession.sparkContext.broadcast((network.flat, network.unseen))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network([], sent.value[0], None, sent.value[1])
         for batch in batches:
             raw = batch.column("ids").to_pylist()
             n = np.array([len(x) // 2 for x in raw], np.int64)
