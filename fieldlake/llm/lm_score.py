@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table, written
 
-#: 128 classes of 128 words: 15360 frequent words, 1024 buckets.
-CLASSES, PER_CLASS = 128, 128
+#: 32 classes of 256 words: 7168 frequent words, 1024 buckets.
+CLASSES, PER_CLASS = 32, 256
 VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = 1024
 SIDE, DIM, HIDDEN = 2, 16, 32
 #: A round masks one position in so many, another residue each time: over the rounds every position once.
 ROUNDS, STRIDE = 3, 3
-BATCH, RATE = 4096, 0.08
+BATCH, RATE = 16384, 0.15
 #: Words scored at once.
 SCORE_WORDS = 16384
 #: Copies that are trained at once; distinct words that a task counts before it passes them on; weights of a row of the average.
@@ -76,15 +76,22 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _softmax_loss(logits: np.ndarray, target: np.ndarray, share: bool) -> tuple[np.ndarray, np.ndarray]:
+def _softmax_loss(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, share: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of the targets, and, with ``share``, all probabilities."""
-    logits -= logits.max(1, keepdims=True)
+    # Hidden units lie between -1 and 1, so no logit is above this bound; where it may be far above them all, the rows' own maxima.
+    most = float((np.abs(w).sum(0) + bias).max())
+    logits = h @ w
+    if most - float((bias - np.abs(w).sum(0)).max()) < 60:
+        logits += bias - logits.dtype.type(most)
+    else:
+        logits += bias
+        logits -= logits.max(1, keepdims=True)
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
+    total = logits @ np.ones(len(bias), logits.dtype)
     if share:
-        logits /= total
-    return own - np.log(total[:, 0]), logits
+        logits *= (1 / total)[:, None]
+    return own - np.log(total), logits
 
 
 #: Takes the loss's gradient of a weight, or of rows of it: (name, which rows, gradient).
@@ -94,13 +101,12 @@ Update = Callable[[str, object, np.ndarray], None]
 def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, update: Update | None = None) -> np.ndarray:
     """Log-probabilities of the targets; ``update`` gets the gradients, each after its weight's last use.  Targets come sorted."""
     n = len(target)
-    at = context.ravel()
-    x = p["e"][at].reshape(n, -1)
+    x = p["e"].take(context.ravel(), 0).reshape(n, -1)
     a = x @ p["w"] + p["b"]
     d = 1 / (1 + np.abs(a))
     h = a * d
     cls, word = target // PER_CLASS, target % PER_CLASS
-    out, pc = _softmax_loss(h @ p["wc"] + p["bc"], cls, update is not None)
+    out, pc = _softmax_loss(h, p["wc"], p["bc"], cls, update is not None)
     if update is not None:
         pc[np.arange(n), cls] -= 1
         dh = pc @ p["wc"].T
@@ -109,7 +115,7 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
     for k in np.nonzero(ends[1:] > ends[:-1])[0].tolist():
         lo, hi = ends[k], ends[k + 1]
-        own, pw = _softmax_loss(h[lo:hi] @ p["wo"][k] + p["bo"][k], word[lo:hi], update is not None)
+        own, pw = _softmax_loss(h[lo:hi], p["wo"][k], p["bo"][k], word[lo:hi], update is not None)
         out[lo:hi] += own
         if update is not None:
             pw[np.arange(hi - lo), word[lo:hi]] -= 1
@@ -118,12 +124,11 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
             update("bo", k, pw.sum(0))
     if update is not None:
         da = dh * d * d
-        dx = (da @ p["w"].T).reshape(-1, DIM)
+        dx = (p["w"] @ da.T).reshape(2 * SIDE, DIM, n)
         update("w", ..., x.T @ da)
         update("b", ..., da.sum(0))
-        by = np.argsort(at, kind="stable")
-        heads = np.nonzero(np.r_[True, at[by[1:]] != at[by[:-1]]])[0]
-        update("e", at[by[heads]], np.add.reduceat(dx[by], heads))
+        slots = context.T.ravel()
+        update("e", ..., np.stack([np.bincount(slots, dx[:, k].ravel(), VOCABULARY + 1) for k in range(DIM)], 1).astype(x.dtype))
     return out
 
 
@@ -143,7 +148,7 @@ class Trainer:
         self.context.append(context)
         self.target.append(target)
         self.waiting += len(target)
-        if self.waiting >= 8 * BATCH:
+        if self.waiting >= 4 * BATCH:
             self.flush()
 
     def flush(self) -> None:
@@ -286,6 +291,23 @@ def encode(docs: DataFrame, frequent: list[str]) -> DataFrame:
     return written(rows.mapInArrow(run, f"doc_id {id_type}, row long, ids binary, others array<long>"), "word-ids")
 
 
+def occurrences(encoded: DataFrame) -> DataFrame:
+    """hash and rows (one for each time) of the words that have buckets, brought together batch by batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = batch.column("others")
+            hashes = others.flatten().to_numpy()
+            rows = np.repeat(batch.column("row").to_numpy(), np.diff(others.offsets.to_numpy()))
+            by = np.argsort(hashes)
+            hashes = hashes[by]
+            heads = np.nonzero(np.r_[np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]])[0]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(hashes)].astype(np.int32)), pa.array(rows[by]))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[heads]), lists], names=["hash", "rows"])
+
+    return encoded.select("row", "others").mapInArrow(run, "hash long, rows array<long>")
+
+
 def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The most frequent words of all documents, and the counts of all ids."""
     return _vocabulary(written(word_counts(docs), "word-counts"))
@@ -383,8 +405,7 @@ def score(docs: DataFrame, network: Network | None = None) -> DataFrame:
     scores = encoded.mapInArrow(run, f"doc_id {id_type}, row long, n_tokens long, log_likelihood double")
     if shares is not None:
         # Neither table is bounded: joins sort and merge at every size.
-        words = encoded.select("row", F.explode("others").alias("hash"))
-        known = words.join(shares.hint("merge"), "hash").groupBy("row").agg(F.sum("gain").alias("gain"))
+        known = occurrences(encoded).join(shares.hint("merge"), "hash").select("gain", F.explode("rows").alias("row")).groupBy("row").agg(F.sum("gain").alias("gain"))
         scores = scores.join(known.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scores.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

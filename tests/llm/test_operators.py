@@ -75,7 +75,7 @@ def test_score_is_the_sum_over_words():
 
 def test_average_counts_uses():
     a, b = (lm_score.Trainer(lm_score.initial(np.ones(lm_score.VOCABULARY))) for _ in "ab")
-    a.add(np.full((4, 4), 5, np.int16), np.full(4, 200, np.int16))
+    a.add(np.full((4, 4), 5, np.int16), np.full(4, lm_score.PER_CLASS + 5, np.int16))
     a.flush()
     total = a.share().astype(float) + b.share()
     used = lm_score.spread(total[lm_score.SIZE :])
