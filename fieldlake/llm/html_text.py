@@ -2,13 +2,17 @@
 
 A page is parsed into a tree.  Every node's composite density is its characters for each tag,
 adjusted by how much of it stands in links; a node's sum is that of its children's densities.
-The node with the largest sum is the content, widened to the article or main element around it;
-around it, siblings stay that are as dense as the thinnest node on the path from the body to it.
-What is no content by its own statement (menus, footers, forms, adverts, ...) is cut before.
+The node with the largest sum is the content.  The thinnest node on its path to the body gives
+the threshold: along the path, siblings below it go where they are mostly links or, at the body,
+much thinner; an ``article`` or ``main`` on the path bounds the content instead.  Elements and
+names that are no content by their own statement (menus, footers, forms, adverts, comments, ...)
+don't count; names that may mean either way decide only where densities don't: they cut what
+doesn't hold the densest node.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -20,23 +24,27 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.common import table
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!?[?]?(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>)""", re.S)
-_LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: After a name, attributes in the standard's states: a value in quotes, or up to white space.
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|[!?/][^>]*+>)""", re.S)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed plaintext".split())
 #: Elements that never hold main text.
-CUT_TAGS = frozenset("script style noscript iframe template svg math canvas object audio video head title nav footer aside form button select textarea input label fieldset dialog menu menuitem datalist noframes noembed map".split())
+CUT_TAGS = frozenset("script style noscript iframe template svg canvas object audio video head title nav footer aside form button select textarea input label fieldset dialog menu menuitem datalist noframes noembed map".split())
 #: Roles, and words of class names and ids, that mark what surrounds an article.
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside rail header masthead footer foot "
-    "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "widget widgets form search toolbar pagination pager skip banner paywall copyright tags toc".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside masthead footer "
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall".split()
 )
+#: Words that mark it only where the densest node lies elsewhere, and words that speak for an article beside them.
+MAYBE_WORDS = frozenset(
+    "promo promotion rail header foot reply notice notices notification alert share sharing social related recommended widget widgets form search toolbar pagination pager skip banner copyright tags toc".split()
+)
+CONTENT_WORDS = frozenset("post story entry article content body text".split())
 #: Words of class names that say whether something is there.
 ABOUT = frozenset("has have with no without is".split())
 BLOCKS = frozenset(
@@ -52,99 +60,150 @@ _IMPLIED = {
 }
 #: An end tag doesn't reach beyond these.
 _WALLS = frozenset("table td th article main section nav aside footer header form body".split())
-_INNER = {"section", "article", "main", "nav", "aside", "footer", "header", "form", "div", "body", "table"}
+_INNER = frozenset("section article main nav aside footer header form div body table".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
+#: What is certainly no content, what may be none, and all else.
+SURE, MAYBE, NOT = 2, 1, 0
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
+    def __init__(self, tag: str, parent: Node | None, cut: int):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _is_cut(tag: str, attrs: str) -> bool:
+def _cut_of(tag: str, attrs: str) -> int:
     if tag in CUT_TAGS:
-        return True
+        return SURE
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return NOT
+    out = NOT
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in CUT_ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return SURE
         if name in ("class", "id"):
             for one in value.split():  # has-sidebar and the like speak of what is elsewhere
-                words = [w.lower() for part in re.split(r"[^A-Za-z0-9]+", one) if part for w in {part, *_WORDS.findall(part)}]
-                if not ABOUT.intersection(words) and CUT_WORDS.intersection(words):
-                    return True
-    return False
+                words = {w.lower() for part in re.split(r"[^A-Za-z0-9]+", one) if part for w in {part, *_WORDS.findall(part)}}
+                if ABOUT & words:
+                    continue
+                if CUT_WORDS & words:
+                    return SURE
+                if MAYBE_WORDS & words and not CONTENT_WORDS & words:
+                    out = MAYBE
+    return out
+
+
+class _Open:
+    """The open elements; where each kind of them stands is known without walking up."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # other than paragraphs
+        self.walls: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.where.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCKS and node.tag != "p":
+            self.blocks.append(at)
+        if node.tag in _WALLS:
+            self.walls.append(at)
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        at = self.where.get(tag)
+        return at[-1] if at else 0
+
+    def cut_to(self, at: int) -> None:
+        """Closes all from the place ``at`` on."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            for kind in (self.blocks, self.walls):
+                if kind and kind[-1] == len(self.stack):
+                    kind.pop()
+
+    def end(self, name: str) -> None:
+        at = self.last(name)
+        if at and name != "body" and (name in _INNER or not self.walls or self.walls[-1] <= at):
+            self.cut_to(at)
+
+    def start(self, name: str) -> None:
+        """Closes what the start of an element ends."""
+        if name in _ENDS_P:
+            at = self.last("p")
+            if at and (not self.blocks or self.blocks[-1] < at):
+                self.cut_to(at)
+        if name in _IMPLIED:
+            ends, walls = _IMPLIED[name]
+            wall = max((self.last(w) for w in walls), default=0)
+            firsts = []
+            for tag in ends:
+                places = self.where.get(tag, ())
+                k = bisect.bisect_right(places, wall)
+                firsts += places[k : k + 1]
+            if firsts:
+                self.cut_to(min(firsts))
 
 
 def parse(page: str) -> Node:
-    """The page's tree, by the rules for omitted end tags; never fails."""
-    root = top = Node("html", None, False)
+    """The page's tree, by the rules for omitted end tags; never fails, in time linear in the page."""
+    root = Node("html", None, NOT)
+    open_ = _Open(root)
     at, n = 0, len(page)
+    last = page.rfind(">")
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            top.kids.append(page[at:])
+            open_.top.kids.append(page[at:])
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        m = _TAG.match(page, lt)
         if not m:  # a bare "<", or a tag that the page's end cuts off
-            if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] in "/!") and ">" not in page[lt:]:
-                top.kids.append(page[at:lt])
+            if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] in "/!") and lt > last:
+                open_.top.kids.append(page[at:lt])
                 break
-            top.kids.append(page[at : lt + 1])
+            open_.top.kids.append(page[at : lt + 1])
             at = lt + 1
             continue
         if lt > at:
-            top.kids.append(page[at:lt])
+            open_.top.kids.append(page[at:lt])
         at = m.end()
         name = (m["name"] or "").lower()
-        if not name or page[lt + 1] in "!?":
+        if not name:
             continue
         if m["end"]:
             if name == "p" or name == "br":
-                top.kids.append(Node("br", top, False))
-            up = top
-            while up.parent is not None and up.tag != name:
-                if up.tag in _WALLS and name not in _INNER:
-                    break
-                up = up.parent
-            if up.tag == name and up.parent is not None and name not in ("body", "html"):
-                top = up.parent
+                open_.top.kids.append(Node("br", open_.top, NOT))
+            open_.end(name)
             continue
         if name == "html":
             continue
-        if name in _ENDS_P:
-            up = top
-            while up.parent is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                top = up.parent
-        if name in _IMPLIED:
-            ends, walls = _IMPLIED[name]
-            up = top
-            while up.parent is not None and up.tag not in walls:
-                if up.tag in ends:
-                    top = up.parent
-                up = up.parent
-        node = Node(name, top, _is_cut(name, m["attrs"]))
-        top.kids.append(node)
+        open_.start(name)
+        node = Node(name, open_.top, _cut_of(name, m["attrs"]))
+        open_.top.kids.append(node)
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             node.kids.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif name not in VOID:
-            top = node
+            open_.push(node)
     return root
 
 
 def _settle(root: Node) -> list[Node]:
-    """Decides what is cut, and gives the nodes that are left, parents before children."""
+    """Decides what is certainly cut, and gives the nodes that are left, parents before children."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -162,23 +221,26 @@ def _settle(root: Node) -> list[Node]:
         node, inside = stack.pop()
         if node.tag == "header":
             own = any(isinstance(k, Node) and re.fullmatch("h[1-6]|hgroup", k.tag) for k in node.kids)
-            node.cut = not (inside and own)
-        if node.cut and (node.tag in CUT_TAGS or id(node) not in holds):
-            node.cut = True
+            node.cut = NOT if inside and own else SURE
+        if node.cut and node.tag not in CUT_TAGS and id(node) in holds:
+            node.cut = NOT
+        if node.cut == SURE:
             continue
-        node.cut = False
         left.append(node)
         inside = inside or node.tag in ("article", "main")
         stack.extend((k, inside) for k in reversed(node.kids) if isinstance(k, Node))
     return left
 
 
-def _densities(nodes: list[Node]) -> None:
+def _densities(nodes: list[Node], counts: int) -> None:
+    """Densities and sums of all nodes, where nodes of a ``cut`` above ``counts`` have no text."""
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len("".join(k.split()))
-            elif not k.cut:
+            elif k.cut <= counts:
                 node.chars += k.chars
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
@@ -192,7 +254,44 @@ def _densities(nodes: list[Node]) -> None:
         if c:
             base = math.log(c / max(1, c - lc) * lc + whole * c + math.e)
             node.density = max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else c / t * math.log(max(1.0, c / max(1, lc) * t / lt)))
-        node.sum = sum(k.density for k in node.kids if isinstance(k, Node) and not k.cut)
+        node.sum = sum(k.density for k in node.kids if isinstance(k, Node) and k.cut <= counts)
+
+
+def _path(node: Node) -> list[Node]:
+    """The node, its parent, and so on to the root."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _densest(nodes: list[Node]) -> Node:
+    """The node with the largest sum, the first of equals; within what may be no content only where it is three times the largest elsewhere."""
+    _densities(nodes, NOT)
+    doubtful: set[int] = set()
+    for node in nodes:  # parents first
+        if node.cut == MAYBE or id(node.parent) in doubtful:
+            doubtful.add(id(node))
+    best = max((x for x in nodes if id(x) not in doubtful), key=lambda x: x.sum)
+    if doubtful:
+        most = best.sum
+        _densities(nodes, MAYBE)
+        other = max((x for x in nodes if id(x) in doubtful), key=lambda x: x.sum)
+        if other.sum > 3 * most:
+            return other
+        _densities(nodes, NOT)
+    return best
+
+
+_RIGHTS = re.compile(r"\s*(?:©|&copy;|\(c\)|copyright\b)", re.I)
+
+
+def _thin(node: Node, threshold: float, at_body: bool, apart: bool) -> bool:
+    """Whether a sibling of the path falls to the threshold; ``apart`` says that the densest node isn't the body itself."""
+    if node.tag not in BLOCKS or node.density >= threshold:
+        return False
+    first = next((k for k in node.kids if isinstance(k, str) and k.strip()), "")
+    return node.link_chars * 2 > node.chars or at_body and (apart and node.density * 4 < threshold or bool(_RIGHTS.match(first)))
 
 
 def main_text(page: str | None) -> str:
@@ -200,29 +299,26 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = _settle(parse(page))
-    _densities(nodes)
-    best = max(nodes, key=lambda x: x.sum)  # the first of equals
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    around = next((x for x in path if x.tag in ("article", "main")), None)
+    best = _densest(nodes)
+    path = _path(best)
+    on = {id(x) for x in path}
+    top = next((x for x in path if x.tag in ("article", "main")), None)
     drop: set[int] = set()
-    if around is None and not any(x.tag in ("article", "main") for x in nodes):
-        on = {id(x) for x in path}
-        within = [x for x in path if x.tag not in ("html", "body")] or path
-        threshold = min(x.density for x in within)
-        around = path[-1]
-        for x in path[1:]:
-            drop |= {id(k) for k in x.kids if isinstance(k, Node) and id(k) not in on and not k.cut and k.tag in BLOCKS and k.density < threshold and (k.link_chars * 2 > k.chars or x.tag == "body" and best.sum > 0 and k.density * 4 < threshold)}
-    elif around is None:
-        around = path[-1]
+    if top is None:
+        top = path[-1]
+        within = [x for x in path if x.tag not in ("html", "body")]
+        # Of a page whose body itself is the densest node the mean of its blocks takes the path's place.
+        blocks = [k.density for k in best.kids if isinstance(k, Node) and k.cut != SURE and k.tag in BLOCKS and k.chars]
+        threshold = min((x.density for x in within), default=sum(blocks) / max(1, len(blocks)))
+        for x in path if not within else path[1:]:
+            drop |= {id(k) for k in x.kids if isinstance(k, Node) and id(k) not in on and k.cut != SURE and _thin(k, threshold, x.tag in ("html", "body") and best.sum > 0, bool(within))}
     out: list[str] = []
-    stack: list[Node | str] = [around]
+    stack: list[Node | str] = [top]
     while stack:
         k = stack.pop()
         if isinstance(k, str):
             out.append(html.unescape(k))
-        elif not k.cut and id(k) not in drop:
+        elif (not k.cut or k.cut == MAYBE and id(k) in on) and id(k) not in drop:
             if k.tag in BLOCKS:
                 out.append("\n")
                 stack.append("\n")

@@ -19,18 +19,35 @@ from fieldlake.llm.common import table, text_or_empty, written
 
 #: A repeated run counts from so many characters on.
 RUN_CHARS = 120
-_ENDS = r"(?<=\n)|(?<=[.!?][ \t])"
+_ENDS = r"(?<=[\n \t])(?<=\n|[.!?][ \t])"
+_MARK = "\x01"
 _WHITE = " \t\n\x0b\f\r"
 #: Lines under so many characters are fingerprints only of windows that have no others.
 LONG_LINE = 16
 #: Lines whose lengths are added up at once: appending to arrays copies them.
 _BLOCK = 64
-#: Keys of over HOT_ROWS rows are hot; so many of them, the most frequent, are joined by broadcast and the others by sort and merge.
-HOT_KEYS, HOT_ROWS = 4096, 2000
+#: Keys of over 1 / HOT_KEYS of all rows, and so fewer than HOT_KEYS, are joined by broadcast and the others by sort and merge.
+HOT_KEYS = 1024
+
+
+def _marked(text):
+    """``text`` with a mark after every line, where it holds neither tabs nor marks."""
+    for end in ("\n", ". ", "! ", "? "):
+        text = F.replace(text, F.lit(end), F.lit(end + _MARK))
+    return text
+
+
+def _plain(text):
+    return ~(text.contains("\t") | text.contains(_MARK))
 
 
 def _lines(text):
-    return F.split(text, _ENDS, -1)
+    """The lines: marks are found much faster than ends by an expression, which is left to the other texts."""
+    return F.when(_plain(text), F.split(_marked(text), _MARK, -1)).otherwise(F.split(text, _ENDS, -1))
+
+
+def _line_count(text):
+    return F.when(_plain(text), F.length(_marked(text)) - F.length(text) + 1).otherwise(F.size(F.split(text, _ENDS, -1)))
 
 
 def _row_key(text):
@@ -86,9 +103,13 @@ def windows(lines: DataFrame, run_chars: int) -> DataFrame:
 
 def _met(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows`` joined with ``known`` (g, n: how many rows have it, ...) by g, so that no frequent g lands in one task."""
-    hot = written(known.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "g").limit(HOT_KEYS), "hot-keys")  # bounded; rarer keys have under 1 / HOT_KEYS of the rows each
-    rest = rows.join(F.broadcast(hot.select("g")), "g", "left_anti").join(known.hint("merge"), "g")
-    return rows.join(F.broadcast(hot), "g").unionByName(rest)
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = known.filter(F.col("n") * HOT_KEYS > total)  # fewer than HOT_KEYS rows
+    keys = [r["g"] for r in hot.select("g").collect()]
+    if not keys:
+        return rows.join(known.hint("merge"), "g")
+    cold = rows.filter(~F.col("g").isin(keys)).join(known.hint("merge"), "g")
+    return rows.filter(F.col("g").isin(keys)).join(F.broadcast(hot), "g").unionByName(cold)
 
 
 def grams(docs: DataFrame, run_chars: int) -> DataFrame:
@@ -134,10 +155,11 @@ def dedup_lines(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("lines", "removed")]
     keyed = docs.select(*columns, _row_key(text_or_empty("text")).alias("_key"))
     met = keyed.join(cuts.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").drop("_doc", "_row", "_key")
-    met = met.withColumn("_lines", _lines(F.col("text")))
+    cut = F.col("_cuts").isNotNull()
+    met = met.withColumn("_lines", F.when(cut, _lines(F.col("text"))))
     kept = F.expr("filter(_lines, (x, i) -> not exists(_cuts, c -> i >= c.lo and i < c.hi))")
-    met = met.withColumn("_kept", F.when(F.col("_cuts").isNotNull(), kept))
-    out = {"text": F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join("_kept", "")), "lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long")}
+    met = met.withColumn("_kept", F.when(cut, kept))
+    out = {"text": F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join("_kept", "")), "lines": F.coalesce(F.when(cut, F.size("_lines")).otherwise(_line_count(F.col("text"))), F.lit(0)).cast("long")}
     out["removed"] = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType

@@ -140,6 +140,14 @@ PAGES = [
     ("<article><script>if(a<b)</script><p>x<!-- c --><br>y<style>p{}</style><form><input>q</form><div class=ad>buy</div><section id=comments>no</section></article>", "x y"),
     ("<article><p>one<td>two<li>three &nbsp; &lt;four&gt; &unknown; <", "one two three <four> &unknown; <"),
     ("<main><p>a</main><p class=cookie-notice>we use cookies</p><aside>b</aside>", "a"),
+    ("<body><ul class=menu><li><a href=/>x</a></ul><div class=post-form><h1>Title</h1><p>" + "body text " * 40 + "</div></body>", "Title " + " ".join(["body text"] * 40)),
+    ("<body><div class=story-related><p>" + "one two " * 25 + "<p>" + "six ten " * 25 + "</div><p>&copy; 2001 Someone", " ".join(["one two"] * 25 + ["six ten"] * 25)),
+    ("<body><div class=rail><p>" + "body text " * 40 + "</div><div class=comments><p>" + "a reader says " * 90 + "</div>", " ".join(["body text"] * 40)),
+    ("<body><div class=content><p>" + "long text " * 40 + "<p>" + "more text " * 40 + "</div><div><article><a href=/x>teaser</a></article></div>", " ".join(["long text"] * 40 + ["more text"] * 40)),
+    ("<body><div class=widget><p>" + "an aside " * 20 + "</div><div><p>" + "long text " * 40 + "<p>" + "more text " * 40 + "</div>", " ".join(["long text"] * 40 + ["more text"] * 40)),
+    ("<p title=it's>Hello world, don't lose me</p><p>tail</p>", "Hello world, don't lose me tail"),
+    ("<article><p data-x='a>b' title = \"c > d\" q=\"e>one</p><p>two <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", "one two x=2"),
+    ("<body><ul><li><a href=/>Home</a></li></ul><p>" + "plain text " * 30 + "</p><p>Copyright 2001 Someone</p></body>", " ".join(["plain text"] * 30)),
 ]
 
 
@@ -158,6 +166,19 @@ def test_whole_articles_of_all_pages(spark, sf):
         assert r["text"] == " ".join(" ".join(parts).split()) and r["n_chars"] == len(r["text"])
 
 
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for tag in ("div", "span", "b><p", "i></u"):
+            assert html_text.main_text(f"<article>{f'<{tag}>' * n}deep{'</div></span>' * n}") == "deep"
+        return time.process_time() - began
+
+    took(100)
+    assert took(100_000) < 40 * took(10_000) + 1
+
+
 @given(st.text(alphabet="<>/ab p=\"'!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_page_parses(page):
@@ -361,14 +382,14 @@ def test_partial_earlier_copies_leave_no_repeat(spark):
     for _ in range(60):
         a, b, c = (line(rng.randint(25, 90)) for _ in range(3))
         texts += [" ".join([line(40), a, b, line(50)]), " ".join([line(40), a, b, c, line(50)]), " ".join([line(60), a, b, c, line(30)])]
+    texts += [t.replace(" ", "\t") for t in texts[:30]] + [t.replace(". ", ". \x01") for t in texts[:9]]
     texts += ["\n".join(["again and again"] * 40), "\n".join([line(200), *[""] * 30, line(10), line(200)]), "\n".join(f"l{k % 7}" for k in range(400))]
     assert len(check_cuts(spark, texts)) > 100
 
 
-@pytest.mark.parametrize("hot", [(4096, 2), (3, 2), (4096, 2000)])
+@pytest.mark.parametrize("hot", [2, 12, 1024])
 def test_frequent_fingerprints_are_joined_alike(spark, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot[0])
-    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot[1])
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot)
     rng = random.Random(12)
     line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)) + "."
     shared = [line(rng.randint(30, 150)) for _ in range(12)]
