@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldlake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -57,3 +59,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Keys of over 1 / HOT_KEYS of all rows are hot; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 1024
+
+
+def join_hot(rows: DataFrame, known: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with the written table ``known`` by ``keys``; its column ``size`` counts the rows of each key.
+
+    Hot keys of ``known``, a bounded number, are broadcast, so that none lands in one task; the
+    others are sorted and merged.
+    """
+    total = known.agg(F.sum(size)).first()[0] or 0
+    mark = F.xxhash64(*keys)
+    marks = [r[0] for r in known.filter(F.col(size) * HOT_KEYS > total).select(mark).collect()]
+    if not marks:
+        return rows.join(known.hint("merge"), keys)
+    hot = mark.isin(marks)
+    cold = rows.filter(~hot).join(known.filter(~hot).hint("merge"), keys)
+    return rows.filter(hot).join(F.broadcast(known.filter(hot)), keys).unionByName(cold)

@@ -3,26 +3,30 @@
 A test item of m characters may differ from a passage by k = floor(rate * m) edits.  Cut into
 k + 1 pieces, at least one piece must then stand in the passage unchanged.  One automaton finds
 the pieces of all items; around each find the bit-parallel edit distance by Myers decides.
+Short items have a budget of no edits, so one piece, and stand between other characters than
+letters and digits.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldlake.llm.common import table
+from fieldlake.llm.common import put_bytes, table
 
 RATE = 0.08
-#: Items below this length would stand in clean documents by chance: only a document that is the item matches.
-MIN_CHARS = 40
-#: Characters of test items that one pass over the documents takes; more items take more passes.
-BLOCK_CHARS = 16_000_000
+#: Items below this length have no budget of edits; items below so many words would stand in clean documents by chance: they match a document that is nothing else.
+MIN_CHARS, MIN_WORDS = 40, 3
+#: Characters of test items that one pass over the documents takes (some 100 MB in a worker); more items take more passes.
+BLOCK_CHARS = 1_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -76,15 +80,16 @@ class Matcher:
 
     def __init__(self, items: list[tuple], rate: float, min_chars: int):
         self.patterns: list[Pattern] = []
-        self.short: dict[str, list] = defaultdict(list)
+        self.whole: dict[str, list] = defaultdict(list)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            if len(text) < min_chars:
-                self.short[text].append(item_id)
+            short = len(text) < min_chars
+            if short and text.count(" ") + 1 < MIN_WORDS:
+                self.whole[text].append(item_id)
                 continue
-            p = Pattern(item_id, text, rate)
+            p = Pattern(item_id, text, 0 if short else rate)
             for offset, piece in p.pieces():
-                pieces[piece].append((len(self.patterns), offset))
+                pieces[piece].append((-1 - len(self.patterns) if short else len(self.patterns), offset))
             self.patterns.append(p)
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
@@ -95,13 +100,18 @@ class Matcher:
     def find(self, text: str | None) -> list[tuple]:
         """(item_id, distance, budget, end in the normalised text), one for each item found."""
         t = normalise(text)
-        found = [(i, 0, 0, len(t)) for i in self.short.get(t, ())]
+        found = [(i, 0, 0, len(t)) for i in self.whole.get(t, ())]
         if not self.patterns:
             return found
         starts: dict[int, set[int]] = defaultdict(set)
+        shorts: dict[int, int] = {}
         for end, (size, owners) in self.automaton.iter(t):
             for k, offset in owners:
-                starts[k].add(end + 1 - size - offset)
+                if k >= 0:
+                    starts[k].add(end + 1 - size - offset)
+                elif k not in shorts and not t[end + 1 : end + 2].isalnum() and not t[max(0, end - size) : end + 1 - size].isalnum():
+                    shorts[k] = end + 1
+        found += [(self.patterns[-1 - k].item_id, 0, 0, end) for k, end in shorts.items()]
         for k, at in starts.items():
             p = self.patterns[k]
             best = (p.budget + 1, 0)
@@ -135,6 +145,25 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _shipped(spark: SparkSession, items: list[tuple], rate: float, min_chars: int) -> Callable[[], Matcher]:
+    """What gives a block's matcher in a worker; the block goes there as a file, so that the driver holds one block at a time."""
+    path = put_bytes(spark, "items", pickle.dumps((items, rate, min_chars)))
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+
+    def made() -> Matcher:
+        if name not in _MATCHERS:  # one for each worker process
+            _MATCHERS.clear()
+            with open(SparkFiles.get(name), "rb") as file:
+                _MATCHERS[name] = Matcher(*pickle.load(file))
+        return _MATCHERS[name]
+
+    return made
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget and end of every item that stands in a document.
 
@@ -149,8 +178,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min
     out = None
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, min_chars)
+        made = _shipped(docs.sparkSession, items, rate, min_chars)
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            matcher = made()
             for batch in batches:
                 rows, hits = [], []
                 for i, t in enumerate(batch.column("text").to_pylist()):
@@ -171,8 +202,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min
     at = docs.columns.index("text")
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, min_chars)
+        made = _shipped(docs.sparkSession, items, rate, min_chars)
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            matcher = made()
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import table, text_or_empty, written
+from fieldlake.llm.common import join_hot, table, text_or_empty, written
 
 #: So many hot blocks are salted, and in at most three times as many parts, whatever the input's size.
 HOT_BLOCKS = 4096
@@ -31,7 +31,8 @@ def exact_groups(docs: DataFrame, *, block_chars: int = 4096, hot_rows: int = 20
     keep_id is the group's largest doc_id (null only if all its ids are null) and kept says
     whether the row's id is that one, so repeated rows with the largest id are all kept.  Other
     columns of ``docs`` are ignored.  The most frequent blocks, found more than ``hot_rows``
-    times, are first named within salted parts, which then meet as one row each.
+    times, are first named within salted parts, which then meet as one row each; names of frequent
+    pairs, and the largest groups, come to their rows by broadcast.
     """
     text = text_or_empty("text")
     rows = docs.select(F.col("doc_id"), text.alias("t")).select(
@@ -73,15 +74,16 @@ def exact_groups(docs: DataFrame, *, block_chars: int = 4096, hot_rows: int = 20
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
             F.min("occ").alias("occ"),
         )
-        pair_names = pairs.groupBy("left", "right").agg(F.min("occ").alias("name"))
+        pairs = written(pairs, f"pairs-{level}")
+        pair_names = written(pairs.groupBy("left", "right").agg(F.min("occ").alias("name"), F.count("*").alias("size")), f"pair-names-{level}")
         level += 1
-        open_ = written(pairs.join(pair_names, ["left", "right"]).select("rid", "pos", "occ", "name"), f"names-{level}")
+        open_ = written(join_hot(pairs, pair_names, ["left", "right"], "size").select("rid", "pos", "occ", "name"), f"names-{level}")
         longest //= 2
     long_names = open_.filter(F.col("pos") == 0).select("rid", "name")
     long_docs = heads.filter(F.col("n") > 1).drop("name").join(long_names, "rid")
     ids = done.unionByName(long_docs).select("doc_id", "sha", "n", "name")
-    groups = ids.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["n", "name"]).select(
+    groups = written(ids.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
+    return join_hot(ids, groups, ["n", "name"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 

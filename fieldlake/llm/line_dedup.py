@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import table, text_or_empty, written
+from fieldlake.llm.common import join_hot, table, text_or_empty, written
 
 #: A repeated run counts from so many characters on.
 RUN_CHARS = 120
@@ -25,9 +25,7 @@ _WHITE = " \t\n\x0b\f\r"
 #: Lines under so many characters are fingerprints only of windows that have no others.
 LONG_LINE = 16
 #: Lines whose lengths are added up at once: appending to arrays copies them.
-_BLOCK = 64
-#: Keys of over 1 / HOT_KEYS of all rows, and so fewer than HOT_KEYS, are joined by broadcast and the others by sort and merge.
-HOT_KEYS = 1024
+_BLOCK = 32
 
 
 def _marked(text):
@@ -87,10 +85,10 @@ def windows(lines: DataFrame, run_chars: int) -> DataFrame:
     fingerprint w.los holds the first of their first lines and w.gs the fingerprint; w.again
     those fingerprints that the row has as several lines.
     """
-    end = _search("i + 1", "size(ps) - 1", f"get(ps, m) >= p + {run_chars}")
+    end = _search("i + 1", "size(ps) - 1", "get(ps, m) >= z")
     for k in (8, 7, 6, 5, 4, 3, 2, 1):  # most windows have few lines: these are tried before the search
-        end = f"if(get(ps, i + {k}) >= p + {run_chars}, i + {k}, {end})"
-    ends = _let(_sums("size(hs)", "ls"), "ps", f"transform(filter(slice(ps, 1, size(hs)), p -> p <= element_at(ps, -1) - {run_chars}), (p, i) -> {end})")
+        end = f"if(get(ps, i + {k}) >= z, i + {k}, {end})"
+    ends = _let(_sums("size(hs)", "ls"), "ps", f"transform(filter(transform(slice(ps, 1, size(hs)), p -> p + {run_chars}), z -> z <= element_at(ps, -1)), (z, i) -> {end})")
     # The hashes of long lines are negative, so that short lines are the least only among themselves.
     ranked = f"zip_with(hs, ls, (h, l) -> if(l >= {LONG_LINE}, h | shiftleft(1L, 63), h & 9223372036854775807L))"
     least = _let(ranked, "ks", "transform(es, (e, i) -> array_min(slice(ks, i + 1, e - i)))")
@@ -101,23 +99,12 @@ def windows(lines: DataFrame, run_chars: int) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "row", "hs", F.expr(found).alias("w"))
 
 
-def _met(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` joined with ``known`` (g, n: how many rows have it, ...) by g, so that no frequent g lands in one task."""
-    total = known.agg(F.sum("n")).first()[0] or 0
-    hot = known.filter(F.col("n") * HOT_KEYS > total)  # fewer than HOT_KEYS rows
-    keys = [r["g"] for r in hot.select("g").collect()]
-    if not keys:
-        return rows.join(known.hint("merge"), "g")
-    cold = rows.filter(~F.col("g").isin(keys)).join(known.hint("merge"), "g")
-    return rows.filter(F.col("g").isin(keys)).join(F.broadcast(hot), "g").unionByName(cold)
-
-
 def grams(docs: DataFrame, run_chars: int) -> DataFrame:
     """g, doc_id, row, lo and hi (first line, line after the last) of every sequence that may be repeated."""
     lines = written(windows(line_table(docs), run_chars), "windows").select("rid", "doc_id", "row", "hs", "w.*")
     counts = lines.select(F.explode(F.concat("gs", "again")).alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     places = lines.select("rid", F.explode(F.expr("transform(gs, (g, k) -> struct(g, get(los, k) as i, coalesce(get(los, k + 1), size(ends)) - 1 as j))")).alias("p")).select("rid", "p.*")
-    held = _met(places, written(counts, "fingerprints")).groupBy("rid").agg(F.collect_list(F.struct("i", "j")).alias("ranges"))  # at most the row's lines
+    held = join_hot(places, written(counts, "fingerprints"), ["g"], "n").groupBy("rid").agg(F.collect_list(F.struct("i", "j")).alias("ranges"))  # at most the row's lines
     # From each first line: its window, and what goes on from there until the next line's window ends.
     spans = "flatten(transform(flatten(transform(ranges, r -> sequence(r.i, r.j))), i -> transform(sequence(get(ends, i), greatest(get(ends, i), coalesce(get(ends, i + 1), size(hs) + 1) - 1)), e -> struct(xxhash64(slice(hs, i + 1, e - i)) as g, i as lo, e as hi))))"
     found = lines.select("rid", "doc_id", "row", "hs", "ends").join(held.hint("merge"), "rid")
@@ -130,7 +117,7 @@ def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     place = F.struct("doc_id", "row", "lo")
     # Rows of equal id and text have equal places, so that they are no copies of each other.
     first = own.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = _met(own, written(first, "first-places")).filter(place > F.col("first")).select("doc_id", "row", F.struct("lo", "hi").alias("w"))
+    later = join_hot(own, written(first, "first-places"), ["g"], "n").filter(place > F.col("first")).select("doc_id", "row", F.struct("lo", "hi").alias("w"))
     merged = F.expr(
         """aggregate(concat(sort_array(ws), array(struct(2147483647 as lo, 2147483647 as hi))),
             cast(struct(-1 as lo, -1 as hi, array() as cuts) as struct<lo:int, hi:int, cuts:array<struct<lo:int, hi:int>>>),

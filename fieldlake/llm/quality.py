@@ -2,8 +2,9 @@
 
 Every text is cut into small pieces and each is compressed with a dictionary trained on good
 and with one trained on bad labelled texts.  The difference of the two sizes for each byte of
-text, with how well the text compresses at all, is calibrated into a probability by a weighted
-logistic regression on labelled texts that neither dictionary has seen.
+text, with the smaller size for each byte (how well the text compresses at all), is calibrated
+into a probability by a weighted logistic regression on labelled texts that neither dictionary
+has seen.  A text's length is no input.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from fieldlake.llm.common import table
 
 #: Labelled rows of each class that are fitted, half of them for the dictionaries: the bound of the sample.
 SAMPLE = 1600
+#: Characters of a fitted text, a bound of the same sample; every text is scored whole.
+SAMPLE_CHARS = 200_000
 PIECE, LEVEL, DICTIONARY = 512, 3, 112_640
 THRESHOLD = 0.3
 
@@ -54,8 +57,8 @@ class Model:
     def features(self, texts: list[str | None]) -> np.ndarray:
         n, good, bad = np.array([self.sizes(t) for t in texts], float).reshape(-1, 3).T
         n = np.maximum(n, 1)
-        x, r, size = (bad - good) / n, np.minimum(good, bad) / n, np.log(n)
-        return np.stack([x, r, size, x * x, r * r, x * r, x * size], 1)
+        x, r = (bad - good) / n, np.minimum(good, bad) / n
+        return np.stack([x, r, x * x, r * r, x * r], 1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
@@ -103,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = (counts.get(1, 0) + 1) / (total + 2)
     chosen = [known.filter(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("quality", "text", F.xxhash64("doc_id").alias("h")).toPandas()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("quality", F.col("text").substr(1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
+    rows = rows.orderBy("h", "text").limit(2 * sample).toPandas()  # rows that repeat a doc_id don't lengthen the sample
     rows = rows.sort_values(["h", "text"], ignore_index=True)
     parts = {k: rows.text[rows.quality == k].tolist() for k in (0, 1)}
     if min(map(len, parts.values())) < 4:

@@ -66,8 +66,6 @@ class Codec:
             row[: len(p)] = list(map(ord, p))
         self.letters, inverse = np.unique(np.r_[np.uint32(0), spelt.ravel()], return_inverse=True)
         self.spelt = inverse[1:].reshape(spelt.shape)
-        self.rank_of = {p: r for p, _, r in self.many}
-        self.id_of = {p: i for p, (i, _) in v.pieces.items()}
         inside = set("".join(p for p, _, _ in self.many))
         apart = "".join(c for c in "\n\t\r" if c not in inside)  # no piece joins these with others
         self.unit = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + (f"|[{apart}]" if apart else ""))
@@ -86,33 +84,47 @@ class Codec:
             return [i]
         return [self.vocabulary.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if self.vocabulary.bytes_ else [self.vocabulary.unknown]
 
-    def _ids(self, symbols: list[str]) -> bytes:
-        out: list[int] = []
-        for s in symbols:
-            i = self.id_of.get(s)
-            out += [i] if i is not None else self._char(s)
-        return np.array(out, np.uint16).tobytes()
+    def _merge_long(self, units: list[str]) -> None:
+        """Ids of long units: the suffix array's edges, relaxed in the same order with a heap."""
+        text = "\0".join(units)
+        at, length, number = self._edges(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        reach, none = self.longest + 1, len(self.lengths)
+        edge = np.full(len(text) * reach, none, np.uint16)
+        edge[at * reach + length] = number
+        base = 0
+        for unit in units:
+            self.known[unit] = self._heap(unit, edge[base * reach : (base + len(unit)) * reach], reach)
+            base += len(unit) + 1
+
+    def _heap(self, unit: str, edge: np.ndarray, reach: int) -> bytes:
+        """Merges of one unit; ``edge`` has the number of the piece of each length at each position."""
+        n, none = len(unit), int(_NONE)
+
+        def rank(lo: int, hi: int) -> int:
+            return int(self.ranks[edge[lo * reach + hi - lo]]) if hi - lo < reach else none
 
-    def _heap(self, unit: str) -> bytes:
-        """Merges of a long unit, by the same order."""
-        n, rank = len(unit), self.rank_of.get
         ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(unit[i : i + 2])) is not None]
+        alive = bytearray(b"\1" * n)
+        firsts = self.ranks[edge[np.arange(n - 1) * reach + 2]]
+        heap = [(int(firsts[i]), i, i + 2) for i in np.nonzero(firsts < _NONE)[0].tolist()]
         heapq.heapify(heap)
         while heap:
             _, i, end = heapq.heappop(heap)
             j = after[i] if alive[i] else n
             if j >= n or ends[j] != end:
                 continue
-            alive[j], ends[i], after[i] = False, end, after[j]
+            alive[j], ends[i], after[i] = 0, end, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := rank(unit[i : ends[after[i]]])) is not None:
+                if (r := rank(i, ends[after[i]])) < none:
                     heapq.heappush(heap, (r, i, ends[after[i]]))
-            if before[i] >= 0 and (r := rank(unit[before[i] : end])) is not None:
+            if before[i] >= 0 and (r := rank(before[i], end)) < none:
                 heapq.heappush(heap, (r, before[i], end))
-        return self._ids([unit[i : ends[i]] for i in range(n) if alive[i]])
+        out: list[int] = []
+        for i in range(n):
+            if alive[i]:
+                out += self._char(unit[i]) if ends[i] == i + 1 else [int(self.ids[edge[i * reach + ends[i] - i]])]
+        return np.array(out, np.uint16).tobytes()
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, length and number of every occurrence of a piece in the text, by position."""
@@ -236,7 +248,7 @@ class Codec:
         if len(self.known) > KEPT_UNITS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new, size = [], 0
+        new, size, long, long_size = [], 0, [], 0
         for u in set().union(*units):
             if u in known:
                 continue
@@ -244,7 +256,11 @@ class Codec:
                 known[u] = older[u]
                 continue
             if len(u) > LONG_UNIT:
-                known[u] = self._heap(u)
+                long.append(u)
+                long_size += len(u)
+                if long_size >= INDEX_CHARS:
+                    self._merge_long(long)
+                    long, long_size = [], 0
                 continue
             new.append(u)
             size += len(u) + 1
@@ -253,12 +269,21 @@ class Codec:
                 new, size = [], 0
         if new:
             self._index(new)
+        if long:
+            self._merge_long(long)
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), np.uint16) for own in units]
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.out.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
+    def decode(self, ids: list[int | None] | np.ndarray) -> str:
+        """The text; ids that are no piece's, and nulls, count as the unknown one, bytes that are no text give U+FFFD."""
+        out, unknown = self.out, self.out[self.vocabulary.unknown]
+        size = len(out)
+        raw = b"".join([out[i] if i is not None and 0 <= i < size else unknown for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
+        raw = raw[1:] if raw[:1] == b" " else raw
+        try:
+            return raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -314,13 +339,17 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids give a null text."""
+    """doc_id and text of every row of ``encoded`` (doc_id, ids).
+
+    A null list gives a null text; a null, negative or too large id in a list counts as the
+    unknown one; bytes that are no text give U+FFFD.  Other columns are ignored.
+    """
     vocabulary = Vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, vocabulary)
         for batch in batches:
-            texts = [None if x is None else codec.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     id_type = encoded.schema["doc_id"].dataType.simpleString()

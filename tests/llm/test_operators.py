@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldlake.llm import decontaminate, exact_dedup, html_text, licences, line_dedup, lm_score, near_dedup, quality, registry, sentencepiece_codec, url_filter
+from fieldlake.llm import common, decontaminate, exact_dedup, html_text, licences, line_dedup, lm_score, near_dedup, quality, registry, sentencepiece_codec, url_filter
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -238,6 +238,14 @@ def test_decode_table(spark):
     assert [r["text"] for r in rows] == texts
 
 
+def test_decode_never_fails(spark):
+    assert CODEC.decode([CODEC.vocabulary.bytes_[0x80]]) == "\ufffd" == SP.decode([CODEC.vocabulary.bytes_[0x80]])
+    cases = [[CODEC.vocabulary.bytes_[0x80], 300], [-1], [10**9], [None, 300], [], None]
+    rows = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(spark.createDataFrame(list(enumerate(cases)), "doc_id long, ids array<int>")).collect()}
+    one = SP.decode([300])
+    assert rows[0] == "\ufffd" + one and rows[1] == rows[2] and "⁇" in rows[1] and rows[3].endswith(one) and rows[4] == "" and rows[5] is None
+
+
 # Licences.
 
 
@@ -297,6 +305,13 @@ def test_leaks_with_edits_against_brute_force(spark):
     assert left == set(range(60)) - {i for i, _ in expected}
 
 
+def test_short_items_are_found_as_they_stand(spark):
+    items = [(1, "Seven sharp swords shine in snow, sir."), (2, "yes"), (3, "two words"), (4, "Pack my box")]
+    texts = ["it says: seven  sharp swords\nshine in snow, SIR. and more", "xseven sharp swords shine in snow, sir.", "yes and two words", "YES", "unpack my boxes", "(pack my box)"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1), (3, 2), (5, 4)}
+
+
 # Lines.
 
 
@@ -389,7 +404,7 @@ def test_partial_earlier_copies_leave_no_repeat(spark):
 
 @pytest.mark.parametrize("hot", [2, 12, 1024])
 def test_frequent_fingerprints_are_joined_alike(spark, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
     rng = random.Random(12)
     line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)) + "."
     shared = [line(rng.randint(30, 150)) for _ in range(12)]
@@ -518,7 +533,8 @@ def test_nothing_is_learnt_from_held_out_labels(spark, sf):
 
 
 @pytest.mark.parametrize("hot", [2000, 2])
-def test_block_names_against_grouping(spark, hot):
+def test_block_names_against_grouping(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", 1024 if hot == 2000 else 20)
     rng = random.Random(4)
     kinds = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["a" * 16, "a" * 17, "", "ab" * 16]
     texts = [rng.choice(kinds) for _ in range(300)]
