@@ -10,9 +10,9 @@ _ISC_WARRANTY = (
     "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 _BSD_HEAD = (
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
 )
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_WARRANTY = (
@@ -44,4 +44,5 @@ NAMES = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GP
 
 
 def known() -> list[tuple[str, str]]:
-    return [*TEXTS, *((n, notice.format(n)) for n in NAMES for notice in ("SPDX-License-Identifier: {}", "Licensed under {}.", "Released under the {} license."))]
+    in_one_line = [(n, t.replace("\n", " ")) for n, t in TEXTS if "\n" in t]
+    return [*TEXTS, *in_one_line, *((n, notice.format(n)) for n in NAMES for notice in ("SPDX-License-Identifier: {}", "Licensed under {}.", "Released under the {} license."))]

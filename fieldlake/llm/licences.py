@@ -1,6 +1,7 @@
 """Licences by canonical digest, with DataFrame operations only.
 
-A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and
+A text is normalised (case, copyright lines, a title, marks of lists, equivalent spellings,
+punctuation, white space) and
 its digest is joined with those of the known licence texts and notices.  Texts are whole
 documents, and each line as a text of its own, since notices stand among other lines.
 """
@@ -18,7 +19,11 @@ from fieldlake.llm.licence_texts import known
 MAX_KNOWN = 100_000
 #: Normalisation in order: (pattern, replacement), after lower case.
 RULES = (
-    (r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    # Copyright lines: a sign or a year follows, unlike in lines of a licence that begin with the word.
+    (r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|[0-9][0-9][0-9][0-9])|\(c\)|©)[^\n]*", "\n"),
+    (r"\ball rights reserved\b", " "),
+    (r"^[ \t\n]*(the )?(mit|isc|((new|simplified|modified|revised) )?bsd)( ?[2-4]?[- ]clause)?( [\"'a-z]+)? licen[cs]e( \([a-z0-9 -]*\))?[ \t]*\n", ""),
+    (r"(^|\n)[ \t]*([0-9]?[0-9][.)]|\([a-z0-9]\)|[*•-])[ \t]+", "\n"),
     (r"[&]", " and "),
     (r"[^\p{L}\p{N}]+", " "),
     (r"\blicence", "license"),
@@ -82,17 +87,17 @@ def op5_licence_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("licences", F.array_join("licences", " "))
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _sql_canonical(text: str) -> str:
     out = f"lower({text})"
     for pattern, to in RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')".replace("'\n'", "chr(10)")
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '{to}', 'g')".replace("'\n'", "chr(10)")
     return out
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 OP5_SQL = f"""
 WITH known AS (
   SELECT sha256({_sql_canonical("body")}) AS digest, min(licence) AS licence

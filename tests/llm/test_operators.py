@@ -257,6 +257,17 @@ def test_licences(spark):
     assert rows[1]["whole_licence"] is None and rows[2]["licences"] == [] and rows[3]["licences"] == []
 
 
+def test_spellings_of_whole_licences(spark):
+    mit, bsd = (next(t for n, t in licences.known() if n == name) for name in ("MIT", "BSD-3-Clause"))
+    mit = mit.partition("\n")[2]
+    texts = [
+        "Copyright (c) 2020, X\nAll rights reserved.\n\n" + bsd, "BSD 3-Clause License\n\nCopyright (c) 2020, X\n" + bsd, "Copyright 2001 Y\n" + bsd.replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * "), bsd.replace("\n", " "),
+        "The MIT License (MIT)\n\nCopyright (c) 2001 Z\n\n" + mit, "MIT License\n" + mit.replace("AUTHORS OR ", "AUTHORS OR\n").replace("The above ", "\nThe above\n"), "copyright notice\n" + bsd, "copyright holders\n" + mit,
+    ]
+    rows = {r["doc_id"]: r["whole_licence"] for r in licences.scan(frame(spark, texts)).collect()}
+    assert rows == {0: "BSD-3-Clause", 1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "BSD-3-Clause", 4: "MIT", 5: "MIT", 6: None, 7: None}
+
+
 @pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")])
 def test_whole_licence_texts(spark, name, file):
     text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
