@@ -7,33 +7,38 @@ again as the next stage's documents; all but the last return the columns of docu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldlake.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
-from fieldlake.llm.common import table, written
+from fieldlake.llm.common import WORD, table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts have the labels' share as their score."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; documents stay, if only with what is theirs alone."""
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    """Later repeated runs of lines go, and documents that have no word left.
+
+    So a later copy of a whole document goes here, and doesn't end up as an empty row; null, empty
+    and blank texts go too.  Every other document stays with what is its own.
+    """
+    return line_dedup.dedup_lines(docs).select(docs.columns).filter(F.col("text").rlike(WORD))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; texts without words are in none."""
     return near_dedup.keep_one(docs)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item stands go."""
+    """Documents in which a benchmark item stands go; without items all stay."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, one row for each document."""
     return sentencepiece_codec.encode(docs)
 
 
