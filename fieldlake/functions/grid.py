@@ -74,12 +74,11 @@ class Grid:
 
     def modes(self, spark: SparkSession) -> DataFrame:
         """ky, kz, kx of the half spectrum."""
-        def axis(name: str, n: int, half: bool = False) -> DataFrame:
-            lo, hi = (0, n // 2) if half else self.signed(n)
-            return spark.range(lo, hi + 1).select(F.col("id").cast("int").alias(name))
-
-        # Bounded by the grid's edges, not by data: one axis at a time.
-        return axis("ky", self.ny).join(axis("kz", self.nz)).join(axis("kx", self.nx, True))
+        nkx = self.nx // 2 + 1
+        signed = lambda k, n: F.when(k <= n // 2, k).otherwise(k - n).cast("int")
+        at = F.col("id")
+        ky, kz = F.floor(at / (nkx * self.nz)), F.pmod(F.floor(at / nkx), F.lit(self.nz))
+        return spark.range(self.ny * self.nz * nkx).select(signed(ky, self.ny).alias("ky"), signed(kz, self.nz).alias("kz"), F.pmod(at, F.lit(nkx)).cast("int").alias("kx"))
 
     def coordinates(self, spark: SparkSession, axis: str) -> DataFrame:
         """Positions of the axis's points."""

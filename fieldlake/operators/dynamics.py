@@ -8,12 +8,12 @@ from dataclasses import dataclass, field as default
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.model import SpectralField
+from fieldlake.model import RealField, SpectralField
 from fieldlake.operators.particles import advance, sample
 from fieldlake.operators.spectral import _cross_k, add_forcing, dealias, divergence_free, invert_curl, symmetrize
-from fieldlake.operators.stats import cospectrum, cross_product, moments
+from fieldlake.operators.stats import cospectrum, cross_product, histogram, moments
 from fieldlake.operators.transform import dft, ift
-from fieldlake.sources.shared import written
+from fieldlake.sources.shared import drop_written, written
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,10 @@ def _cut(f: SpectralField, name: str) -> SpectralField:
     return f.with_df(written(f.df, name))
 
 
+def _cut_real(f: RealField, name: str) -> RealField:
+    return f.with_df(written(f.df, name))
+
+
 def step(w: SpectralField, flow: Flow) -> SpectralField:
     """One step in time: three stages with exact viscous factors.  Each stage is written down, so plans stay short."""
     if flow.frozen:
@@ -58,24 +62,34 @@ def step(w: SpectralField, flow: Flow) -> SpectralField:
     v1 = _cut(combine(w, w, nonlinear(w, flow.forcing), lambda a, b, n: (b + dt * n) * decay(dt)), "stage-1")
     v2 = _cut(combine(w, v1, nonlinear(v1, flow.forcing), lambda a, b, n: 0.25 * (3 * a * decay(dt / 2) + (b + dt * n) * decay(-dt / 2))), "stage-2")
     v3 = combine(w, v2, nonlinear(v2, flow.forcing), lambda a, b, n: (a * decay(dt / 2) + 2 * (b + dt * n)) * decay(dt / 2) / 3)
-    return _cut(symmetrize(divergence_free(v3)), "stage-3")
+    v3 = _cut(divergence_free(v3), "stage-3")
+    out = _cut(symmetrize(v3), "step")  # reads its input three times, so not the whole stage
+    for old in (v1, v2, v3):
+        drop_written(old.df)
+    return out
 
 
 def carry(particles: DataFrame, w: SpectralField, flow: Flow, neighbours: int, smoothness: int, steps: int) -> DataFrame:
     """Particles moved with the velocity of the present vorticity."""
-    u = ift(invert_curl(w))
+    return _carried(particles, ift(invert_curl(w)), flow, neighbours, smoothness, steps)
+
+
+def _carried(particles: DataFrame, u: RealField, flow: Flow, neighbours: int, smoothness: int, steps: int) -> DataFrame:
     found = sample(particles.select("particle", "x", "y", "z"), u, neighbours, smoothness)
     return written(advance(particles.select("particle", "x", "y", "z", "step", "rhs"), found, "particle", flow.dt, steps), "particles")
 
 
 def run(
     w: SpectralField, flow: Flow, iterations: int, *, particles: DataFrame | None = None, neighbours: int = 1, smoothness: int = 1, steps: int = 4,
-    every_stat: int = 1, every_out: int = 0, on_stats: Callable | None = None, on_output: Callable | None = None, stop: Callable[[], bool] | None = None, first: int = 0,
+    every_stat: int = 1, every_out: int = 0, on_stats: Callable | None = None, on_output: Callable | None = None, stop: Callable[[], bool] | None = None, first: int = 0, drop: bool = False,
 ) -> tuple[SpectralField, DataFrame | None, int]:
     """Iterations ``first`` .. ``first + iterations``: statistics, output, particles, then the fluid.
 
     ``on_stats`` and ``on_output`` get (iteration, vorticity, particles); both are also called at
-    the end.  ``stop`` is asked before every iteration.  Returns the last state and its iteration.
+    the end.  ``stop`` is asked before every iteration.  ``particles`` may be one frame for each
+    species, and then so are ``neighbours``, ``smoothness`` and ``steps``.  With ``drop`` the
+    folders of past states go, so nothing may read them later.  Returns the last state and its
+    iteration.
     """
     if every_out and iterations % every_out:
         raise ValueError("the number of iterations is a multiple of the output's interval")
@@ -89,13 +103,31 @@ def run(
         if due:
             return w, particles, k
         if particles is not None:
-            particles = carry(particles, w, flow, neighbours, smoothness, steps)
-        w = step(w, flow)
+            past = particles
+            if isinstance(particles, dict):
+                u = _cut_real(ift(invert_curl(w)), "velocity")
+                particles = {s: _carried(p, u, flow, neighbours[s], smoothness[s], steps[s]) for s, p in particles.items()}
+                drop_written(u.df)
+            else:
+                particles = carry(particles, w, flow, neighbours, smoothness, steps)
+            if drop:
+                for p in past.values() if isinstance(past, dict) else [past]:
+                    drop_written(p)
+        past_w, w = w, step(w, flow)
+        if drop and past_w is not w:
+            drop_written(past_w.df)
         k += 1
 
 
-def flow_stats(w: SpectralField, iteration: int) -> dict[str, DataFrame]:
-    """Moments and spectra of velocity and vorticity, keyed by iteration."""
-    u = invert_curl(w)
+def flow_stats(w: SpectralField, iteration: int, limits: dict[str, float] | None = None, bins: int = 129) -> dict[str, DataFrame]:
+    """Moments, histograms and spectra of velocity and vorticity, keyed by iteration.
+
+    ``limits`` are those of the histograms, by field: of a magnitude, and by the root of 3 of a component.
+    """
+    limits = {"velocity": 1.0, "vorticity": 1.0} | (limits or {})
     mark = lambda df: df.withColumn("snapshot", F.lit(iteration).cast("long"))
-    return {"velocity_moments": mark(moments(ift(u))), "vorticity_moments": mark(moments(ift(w))), "velocity_spectrum": mark(cospectrum(u)), "vorticity_spectrum": mark(cospectrum(w))}
+    out = {}
+    for name, f in (("velocity", invert_curl(w)), ("vorticity", w)):
+        real, most = ift(f), limits[name]
+        out |= {f"{name}_moments": mark(moments(real)), f"{name}_histogram": mark(histogram(real, [most / 3**0.5] * 3 + [most], bins)), f"{name}_spectrum": mark(cospectrum(f))}
+    return out

@@ -208,9 +208,11 @@ def add_forcing(dst: SpectralField, vorticity: SpectralField, factor: float, for
 
 def resize(f: SpectralField, grid: Grid) -> SpectralField:
     """The same amplitudes on another grid: modes that both can hold, zero elsewhere."""
-    spark = f.df.sparkSession
     inside = (F.col("kx") <= grid.nx // 2) & F.col("ky").between(*grid.signed(grid.ny)) & F.col("kz").between(*grid.signed(grid.nz))
     kept = f.df.filter(inside)
-    dense = f.df.select("snapshot").distinct().join(F.broadcast(grid.modes(spark)))
+    # Every mode of the other grid, one axis after another: a row never holds more than an axis.
+    along = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi)))
+    dense = f.df.select("snapshot").distinct().select("snapshot", along(*grid.signed(grid.ny)).alias("ky")).repartition("snapshot", "ky")
+    dense = dense.select("snapshot", "ky", along(*grid.signed(grid.nz)).alias("kz")).select("snapshot", "ky", "kz", along(0, grid.nx // 2).alias("kx"))
     out = dense.join(kept, list(MODE), "left").select(*MODE, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in f.values])
     return SpectralField(out, grid, f.components)

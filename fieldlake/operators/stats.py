@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +71,15 @@ def histogram(f: RealField, limits: list[float], bins: int, fill: bool = True) -
     kinds = names_of(f.components) + (["m"] if f.components == 3 else [])
     if len(limits) != len(kinds):
         raise ValueError(f"{len(kinds)} limits are needed")
-    number = F.coalesce(*[F.when(F.col("component") == n, bin_of(F.col("v"), lim, bins, n != "m")) for n, lim in zip(kinds, limits)])
-    counted = long_form(f).withColumn("bin", number.cast("int")).filter(F.col("bin").between(0, bins - 1)).groupBy("snapshot", "component", "bin").agg(F.count("*").alias("cnt"))
+    number = F.coalesce(*[F.when(F.col("component") == n, bin_of(F.col("v"), lim, bins, n != "m")) for n, lim in zip(kinds, limits)]).cast("int")
+    inside = F.when(number.between(0, bins - 1), number).otherwise(-1)
+    counted = long_form(f).groupBy("snapshot", "component", inside.alias("bin")).agg(F.count("*").alias("cnt"))
     if not fill:
-        return counted
-    spark = f.df.sparkSession
-    names = F.explode(F.array(*map(F.lit, kinds))).alias("component")
-    every = f.df.select("snapshot").distinct().select("snapshot", names).join(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
-    return every.join(counted, ["snapshot", "component", "bin"], "left").select("snapshot", "component", "bin", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+        return counted.filter("bin >= 0")
+    # The field is read once: its counts, at most one for each bin, make the row that the bins are read from.
+    known = counted.groupBy("snapshot", "component").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("known"))
+    every = known.select("snapshot", "component", "known", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.select("snapshot", "component", "bin", F.coalesce(F.try_element_at("known", F.col("bin")), F.lit(0)).cast("long").alias("cnt"))
 
 
 def joint_histogram(f1: RealField, f2: RealField, limit1: float, limit2: float, bins: int, signed: bool = False) -> DataFrame:
@@ -157,13 +160,13 @@ def gradient_invariants(a: RealField) -> RealField:
     """TrS2, Q and R of a velocity gradient (nine components, derivative first)."""
     components_of(a, 9)
     m = [[F.col(f"v{3 * d + c}") for c in range(3)] for d in range(3)]
-    xx, yy, zz = (m[i][i] for i in range(3))
-    xy, yx, yz, zy, zx, xz = m[0][1], m[1][0], m[1][2], m[2][1], m[2][0], m[0][2]
-    diagonal = xx * xx + yy * yy + zz * zz
-    tr_s2 = diagonal + 0.5 * ((xy + yx) * (xy + yx) + (yz + zy) * (yz + zy) + (zx + xz) * (zx + xz))
-    q = -0.5 * diagonal - xy * yx - yz * zy - zx * xz
-    third = lambda d, p, s: d * (d * d / 3 + p + s)
-    r = -(third(xx, xy * yx, zx * xz) + third(yy, xy * yx, yz * zy) + third(zz, zx * xz, yz * zy) + xy * yz * zx + xz * yx * zy)
+    add = lambda terms: functools.reduce(operator.add, terms)
+    three = range(3)
+    strain = [[(m[i][j] + m[j][i]) * 0.5 for j in three] for i in three]
+    square = [[add(m[i][k] * m[k][j] for k in three) for j in three] for i in three]
+    tr_s2 = add(strain[i][j] * strain[i][j] for i in three for j in three)
+    q = add(square[i][i] for i in three) * -0.5
+    r = add(square[i][j] * m[j][i] for i in three for j in three) / -3
     return a.map(tr_s2, q, r)
 
 

@@ -13,6 +13,7 @@ from fieldlake.operators import particles as P
 from fieldlake.operators import spectral as S
 from fieldlake.operators import stats as A
 from fieldlake.operators import transform as T
+from fieldlake.plans import jobs
 from fieldlake.plans import views as V
 from fieldlake.plans.spectra import cube, line, r, rounded
 from fieldlake.sources import io
@@ -49,7 +50,7 @@ def _lagrange_sql(n: int) -> str:
     return f"SELECT xi, j, {r(f'CASE j {cases} END', 'w')} FROM (SELECT unnest(range(9)) / 9 AS xi), (SELECT CAST(unnest(range({2 * n + 2})) AS INTEGER) AS j)"
 
 
-for _n in (1, 2, 3, 4):
+for _n in range(1, 11):
     query(f"p2_lagrange_n{_n}", _lagrange_sql(_n))(lambda s, d, n=_n: _kernel_table(s, "lagrange", n, 0))
 # Cubic and linear splines with one neighbour, in their usual closed forms.
 _CUBIC = ["-xi / 2 + xi * xi - power(xi, 3) / 2", "1 - 2.5 * xi * xi + 1.5 * power(xi, 3)", "xi / 2 + 2 * xi * xi - 1.5 * power(xi, 3)", "-xi * xi / 2 + power(xi, 3) / 2"]
@@ -98,7 +99,7 @@ query(
     st AS (SELECT particle, ((cx + i - 1) % 4 + 4) % 4 AS ix, ((cy + j - 1) % 4 + 4) % 4 AS iy, ((cz + k - 1) % 4 + 4) % 4 AS iz, (CASE i {_C3('ox')} END) * (CASE j {_C3('oy')} END) * (CASE k {_C3('oz')} END) AS w
       FROM loc, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest(range(4)) AS k))
     SELECT particle, {r('sum(w * a)', 's0')}, {r('sum(w * b)', 's1')}, {r('sum(w * d)', 's2')} FROM st JOIN vec USING (iz, iy, ix) WHERE snapshot = 0 GROUP BY particle""",
-)(lambda s, d: rounded(P.sample(V.pts3(s, d), (v := V.vec3d(s, d)).with_df(v.df.filter("snapshot = 0")), 1, 1), ["particle"], ["s0", "s1", "s2"]))
+)(lambda s, d: rounded(P.sample(V.orders3(s, d), (v := V.vec3d(s, d)).with_df(v.df.filter("snapshot = 0")), 1, 1), ["particle"], ["s0", "s1", "s2"]))
 
 
 def _filtered(s, d):
@@ -118,10 +119,16 @@ query(
 _DT = 0.010471975511965977
 
 
+#: The usual weights of orders 1 to 6, (common denominator, numerators from the present step back).
+_WEIGHTS = [
+    (1, (1,)), (2, (3, -1)), (12, (23, -16, 5)), (24, (55, -59, 37, -9)), (720, (1901, -2774, 2616, -1274, 251)), (1440, (4277, -7923, 9982, -7298, 2877, -475)),
+]
+
+
 def _steps_sql(steps: int) -> str:
     forms = []
     for k in range(1, steps + 1):
-        forms.append(f"WHEN {k} THEN " + " + ".join(f"({float(c)!r}) * r{i}" for i, c in enumerate(K.adams_bashforth(k))))
+        forms.append(f"WHEN {k} THEN " + " + ".join(f"({c / _WEIGHTS[k - 1][0]!r}) * r{i}" for i, c in enumerate(_WEIGHTS[k - 1][1])))
     lags = ", ".join(f"lag(x, {k}) OVER w AS r{k}" for k in range(1, steps)) or "NULL AS none"
     return f"""WITH {V.TRAJ}, l AS (SELECT particle, step, least(row_number() OVER w, {steps}) AS "order", x AS r0, {lags} FROM traj WINDOW w AS (PARTITION BY particle ORDER BY step)),
     m AS (SELECT particle, step, "order", {_DT} * (CASE "order" {' '.join(forms)} END) AS dx FROM l)
@@ -184,7 +191,7 @@ query("g4_randomize_phases", f"WITH {V.SPEC} SELECT snapshot, kx, {r('re * re +
 )
 query("g5_tracers")(lambda s, d: G.tracers(s, 1000))
 query("g6_regular_cloud", f"WITH {V.PTS3} SELECT particle AS centre, CAST(m AS INTEGER) AS member, {r('x + ((m % 3) / 2 - 0.5) * 0.3', 'x')}, {r('y + ((m // 3 % 3) / 2 - 0.5) * 0.3', 'y')}, {r('z + ((m // 9) / 2 - 0.5) * 0.3', 'z')} FROM pts3, (SELECT unnest(range(27)) AS m)")(
-    lambda s, d: rounded(G.regular_cloud(V.pts3(s, d), 3, 0.3), ["centre", "member"], ["x", "y", "z"])
+    lambda s, d: rounded(G.regular_cloud(V.orders3(s, d), 3, 0.3), ["centre", "member"], ["x", "y", "z"])
 )
 query("g6_random_cloud")(lambda s, d: G.random_cloud(V.orders3(s, d), 4, 0.1))
 query("g6_lattice", f"SELECT p AS particle, {r('p % 5 * 2 * pi() / 5', 'x')}, {r('p // 5 * 2 * pi() / 5', 'y')}, 0.0 AS z FROM (SELECT unnest(range(25)) AS p)")(lambda s, d: rounded(G.lattice(s, 5), ["particle"], ["x", "y", "z"]))
@@ -203,47 +210,43 @@ query("s3_zslice", _VOUT + " WHERE iz = 0")(lambda s, d: rounded(io.zslice(_stor
 query("s4_xline", _VOUT + " WHERE iz = 0 AND iy = 0")(lambda s, d: rounded(io.xline(_stored(s, d)).df, POINT, ["v0", "v1", "v2"]))
 
 
-def _binary(s, d):
-    f, path = V.vec3d(s, d), new_path(s, "native")
-    io.write_binary(f.with_df(f.df.filter("snapshot = 4")), path)
-    return rounded(io.read_binary(s, path, V.CUBE, 3, 4).df, POINT, ["v0", "v1", "v2"])
-
-
-query("s5_binary", _VOUT + " WHERE snapshot = 4")(_binary)
+def _native(s, d) -> tuple[str, dict[int, str]]:
+    """All snapshots as native files, by one job: a path for tables, and the files."""
+    path = new_path(s, "native")
+    name = lambda k: f"{path}-{io.binary_name('run', 'r', 'velocity', k)}"
+    return path, {k: name(k) for k in io.write_binary(V.vec3d(s, d), name)}
 
 
 def _converted(s, d):
-    f, path = V.vec3d(s, d), new_path(s, "native")
-    files = {}
-    for k in (1, 2):
-        files[k] = f"{path}-{io.binary_name('run', 'r', 'velocity', k)}"
-        io.write_binary(f.with_df(f.df.filter(F.col("snapshot") == k)), files[k])
+    path, files = _native(s, d)
     io.binary_to_table(s, files, path, "velocity", V.CUBE, 3)
     return rounded(io.read_field(s, path, "velocity", V.CUBE, "real").df, POINT, ["v0", "v1", "v2"])
 
 
-query("s9_binary_to_table", _VOUT + " WHERE snapshot IN (1, 2)")(_converted)
+query("s5_binary", _VOUT)(lambda s, d: rounded(io.read_binaries(s, _native(s, d)[1], V.CUBE, 3).df, POINT, ["v0", "v1", "v2"]))
+query("s9_binary_to_table", _VOUT)(_converted)
 
 
 def _checkpointed(s, d):
     w, path = cube(s, d), new_path(s, "checkpoints")
-    c = io.Checkpoints(s, path, Grid(4, 4, 4, dealias="smooth"), per_file=2)
-    for k in (0, 1, 2):
-        c.write(w.with_df(w.df.filter(F.col("snapshot") == k)), k)
-    return c.union().groupBy("snapshot").agg(F.count("*").alias("n")).select(F.col("snapshot").cast("long").alias("snapshot"), "n")
+    c = io.Checkpoints(s, path, Grid(4, 4, 4, dealias="smooth"), per_file=256)
+    c.write_all(w)
+    power = lambda part: sum((F.col(f"{part}{k}") * F.col(f"{part}{k}") for k in range(1, 3)), F.col(f"{part}0") * F.col(f"{part}0"))
+    found = c.union().groupBy("snapshot").agg(F.count("*").alias("n"), F.sum(power("re") + power("im")).alias("power"))
+    return rounded(found.withColumn("snapshot", F.col("snapshot").cast("long")), ["snapshot", "n"], ["power"])
 
 
-query("s8_checkpoints", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(48 AS BIGINT)), (1, 48), (2, 48)) t(snapshot, n)")(_checkpointed)
+query("s8_checkpoints", f"WITH {V.VSPEC} SELECT snapshot, count(*) AS n, {r('sum(ar * ar + ai * ai + br * br + bi * bi + dr * dr + di * di)', 'power')} FROM vs GROUP BY snapshot")(_checkpointed)
 
 
 def _sampled_twice(s, d):
     path, rows = new_path(s, "samples"), V.traj(s, d)
     io.append_samples(rows.filter("step <= 3"), path, "x")
-    io.append_samples(rows.filter("step <= 5"), path, "x")
+    io.append_samples(rows, path, "x")
     return rounded(io.read_samples(s, path, "x"), ["particle", "step"], ["x"])
 
 
-query("s16_samples_once", f"WITH {V.TRAJ} SELECT particle, step, {r('x', 'x')} FROM traj WHERE step <= 5")(_sampled_twice)
+query("s16_samples_once", f"WITH {V.TRAJ} SELECT particle, step, {r('x', 'x')} FROM traj")(_sampled_twice)
 
 
 def _parameters(s, d):
@@ -256,8 +259,11 @@ query("s20_parameters", "SELECT * FROM (VALUES ('name', 'run'), ('nu', '0.1'), (
 
 
 def _rfields(s, d):
-    """Velocity of stored vorticity."""
-    return rounded(T.ift(S.invert_curl(G.abc_modes(s, Grid(8, 8, 8), 1.0, 0.7, 0.5))).df, POINT, ["v0", "v1", "v2"])
+    """Stored vorticity, turned into stored velocity by the job."""
+    grid, at, out = Grid(8, 8, 8), new_path(s, "vorticity"), new_path(s, "velocity")
+    io.write_field(G.abc_modes(s, grid, 1.0, 0.7, 0.5), at, "vorticity")
+    jobs.velocity_fields(s, at, grid, [0], out)
+    return rounded(io.read_field(s, out, "velocity", grid, "real", [0], 3).df, POINT, ["v0", "v1", "v2"])
 
 
 query("s10_velocity_fields", _ABC)(_rfields)

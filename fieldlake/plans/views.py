@@ -56,11 +56,6 @@ def orders3(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("particle"), (F.col("o_totalprice") % 7).alias("x"), (F.col("o_custkey") % 97 / 13.0).alias("y"), (F.col("o_orderkey") % 89 / 11.0 - 2.0).alias("z"))
 
 
-def pts3(spark, d) -> DataFrame:
-    """Every tenth order, as the SQL has it."""
-    return orders3(spark, d).filter("particle % 10 = 0")
-
-
 SIG = "sig AS (SELECT vec_id AS snapshot, unnest(range(64)) AS ix, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 SPEC = f"""{SIG}, spec AS (
   SELECT snapshot, kx, sum(v * cos(2 * pi() * ((ix * kx) % 64) / 64)) / 64 AS re, -sum(v * sin(2 * pi() * ((ix * kx) % 64) / 64)) / 64 AS im,
@@ -93,4 +88,4 @@ VSPEC = f"{VEC}, {MODES}, vs AS ({sums('vec', ['a', 'b', 'd'])})"
 SSPEC = f"{SCAL}, {MODES}, ss AS ({sums('sc', ['v'])})"
 TRAJ = "traj AS (SELECT user_id AS particle, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS x FROM events)"
 PTS = "pts AS (SELECT event_id AS particle, value / 500 * 6.283185307179586 AS x FROM events)"
-PTS3 = "pts3 AS (SELECT o_orderkey AS particle, o_totalprice % 7 AS x, o_custkey % 97 / 13.0 AS y, o_orderkey % 89 / 11.0 - 2.0 AS z FROM orders WHERE o_orderkey % 10 = 0)"
+PTS3 = "pts3 AS (SELECT o_orderkey AS particle, o_totalprice % 7 AS x, o_custkey % 97 / 13.0 AS y, o_orderkey % 89 / 11.0 - 2.0 AS z FROM orders)"

@@ -7,7 +7,8 @@ snapshot or a quantity is a partition filter; growing a series is appending to i
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,15 +91,29 @@ class Checkpoints:
 
     def write(self, w: SpectralField, snapshot: int) -> int:
         """The file's number; a snapshot that is there already is replaced where it stands."""
+        return self._write(w.with_df(w.df.withColumn("snapshot", F.lit(snapshot).cast("long"))), [snapshot])[snapshot]
+
+    def write_all(self, w: SpectralField) -> dict[int, int]:
+        """Every snapshot of ``w``, a job for each file; the files' numbers by snapshot."""
+        return self._write(w, sorted(r[0] for r in w.df.select("snapshot").distinct().collect()))  # one number for each checkpoint
+
+    def _write(self, w: SpectralField, snapshots: list[int]) -> dict[int, int]:
         known = self._known()
-        file = next((f for f, s in known if s == snapshot), None)
-        if file is None:
-            file = max((f for f, _ in known), default=0)
-            if sum(f == file for f, _ in known) >= self.per_file:
-                file += 1
-            self.spark.createDataFrame([(file, snapshot)], "file int, snapshot long").coalesce(1).write.mode("append").parquet(f"{self.path}/index")
-        write_field(w.with_df(w.df.withColumn("snapshot", F.lit(snapshot).cast("long"))), f"{self.path}/{file}", "vorticity", "overwrite")
-        return file
+        placed, sizes = {s: f for f, s in known}, Counter(f for f, _ in known)
+        file, files = max(sizes, default=0), {}
+        for s in snapshots:
+            if s not in placed:
+                if sizes[file] >= self.per_file:
+                    file += 1
+                sizes[file] += 1
+            files[s] = placed.get(s, file)
+        for number in sorted(set(files.values())):
+            own = [s for s in snapshots if files[s] == number]
+            write_field(w.with_df(w.df.filter(F.col("snapshot").isin(own))), f"{self.path}/{number}", "vorticity", "overwrite")
+        new = [(files[s], s) for s in snapshots if s not in placed]
+        if new:  # after the data: what the index names is there
+            self.spark.createDataFrame(new, "file int, snapshot long").coalesce(1).write.mode("append").parquet(f"{self.path}/index")
+        return files
 
     def last(self) -> int | None:
         return max((s for _, s in self._known()), default=None)
@@ -164,9 +179,14 @@ def binary_name(simulation: str, space: str, field: str, iteration: int) -> str:
 
 
 def read_binary(spark: SparkSession, path: str, grid: Grid, components: int, snapshot: int = 0, precision: str = "double", space: str = "real") -> RealField | SpectralField:
-    """A native array: (z, y, x, component) of reals, or (y, z, x/2+1, component) of complex numbers.
+    """A native array: (z, y, x, component) of reals, or (y, z, x/2+1, component) of complex numbers."""
+    return read_binaries(spark, {snapshot: path}, grid, components, precision, space)
+
+
+def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, components: int, precision: str = "double", space: str = "real") -> RealField | SpectralField:
+    """Native arrays by snapshot, all at once.
 
-    The file is cut into planes of the slowest axis, which are parsed by separate rows.
+    The files are read by ranges, a record for each plane of the slowest axis, wherever their splits fall.
     """
     kind = {"double": "f8", "single": "f4"}[precision]
     if space == "real":
@@ -174,13 +194,18 @@ def read_binary(spark: SparkSession, path: str, grid: Grid, components: int, sna
     else:
         slow, middle, fast, width = grid.ny, grid.nz, grid.nx // 2 + 1, 2 * components
     size = middle * fast * width * np.dtype(kind).itemsize
-    content = spark.read.format("binaryFile").load(path).select("content")
-    planes = content.select(F.explode(F.sequence(F.lit(0), F.lit(slow - 1))).alias("p"), "content").select("p", F.expr(f"substring(content, p * {size} + 1, {size})").alias("raw"))
+    if size >= 2**31:
+        raise ValueError("a plane of 2 GB or more is no record")
+    snapshots = sorted(files)
+    # No data source reads records of a fixed length; their numbers follow the order of the files and of their splits.
+    records = spark.sparkContext.binaryRecords(",".join(files[k] for k in snapshots), size).zipWithIndex()
+    numbers = F.array(*[F.lit(int(k)).cast("long") for k in snapshots])
+    planes = spark.createDataFrame(records, "raw binary, i long").select(F.element_at(numbers, (F.floor(F.col("i") / slow) + 1).cast("int")).alias("snapshot"), (F.col("i") % slow).alias("p"), "raw")
     sign = lambda k, n: np.where(k <= n // 2, k, k - n)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, raw in zip(batch["p"], batch["raw"]):
+            for snapshot, p, raw in zip(batch["snapshot"], batch["p"], batch["raw"]):
                 a = np.frombuffer(bytes(raw), kind).reshape(middle, fast, width).astype(float)
                 out: dict = {"snapshot": np.full(middle * fast, snapshot, np.int64)}
                 slow_key, mid_key, fast_key = ("iz", "iy", "ix") if space == "real" else ("ky", "kz", "kx")
@@ -197,35 +222,51 @@ def read_binary(spark: SparkSession, path: str, grid: Grid, components: int, sna
     return SpectralField(planes.mapInPandas(parse, f"snapshot long, ky int, kz int, kx int, {values}"), grid, components)
 
 
-def binary_planes(field: RealField, precision: str = "double") -> DataFrame:
-    """iz and the plane's bytes in native order; the planes one after another are the file."""
+def binary_planes(field: RealField | SpectralField, precision: str = "double") -> DataFrame:
+    """snapshot, p (the slowest axis) and the plane's bytes in native order; the planes one after another are the file."""
     kind = {"double": "f8", "single": "f4"}[precision]
-    g, c, names = field.grid, field.components, field.values
+    g, names = field.grid, field.values
+    if isinstance(field, RealField):
+        keys, shape = ("iz", "iy", "ix"), (g.ny, g.nx, len(names))
+    else:
+        keys, shape = ("ky", "kz", "kx"), (g.nz, g.nx // 2 + 1, len(names))
+    wrap = lambda name, n: F.pmod(F.col(name), F.lit(n)).cast("int")
+    rows = field.df.select("snapshot", (wrap(keys[0], g.ny) if keys[0] == "ky" else F.col(keys[0])).alias("p"), (wrap(keys[1], g.nz) if keys[0] == "ky" else F.col(keys[1])).alias("q"), F.col(keys[2]).alias("r"), *names)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((g.ny, g.nx, c), kind)
-        a[pdf["iy"].to_numpy(), pdf["ix"].to_numpy()] = pdf[names].to_numpy()
-        return pd.DataFrame({"snapshot": [pdf["snapshot"].iat[0]], "iz": [pdf["iz"].iat[0]], "raw": [a.tobytes()]})
+        a = np.zeros(shape, kind)
+        a[pdf["q"].to_numpy(), pdf["r"].to_numpy()] = pdf[names].to_numpy()
+        return pd.DataFrame({"snapshot": [pdf["snapshot"].iat[0]], "p": [pdf["p"].iat[0]], "raw": [a.tobytes()]})
 
-    return field.df.select(*POINT, *field.values).groupBy("snapshot", "iz").applyInPandas(pack, "snapshot long, iz int, raw binary")
+    return rows.groupBy("snapshot", "p").applyInPandas(pack, "snapshot long, p int, raw binary")
 
 
-def write_binary(field: RealField, path: str, precision: str = "double") -> None:
-    """One native file of the field's only snapshot: planes stream through the driver one at a time."""
-    spark = field.df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+def write_binary(field: RealField | SpectralField, path: str | Callable[[int], str], precision: str = "double") -> list[int]:
+    """Native files, one for each snapshot where ``path`` gives names by snapshot; the snapshots.
+
+    A file has one writer, so planes stream through the driver, one partition at a time.
+    """
+    spark, out, done = field.df.sparkSession, None, []
     try:
-        for row in binary_planes(field, precision).orderBy("iz").toLocalIterator():
+        for row in binary_planes(field, precision).orderBy("snapshot", "p").toLocalIterator():
+            if not done or done[-1] != row["snapshot"]:
+                if out is not None:
+                    out.close()
+                if done and not callable(path):
+                    raise ValueError("one file holds one snapshot")
+                done.append(row["snapshot"])
+                at = spark._jvm.org.apache.hadoop.fs.Path(path(row["snapshot"]) if callable(path) else path)
+                out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
             out.write(bytearray(row["raw"]))
     finally:
-        out.close()
+        if out is not None:
+            out.close()
+    return done
 
 
 def binary_to_table(spark: SparkSession, files: dict[int, str], path: str, name: str, grid: Grid, components: int, precision: str = "double", space: str = "real") -> None:
     """Native files by iteration, converted into a table of snapshots."""
-    for iteration, file in sorted(files.items()):
-        write_field(read_binary(spark, file, grid, components, iteration, precision, space), path, name)
+    write_field(read_binaries(spark, files, grid, components, precision, space), path, name)
 
 
 def dense(field: RealField) -> np.ndarray:

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """From ``spark.checkpoint.dir``; only a session without one (tests on one machine) gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldlake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -26,4 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written down and read again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the folder of a frame that ``written`` gave, once nothing reads it any more."""
+    path = getattr(df, "written_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlake.functions.grid import Grid
-from fieldlake.model import RealField
+from fieldlake.model import RealField, SpectralField
 from fieldlake.operators import dynamics as W
 from fieldlake.operators import generate as G
 from fieldlake.operators import particles as P
@@ -133,3 +133,76 @@ def test_binary_spectral_and_real(spark, tmp_path):
     s = np.fft.rfftn(a[..., 0]).transpose(1, 0, 2)
     s.astype(complex).tofile(f"{tmp_path}/modes")
     np.testing.assert_allclose(amplitudes(io.read_binary(spark, f"{tmp_path}/modes", f.grid, 1, space="complex")), np.fft.rfftn(a[..., 0]), atol=1e-12)
+
+
+def whole_spectrum(n):
+    """Wavenumbers (x, y, z) of the whole spectrum, their squares, the same without 0, and transforms of (3, z, y, x) arrays."""
+    k1 = np.fft.fftfreq(n, 1 / n)
+    k1[n // 2] = n // 2
+    kz, ky, kx = np.meshgrid(k1, k1, k1, indexing="ij")
+    k2 = kx**2 + ky**2 + kz**2
+    return np.stack([kx, ky, kz]), k2, np.where(k2 > 0, k2, 1), lambda f: np.real(np.fft.ifftn(f, axes=(1, 2, 3)) * n**3), lambda f: np.fft.fftn(f, axes=(1, 2, 3)) / n**3
+
+
+def test_nonlinear_term_and_step_against_numpy(spark):
+    """A Taylor-Green vortex, whose nonlinear term doesn't vanish."""
+    n, nu, dt = 16, 0.05, 0.02
+    g = Grid(n, n, n, dealias="two_thirds")
+    x = np.arange(n) * 2 * np.pi / n
+    z, y, xx = np.meshgrid(x, x, x, indexing="ij")
+    velocity = np.stack([np.sin(xx) * np.cos(y) * np.cos(z), -np.cos(xx) * np.sin(y) * np.cos(z), np.zeros_like(z)])
+    k, k2, safe, real, spec = whole_spectrum(n)
+    curl = lambda f: 1j * np.cross(k, f, axis=0)
+    w0 = curl(spec(velocity))
+    half = w0[:, :, :, : n // 2 + 1]
+    rows = []
+    signed = lambda i: i if i <= n // 2 else i - n
+    for iz in range(n):
+        for iy in range(n):
+            for ix in range(n // 2 + 1):
+                a = half[:, iz, iy, ix]
+                rows.append((0, signed(iy), signed(iz), ix, *(float(v) for c in a for v in (c.real, c.imag))))
+    w = SpectralField(spark.createDataFrame(rows, "snapshot long, ky int, kz int, kx int, re0 double, im0 double, re1 double, im1 double, re2 double, im2 double").repartition(4), g, 3)
+
+    def array(f):
+        out = np.zeros((3, n, n, n // 2 + 1), complex)
+        for r in f.df.collect():
+            out[:, r["kz"] % n, r["ky"] % n, r["kx"]] = [complex(r[f"re{c}"], r[f"im{c}"]) for c in range(3)]
+        return out
+
+    def rhs(w):
+        u = 1j * np.cross(k, w, axis=0) / safe
+        return curl(spec(np.cross(real(u), real(w), axis=0)))
+
+    got = array(W.nonlinear(w, {"kind": "none"}))
+    want = rhs(w0)
+    low = (k2 <= (n / 3 - 1) ** 2)[:, :, : n // 2 + 1]
+    assert np.abs(want).max() > 0.01 and np.allclose(got[:, low], want[:, :, :, : n // 2 + 1][:, low], atol=1e-12)
+    decay = lambda s: np.exp(-nu * k2 * s)
+    v1 = (w0 + dt * rhs(w0)) * decay(dt)
+    v2 = 0.25 * (3 * w0 * decay(dt / 2) + (v1 + dt * rhs(v1)) * decay(-dt / 2))
+    v3 = (w0 * decay(dt / 2) + 2 * (v2 + dt * rhs(v2))) * decay(dt / 2) / 3
+    stepped = array(W.step(w, W.Flow(nu, dt, {"kind": "none"})))
+    lower = (k2 <= (n / 6) ** 2)[:, :, : n // 2 + 1]
+    assert np.allclose(stepped[:, lower], v3[:, :, :, : n // 2 + 1][:, lower], atol=1e-8)
+    assert np.abs(v3 - w0 * decay(dt)).max() > 1e-4  # more than viscosity
+
+
+def test_native_files_of_both_spaces(spark, tmp_path):
+    g = Grid(4, 6, 8)
+    w = G.random_scalar(spark, g, components=3)
+    for f, space in ((w, "complex"), (T.ift(w), "real")):
+        io.write_binary(f, f"file://{tmp_path}/{space}.bin")
+        back = io.read_binary(spark, f"file://{tmp_path}/{space}.bin", g, 3, space=space)
+        keys = ["snapshot", "ky", "kz", "kx"] if space == "complex" else ["snapshot", "iz", "iy", "ix"]
+        rows = lambda x: sorted(tuple(r) for r in x.df.select(*keys, *x.values).collect())
+        assert rows(back) == rows(f)
+
+
+def test_checkpoint_index_names_what_is_there(spark, tmp_path):
+    g = Grid(4, 4, 4)
+    w = G.random_scalar(spark, g, components=3)
+    c = io.Checkpoints(spark, f"file://{tmp_path}/c", g, per_file=2)
+    three = w.with_df(w.df.withColumn("snapshot", F.explode(F.array(*[F.lit(k).cast("long") for k in (3, 5, 9)]))))
+    assert c.write_all(three) == {3: 0, 5: 0, 9: 1} and c.write(w, 11) == 1 and c.write(w, 5) == 0 and c.last() == 11
+    assert c.union().groupBy("snapshot").count().count() == 4 and c.read(9).df.count() == w.df.count()

@@ -70,3 +70,36 @@ def test_sparse_low_pass_reaches_the_scan(spark, tmp_path):
     plan = back.df._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(snapshot" in plan or "PartitionFilters: [(snapshot" in plan or "PartitionFilters: [cast(snapshot" in plan or "snapshot#" in plan
     assert S.low_pass_sparse(back, 2.0).df.count() < back.df.count()
+
+
+def test_species_samples_and_the_stop_file(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    p = jobs.Parameters(n=8, niter_todo=2, niter_out=2, nparticles=4, species=((2, 1),), sample=True, histogram_bins=8, max_velocity=5.0, max_vorticity=20.0)
+    assert jobs.Simulation(spark, path, p).run() == 2
+    rows = spark.read.parquet(f"{path}/particles").filter("iteration = 2").groupBy("species").count().collect()
+    assert {(r["species"], r["count"]) for r in rows} == {(0, 4), (1, 4)}
+    for species in (0, 1):
+        for quantity in ("velocity", "acceleration"):
+            assert io.read_samples(spark, f"{path}/samples/species={species}", quantity).filter("step < 2").count() == 8
+    h = spark.read.parquet(f"{path}/statistics/velocity_histogram")
+    assert h.filter("snapshot = 0 and component = 'm'").agg(F.sum("cnt")).first()[0] == 512
+    (tmp_path / "run" / "stop").touch()
+    assert jobs.Simulation(spark, path, p).run() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fieldlake.__main__ import main, parameters, parser
+
+    p = parameters(parser().parse_args(["simulate", "x", "-n", "16", "--forcing", "none", "--species", "2", "1", "--species", "3", "2", "--every-output", "4"]))
+    assert p.grid.nx == 16 and p.forcing == {"kind": "none"} and p.species == ((2, 1), (3, 2)) and (p.niter_todo, p.niter_out) == (8, 4)
+    at = f"file://{tmp_path}"
+    io.write_field(G.abc_modes(spark, Grid(8, 8, 8), 1.0, 0.7, 0.5), f"{at}/w", "vorticity")
+    main(["fields", f"{at}/w", f"{at}/u", "-n", "8"])
+    main(["convert", f"{at}/w", f"{at}/c", "-n", "8", "--quantities", "velocity", "enstrophy"])
+    main(["resize", f"{at}/w", f"{at}/r", "-n", "8", "--target", "16"])
+    main(["filter-test", f"{at}/f", "-n", "8"])
+    u = io.read_field(spark, f"{at}/u", "velocity", Grid(8, 8, 8), "real")
+    io.write_binary(u, f"{at}/native.bin")
+    main(["native", f"{at}/t", "-n", "8", "--file", "3", f"{at}/native.bin", "--name", "velocity"])
+    assert u.df.count() == spark.read.parquet(f"{at}/c/velocity").count() == io.read_field(spark, f"{at}/t", "velocity", Grid(8, 8, 8), "real", [3]).df.count() == 512
+    assert io.read_field(spark, f"{at}/r", "vorticity", Grid(16, 16, 16), "complex").df.count() == 16 * 16 * 9 and spark.read.parquet(f"{at}/f").count() == 9 * 512
