@@ -76,22 +76,25 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _softmax_loss(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, share: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and, with ``share``, all probabilities."""
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets; with ``learn`` also the loss's gradient by the logits, times each row's total, and the totals.
+
+    ``h`` ends with a column of ones.
+    """
     # Hidden units lie between -1 and 1, so no logit is above this bound; where it may be far above them all, the rows' own maxima.
-    most = float((np.abs(w).sum(0) + bias).max())
-    logits = h @ w
-    if most - float((bias - np.abs(w).sum(0)).max()) < 60:
-        logits += bias - logits.dtype.type(most)
-    else:
-        logits += bias
+    reach = np.abs(w).sum(0)
+    most = (reach + bias).max()
+    near = most - (bias - reach).max() < 60
+    logits = h @ np.concatenate([w, (bias - most if near else bias)[None]])
+    if not near:
         logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(target)), target]
+    at = np.arange(len(target))
+    own = logits[at, target]
     np.exp(logits, out=logits)
     total = logits @ np.ones(len(bias), logits.dtype)
-    if share:
-        logits *= (1 / total)[:, None]
-    return own - np.log(total), logits
+    if learn:
+        logits[at, target] -= total
+    return own - np.log(total), logits, total
 
 
 #: Takes the loss's gradient of a weight, or of rows of it: (name, which rows, gradient).
@@ -102,26 +105,32 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
     """Log-probabilities of the targets; ``update`` gets the gradients, each after its weight's last use.  Targets come sorted."""
     n = len(target)
     x = p["e"].take(context.ravel(), 0).reshape(n, -1)
-    a = x @ p["w"] + p["b"]
+    a = x @ p["w"]
+    a += p["b"]
     d = 1 / (1 + np.abs(a))
-    h = a * d
+    h = np.ones((n, HIDDEN + 1), a.dtype)
+    np.multiply(a, d, out=h[:, :-1])
     cls, word = target // PER_CLASS, target % PER_CLASS
-    out, pc = _softmax_loss(h, p["wc"], p["bc"], cls, update is not None)
+
+    def learn(name: str, rows: object, h: np.ndarray, g: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Passes on the gradients of a softmax's weights; that of its input."""
+        total = (1 / total)[:, None]
+        back = (g @ p["w" + name][rows].T) * total
+        both = (h * total).T @ g
+        update("w" + name, rows, both[:-1])
+        update("b" + name, rows, both[-1])
+        return back
+
+    out, g, total = _softmax(h, p["wc"], p["bc"], cls, update is not None)
     if update is not None:
-        pc[np.arange(n), cls] -= 1
-        dh = pc @ p["wc"].T
-        update("wc", ..., h.T @ pc)
-        update("bc", ..., pc.sum(0))
+        dh = learn("c", ..., h, g, total)
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
     for k in np.nonzero(ends[1:] > ends[:-1])[0].tolist():
         lo, hi = ends[k], ends[k + 1]
-        own, pw = _softmax_loss(h[lo:hi], p["wo"][k], p["bo"][k], word[lo:hi], update is not None)
+        own, g, total = _softmax(h[lo:hi], p["wo"][k], p["bo"][k], word[lo:hi], update is not None)
         out[lo:hi] += own
         if update is not None:
-            pw[np.arange(hi - lo), word[lo:hi]] -= 1
-            dh[lo:hi] += pw @ p["wo"][k].T
-            update("wo", k, h[lo:hi].T @ pw)
-            update("bo", k, pw.sum(0))
+            dh[lo:hi] += learn("o", k, h[lo:hi], g, total)
     if update is not None:
         da = dh * d * d
         dx = (p["w"] @ da.T).reshape(2 * SIDE, DIM, n)
