@@ -65,3 +65,18 @@ def test_defined_results(docs):
     assert exact[1]["keep_id"] == 7 and exact[2]["keep_id"] == 3 and exact[5]["group_size"] == 2 and exact[5]["kept"] and exact[None]["kept"]
     tokens = {r["doc_id"]: r for r in sentencepiece_codec.encode(docs).collect()}
     assert tokens[2]["n_tokens"] == 0 and all(r["round_trip"] for r in tokens.values())
+
+
+def test_empty_side_tables(docs, labels, bench):
+    """Without labels every score is the prior; without items nothing is found and every document stays."""
+    rows = quality.score(docs, labels.filter("false")).collect()
+    assert len(rows) == len(TEXTS) and {r["score"] for r in rows} == {0.5}
+    assert decontaminate.find_leaks(docs, bench.filter("false")).count() == 0 and decontaminate.drop_leaks(docs, bench.filter("false")).count() == len(TEXTS)
+
+
+def test_long_and_odd_pages(spark):
+    rows = [(1, None, "<article>" + "<p>word and word</p>" * 20_000 + "</article>"), (2, "http://", "<div>" * 3000 + "x" + "</div>" * 3000), (2, "://:", "\x00<p title='>y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    texts = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(pages).collect()}
+    assert len(texts[1, None]) == 20_000 * 14 - 1 and texts[2, "http://"] == "x"
+    assert {r["verdict"] for r in url_filter.filter_urls(pages).collect()} == {"allow"}
