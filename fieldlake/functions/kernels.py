@@ -117,7 +117,9 @@ def spline(n: int, m: int) -> tuple[Poly, ...]:
 
 
 def kernel(n: int, m: int) -> tuple[Poly, ...]:
-    """By neighbours and smoothness; smoothness 0 stands for the Lagrange family."""
+    """By neighbours and smoothness; smoothness 0 stands for the Lagrange family, without neighbours the linear one."""
+    if n == m == 0:
+        return tuple(basis([0, 1]))
     return lagrange(n) if m == 0 else spline(n, m)
 
 

@@ -44,7 +44,7 @@ def lines(field: RealField) -> DataFrame:
 def sample(particles: DataFrame, field: RealField, n: int, m: int, derivative: tuple[int, int, int] = (0, 0, 0), raw: bool = False) -> DataFrame:
     """``particles`` with the field's values s0.. at their positions, by snapshot.
 
-    ``n`` neighbours and smoothness ``m`` choose the kernel (0: Lagrange).  ``derivative`` orders
+    ``n`` neighbours and smoothness ``m`` choose the kernel (0: Lagrange; both 0: linear).  ``derivative`` orders
     are divided by the spacing's powers unless ``raw``.  Particles without a snapshot column meet
     every snapshot of the field.  Axes of one point need no position.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldlake.functions import kernels as K
@@ -58,8 +60,40 @@ _LINEAR = ["0", "1 - xi", "xi", "0"]
 for _m, _forms in ((0, _LINEAR), (1, _CUBIC)):
     _cases = " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(_forms))
     query(f"p3_spline_n1_m{_m}", f"SELECT xi, j, {r(f'CASE j {_cases} END', 'w')} FROM (SELECT unnest(range(9)) / 9 AS xi), (SELECT CAST(unnest(range(4)) AS INTEGER) AS j)")(lambda s, d, m=_m: _kernel_table(s, "spline", 1, m))
-for _n, _m in ((2, 2), (3, 2), (4, 4), (6, 4), (10, 4)):
-    query(f"p3_spline_n{_n}_m{_m}")(lambda s, d, n=_n, m=_m: _kernel_table(s, "spline", n, m))
+
+
+def _differences(n: int, d: int) -> dict[int, float]:
+    """Central weights of derivative ``d`` on 2n+1 points: Taylor coefficients of the products over the other nodes."""
+    if d == 0:
+        return {0: 1.0}
+    rest = lambda k: sum(1 / j**2 for j in range(1, n + 1) if j != k)
+    out = {}
+    for k in range(1, n + 1):
+        a = math.prod(j**2 / (j**2 - k**2) for j in range(1, n + 1) if j != k) / (2 * k**2)
+        w = {1: a * k, 2: 2 * a, 3: -6 * a * k * rest(k), 4: -24 * a * rest(k)}[d]
+        out |= {k: w, -k: w * (-1) ** d}
+    if d % 2 == 0:
+        out[0] = -2 * rest(0) if d == 2 else 12 * (rest(0) ** 2 - sum(1 / j**4 for j in range(1, n + 1)))
+    return out
+
+
+def _spline_forms(n: int, m: int) -> list[str]:
+    """Weights by xi: the two-point Hermite basis in its closed form, times central differences."""
+    def end(d: int, x: str, y: str) -> str:
+        tail = " + ".join(f"{math.comb(m + k, k)} * power({x}, {k})" for k in range(m - d + 1))
+        return f"power({x}, {d}) / {math.factorial(d)} * power({y}, {m + 1}) * ({tail})"
+
+    forms: list[list[str]] = [[] for _ in range(2 * n + 2)]
+    for d in range(m + 1):
+        for k, w in _differences(n, d).items():
+            forms[n + k].append(f"({w!r}) * {end(d, 'xi', '(1 - xi)')}")
+            forms[n + k + 1].append(f"({w * (-1) ** d!r}) * {end(d, '(1 - xi)', 'xi')}")
+    return [" + ".join(f) for f in forms]
+
+
+for _n, _m in ((2, 1), (2, 2), (3, 2), (4, 4), (6, 4), (10, 4)):
+    _cases = " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(_spline_forms(_n, _m)))
+    query(f"p3_spline_n{_n}_m{_m}", f"SELECT xi, j, {r(f'CASE j {_cases} END', 'w')} FROM (SELECT unnest(range(9)) / 9 AS xi), (SELECT CAST(unnest(range({2 * _n + 2})) AS INTEGER) AS j)")(lambda s, d, n=_n, m=_m: _kernel_table(s, "spline", n, m))
 
 
 def _first(s, d, k: int = 0):
@@ -70,27 +104,18 @@ def _first(s, d, k: int = 0):
 _LOC = f"loc AS (SELECT particle, x, CAST(floor(x / {_H}) AS BIGINT) AS c, x / {_H} - floor(x / {_H}) AS xi FROM pts)"
 
 
-def _line_sql(forms: list[str], factor: str = "1", field: str = "sig") -> str:
+def _line_sql(forms: list[str], factor: str = "1", field: str = "sig", n: int = 1) -> str:
     cases = " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(forms))
     return f"""WITH {V.SPEC}, {V.PTS}, {_LOC} SELECT particle, {r(f'sum((CASE j {cases} END) * s.v) * {factor}', 's0')}
-    FROM loc, (SELECT unnest(range(4)) AS j) o JOIN {field} s ON s.snapshot = 0 AND s.ix = ((c + j - 1) % 64 + 64) % 64 GROUP BY particle, x"""
+    FROM loc, (SELECT unnest(range({2 * n + 2})) AS j) o JOIN {field} s ON s.snapshot = 0 AND s.ix = ((c + j - {n}) % 64 + 64) % 64 GROUP BY particle, x"""
 
 
 query("p5_interpolate", _line_sql(_CUBIC))(lambda s, d: rounded(P.sample(V.pts(s, d), _first(s, d), 1, 1), ["particle"], ["s0"]))
-SQL["p12_linear"] = _line_sql(_LINEAR)
+query("p12_linear", _line_sql(_LINEAR))(lambda s, d: rounded(P.sample(V.pts(s, d), _first(s, d), 0, 0), ["particle"], ["s0"]))
+for _n, _m in ((2, 2), (4, 4)):
+    query(f"p4_sample_n{_n}_m{_m}", _line_sql(_spline_forms(_n, _m), n=_n))(lambda s, d, n=_n, m=_m: rounded(P.sample(V.pts(s, d), _first(s, d), n, m), ["particle"], ["s0"]))
 _SLOPE = ["-0.5 + 2 * xi - 1.5 * xi * xi", "-5 * xi + 4.5 * xi * xi", "0.5 + 4 * xi - 4.5 * xi * xi", "-xi + 1.5 * xi * xi"]
 query("p9_derivative", _line_sql(_SLOPE, f"(1 / {_H})"))(lambda s, d: rounded(P.sample(V.pts(s, d), _first(s, d), 1, 1, (1, 0, 0)), ["particle"], ["s0"]))
-
-
-def _linear(s, d):
-    """Linear interpolation: the two nearest points."""
-    g, f = Grid(64), _first(s, d).df.select("ix", "v0")
-    at = P.locate(V.pts(s, d), g)
-    both = at.select("particle", F.explode(F.array(F.struct(F.col("cx").alias("ix"), (1 - F.col("ox")).alias("w")), F.struct(F.pmod(F.col("cx") + 1, F.lit(64)).alias("ix"), F.col("ox").alias("w")))).alias("p")).select("particle", "p.*")
-    return both.join(f, "ix").groupBy("particle").agg(F.sum(F.col("w") * F.col("v0")).alias("s0"))
-
-
-QUERIES["p12_linear"] = lambda s, d: rounded(_linear(s, d), ["particle"], ["s0"])
 _C3 = lambda v: " ".join(f"WHEN {j} THEN {x.replace('xi', v)}" for j, x in enumerate(_CUBIC))
 _H4 = "(2 * pi() / 4)"
 query(
@@ -170,7 +195,6 @@ for _name, _form in (("euler", "x + 0.1 * cos(x)"), ("heun", "x + 0.05 * (cos(x)
 query("w7_runge_kutta", f"WITH {V.PTS}, k AS (SELECT *, cos(x) AS a FROM pts), l AS (SELECT *, cos(x + 0.05 * a) AS b FROM k), m AS (SELECT *, cos(x + 0.05 * b) AS c FROM l) SELECT particle, {r('x + 0.1 / 6 * (a + 2 * b + 2 * c + cos(x + 0.1 * c))', 'x')} FROM m")(
     lambda s, d: rounded(V.pts(s, d).select("particle", P.runge_kutta(F.col("x"), F.cos, 0.1).alias("x")), ["particle"], ["x"])
 )
-query("w9_cadence", f"WITH {V.TRAJ} SELECT particle, step, {r('x', 'x')} FROM traj WHERE step % 8 = 0")(lambda s, d: rounded(V.traj(s, d).filter("step % 8 = 0"), ["particle", "step"], ["x"]))
 
 _PT = "(SELECT iz, iy, ix, ix * 2 * pi() / 8 AS x, iy * 2 * pi() / 8 AS y, iz * 2 * pi() / 8 AS z FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS ix), (SELECT CAST(unnest(range(8)) AS INTEGER) AS iy), (SELECT CAST(unnest(range(8)) AS INTEGER) AS iz))"
 _ABC = f"SELECT CAST(0 AS BIGINT) AS snapshot, iz, iy, ix, {r('sin(z) + 0.5 * cos(y)', 'v0')}, {r('0.7 * sin(x) + cos(z)', 'v1')}, {r('0.5 * sin(y) + 0.7 * cos(x)', 'v2')} FROM {_PT}"
@@ -277,18 +301,3 @@ def _decay(s, d):
 
 _FALL = "exp(-0.1 * 0.05)"
 query("w2_step_abc_decay", f"SELECT CAST(0 AS BIGINT) AS snapshot, iz, iy, ix, {r(f'(sin(z) + 0.5 * cos(y)) * {_FALL}', 'v0')}, {r(f'(0.7 * sin(x) + cos(z)) * {_FALL}', 'v1')}, {r(f'(0.5 * sin(y) + 0.7 * cos(x)) * {_FALL}', 'v2')} FROM {_PT}")(_decay)
-
-
-def _run(s, d):
-    """A short run with particles from a random field."""
-    g = Grid(8, 8, 8)
-    w = S.divergence_free(G.random_scalar(s, g, slope=1.0, amplitude=0.5, components=3))
-    kept: list = []
-    W.run(w, W.Flow(), 2, particles=G.tracers(s, 50), every_stat=2, on_stats=lambda k, v, p: kept.append(A.moments(T.ift(S.invert_curl(v))).withColumn("iteration", F.lit(k))))
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-query("w6_run_with_particles")(_run)

@@ -1,6 +1,6 @@
 """The engine's queries and their SQL."""
 
-from fieldlake.plans import motion, spectra, statistics
+from fieldlake.plans import applied, motion, spectra, statistics
 
-QUERIES = {**spectra.QUERIES, **statistics.QUERIES, **motion.QUERIES}
-SQL = {**spectra.SQL, **statistics.SQL, **motion.SQL}
+QUERIES = {**spectra.QUERIES, **statistics.QUERIES, **motion.QUERIES, **applied.QUERIES}
+SQL = {**spectra.SQL, **statistics.SQL, **motion.SQL, **applied.SQL}

@@ -124,14 +124,6 @@ query("r7_enstrophy_mean", f"WITH {V.VEC} SELECT snapshot, {r('avg(0.5 * (a * a
 query("r8_cut", f"WITH {V.VEC} SELECT snapshot, iz, iy, ix, {r('0.5 * (a * a + b * b + d * d)', 'v0')} FROM vec WHERE iy = 1")(lambda s, d: rounded(A.cut(V.vec3d(s, d), 1).df, POINT, ["v0"]))
 query("r9_map", f"WITH {V.SIG} SELECT snapshot, ix, {r('v * v - 0.1', 'v0')} FROM sig")(lambda s, d: rounded((f := V.sig1d(s, d)).map(F.col("v0") * F.col("v0") - 0.1).df, ["snapshot", "ix"], ["v0"]))
 
-
-def _gradient_stats(s, d):
-    u = T.normalize(T.dft(V.vec3d(s, d)))
-    return rounded(A.gradient_statistics(u, 8, (1.0, 1.0, 1.0))["invariants"], ["snapshot", "quantity"], _M)
-
-
-query("a8_gradient_statistics")(_gradient_stats)
-
 # Derived statistics: the line's spectrum stands for velocity, its weighted spectrum for vorticity.
 _ENERGY = "en AS (SELECT snapshot, kx AS shell, nx * (re * re + im * im) / 2 AS e, kx * kx * nx * (re * re + im * im) / 2 AS z FROM spec WHERE kx <= 31)"
 
