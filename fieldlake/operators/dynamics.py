@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldlake.model import RealField, SpectralField
 from fieldlake.operators.particles import advance, sample
-from fieldlake.operators.spectral import _cross_k, add_forcing, dealias, divergence_free, invert_curl, symmetrize
-from fieldlake.operators.stats import cospectrum, cross_product, histogram, moments
+from fieldlake.operators.spectral import add_forcing, cross_pairs, dealias, divergence_free, forced_pairs, invert_curl, solenoidal_pairs, symmetrize, velocity_pairs
+from fieldlake.operators.stats import cospectrum, cross_product_within, histogram, moments
 from fieldlake.operators.transform import dft, ift
 from fieldlake.sources.shared import drop_written, written
 
@@ -28,10 +28,17 @@ class Flow:
 
 def nonlinear(w: SpectralField, forcing: dict | None) -> SpectralField:
     """Right-hand side of the vorticity equation without viscosity."""
-    u = invert_curl(w)
-    product = dealias(dft(cross_product(ift(u), ift(w))))
-    out = _cross_k(product, F.lit(1.0), product.grid.k2 <= product.grid.km**2)
-    return divergence_free(add_forcing(out, w, 1.0, forcing))
+    return divergence_free(add_forcing(_transport(w), w, 1.0, forcing))
+
+
+def _transport(w: SpectralField) -> SpectralField:
+    """The curl of velocity times vorticity, of the first three components.
+
+    Both go through one transform side by side, so that their product needs no join.
+    """
+    both = ift(w.map(*velocity_pairs(w), *w.pairs()[:3]))
+    product = dealias(dft(cross_product_within(both)))
+    return product.map(*cross_pairs(product, F.lit(1.0), product.grid.k2 <= product.grid.km**2))
 
 
 def _cut(f: SpectralField, name: str) -> SpectralField:
@@ -50,18 +57,24 @@ def step(w: SpectralField, flow: Flow) -> SpectralField:
     inside = g.k2 <= g.km**2
     decay = lambda s: F.exp(-flow.viscosity * g.k2 * s)
 
-    def combine(a: SpectralField, b: SpectralField, n: SpectralField, form: Callable) -> SpectralField:
-        """Expression of the first state, the current state and its right-hand side."""
-        df = n.df.select("snapshot", "ky", "kz", "kx", *[F.col(v).alias("n" + v) for v in n.values])
-        df = df.join(b.df.select("snapshot", "ky", "kz", "kx", *[F.col(v).alias("b" + v) for v in b.values]), ["snapshot", "ky", "kz", "kx"])
-        if a is not b:
-            df = df.join(a.df.select("snapshot", "ky", "kz", "kx", *[F.col(v).alias("a" + v) for v in a.values]), ["snapshot", "ky", "kz", "kx"])
-        first = "b" if a is b else "a"
-        return a.with_df(df).map(*[tuple(F.when(inside, form(F.col(f"{first}{p}{c}"), F.col(f"b{p}{c}"), F.col(f"n{p}{c}"))).otherwise(0.0) for p in ("re", "im")) for c in range(3)])
-
-    v1 = _cut(combine(w, w, nonlinear(w, flow.forcing), lambda a, b, n: (b + dt * n) * decay(dt)), "stage-1")
-    v2 = _cut(combine(w, v1, nonlinear(v1, flow.forcing), lambda a, b, n: 0.25 * (3 * a * decay(dt / 2) + (b + dt * n) * decay(-dt / 2))), "stage-2")
-    v3 = combine(w, v2, nonlinear(v2, flow.forcing), lambda a, b, n: (a * decay(dt / 2) + 2 * (b + dt * n)) * decay(dt / 2) / 3)
+    def stage(state: SpectralField, form: Callable) -> SpectralField:
+        """The next state and, behind it, the step's first one, by an expression of the first state, the present one and its right-hand side.
+
+        ``state`` holds both (at the start, one for both), so the right-hand side meets them in one join.
+        """
+        n = _transport(state)
+        met = n.with_df(n.join(state, "b"))
+        f = met.map(*met.pairs(), *[(F.col(f"bre{c}"), F.col(f"bim{c}")) for c in range(state.components)])
+        f = f.map(*forced_pairs(f, f.pairs()[3:6], 1.0, flow.forcing)[:3], *f.pairs()[3:])
+        f = f.map(*solenoidal_pairs(f), *f.pairs()[3:])
+        sides, present, first = f.pairs()[:3], f.pairs()[3:6], f.pairs()[-3:]
+        new = [tuple(F.when(inside, form(*parts)).otherwise(0.0) for parts in zip(*pairs)) for pairs in zip(first, present, sides)]
+        return f.map(*new, *first)
+
+    v1 = _cut(stage(w, lambda a, b, n: (b + dt * n) * decay(dt)), "stage-1")
+    v2 = _cut(stage(v1, lambda a, b, n: 0.25 * (3 * a * decay(dt / 2) + (b + dt * n) * decay(-dt / 2))), "stage-2")
+    v3 = stage(v2, lambda a, b, n: (a * decay(dt / 2) + 2 * (b + dt * n)) * decay(dt / 2) / 3)
+    v3 = v3.map(*v3.pairs()[:3])
     v3 = _cut(divergence_free(v3), "stage-3")
     out = _cut(symmetrize(v3), "step")  # reads its input three times, so not the whole stage
     for old in (v1, v2, v3):

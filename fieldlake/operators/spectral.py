@@ -67,9 +67,14 @@ def dealias(f: SpectralField) -> SpectralField:
 def divergence_free(f: SpectralField) -> SpectralField:
     """a - k (k.a) / k^2; the zero mode becomes 0."""
     components_of(f, 3)
+    return f.map(*solenoidal_pairs(f))
+
+
+def solenoidal_pairs(f: SpectralField) -> list[tuple]:
+    """The same as amplitudes, of the first three components."""
     k, k2, a = _wave(f.grid), f.grid.k2, f.pairs()
     along = [sum((k[c] * a[c][part] for c in range(1, 3)), k[0] * a[0][part]) / k2 for part in (0, 1)]
-    return f.map(*[tuple(F.when(k2 > 0, a[c][part] - k[c] * along[part]).otherwise(0.0) for part in (0, 1)) for c in range(3)])
+    return [tuple(F.when(k2 > 0, a[c][part] - k[c] * along[part]).otherwise(0.0) for part in (0, 1)) for c in range(3)]
 
 
 def symmetrize(f: SpectralField) -> SpectralField:
@@ -103,7 +108,7 @@ def gradient(f: SpectralField) -> SpectralField:
     return f.map(*[(F.when(inside, -k * im).otherwise(0.0), F.when(inside, k * re).otherwise(0.0)) for k in _wave(g) for re, im in f.pairs()])
 
 
-def _cross_k(f: SpectralField, scale, inside) -> SpectralField:
+def cross_pairs(f: SpectralField, scale, inside) -> list[tuple]:
     """i k x a, times ``scale`` where ``inside``."""
     k, a = _wave(f.grid), f.pairs()
     out = []
@@ -112,24 +117,29 @@ def _cross_k(f: SpectralField, scale, inside) -> SpectralField:
         re = -(k[d] * a[e][1] - k[e] * a[d][1])
         im = k[d] * a[e][0] - k[e] * a[d][0]
         out.append(tuple(F.when(inside, x * scale).otherwise(0.0) for x in (re, im)))
-    return f.map(*out)
+    return out
 
 
 def curl(f: SpectralField, symmetric: bool = True) -> SpectralField:
     """Vorticity from velocity, within km."""
     components_of(f, 3)
-    out = _cross_k(f, F.lit(1.0), f.grid.k2 <= f.grid.km**2)
+    out = f.map(*cross_pairs(f, F.lit(1.0), f.grid.k2 <= f.grid.km**2))
     return symmetrize(out) if symmetric else out
 
 
 def invert_curl(f: SpectralField, symmetric: bool = True) -> SpectralField:
     """Velocity from vorticity, within km; no mean flow."""
     components_of(f, 3)
-    k2 = f.grid.k2
-    out = _cross_k(f, 1.0 / k2, (k2 > 0) & (k2 <= f.grid.km**2))
+    out = f.map(*velocity_pairs(f))
     return symmetrize(out) if symmetric else out
 
 
+def velocity_pairs(f: SpectralField) -> list[tuple]:
+    """The velocity's amplitudes by those of the vorticity; of a Hermitian field they are Hermitian."""
+    k2 = f.grid.k2
+    return cross_pairs(f, 1.0 / k2, (k2 > 0) & (k2 <= f.grid.km**2))
+
+
 PRODUCTS = ((0, 0), (1, 1), (2, 2), (0, 1), (1, 2), (2, 0))
 
 
@@ -189,20 +199,25 @@ def eulerian_acceleration(u: SpectralField, uu: SpectralField, viscosity: float,
 
 def add_forcing(dst: SpectralField, vorticity: SpectralField, factor: float, forcing: dict | None) -> SpectralField:
     """``dst`` with the forcing of the vorticity equation: none, Kolmogorov (mode, amplitude) or linear (k0, k1, amplitude)."""
-    kind = (forcing or {"kind": "none"})["kind"]
+    if (forcing or {}).get("kind") == "linear":
+        dst = dst.with_df(dst.join(vorticity, "w"))
+    return dst.map(*forced_pairs(dst, [(F.col(f"wre{c}"), F.col(f"wim{c}")) for c in range(3)], factor, forcing))
+
+
+def forced_pairs(dst: SpectralField, vorticity: list[tuple], factor: float, forcing: dict | None) -> list[tuple]:
+    """The amplitudes of ``dst`` with the forcing, by those of a vorticity that stand in the same rows."""
+    kind, pairs = (forcing or {"kind": "none"})["kind"], dst.pairs()
     if kind == "none":
-        return dst
+        return pairs
     a = float(forcing["amplitude"])
     if kind == "Kolmogorov":
         here = (F.col("kx") == 0) & (F.col("kz") == 0) & (F.abs("ky") == int(forcing["mode"]))
-        pairs = dst.pairs()
         pairs[2] = (F.when(here, pairs[2][0] - a * factor / 2).otherwise(pairs[2][0]), pairs[2][1])
-        return dst.map(*pairs)
+        return pairs
     if kind == "linear":
-        met = dst.with_df(dst.join(vorticity, "w"))
         k = F.sqrt(dst.grid.k2)
         band = F.when((k >= forcing["k0"]) & (k <= forcing["k1"]), F.lit(a * factor)).otherwise(0.0)
-        return met.map(*[(re + band * F.col(f"wre{c}"), im + band * F.col(f"wim{c}")) for c, (re, im) in enumerate(met.pairs())])
+        return [(re + band * wre, im + band * wim) for (re, im), (wre, wim) in zip(pairs, vorticity)]
     raise ValueError("forcing is none, Kolmogorov or linear")
 
 

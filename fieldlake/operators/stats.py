@@ -145,9 +145,18 @@ def field_stats(f, limit: float, bins: int) -> dict[str, DataFrame]:
 def cross_product(u: RealField, w: RealField) -> RealField:
     """u x w at each point, divided by the number of points."""
     components_of(u, 3)
-    met = u.with_df(u.join(w, "w"))
-    n = float(u.grid.points)
-    return met.map(*[(F.col(f"v{(c + 1) % 3}") * F.col(f"w{(c + 2) % 3}") - F.col(f"v{(c + 2) % 3}") * F.col(f"w{(c + 1) % 3}")) / n for c in range(3)])
+    return u.with_df(u.join(w, "w")).map(*_cross("v", "w", 0, u.grid.points))
+
+
+def cross_product_within(both: RealField) -> RealField:
+    """The same of the first three components and the last three of one field: no join."""
+    components_of(both, 6)
+    return both.map(*_cross("v", "v", 3, both.grid.points))
+
+
+def _cross(a: str, b: str, first: int, points: int) -> list:
+    at = lambda c: (F.col(f"{a}{(c + 1) % 3}"), F.col(f"{a}{(c + 2) % 3}"), F.col(f"{b}{first + (c + 1) % 3}"), F.col(f"{b}{first + (c + 2) % 3}"))
+    return [(p * t - q * s) / float(points) for p, q, s, t in map(at, range(3))]
 
 
 def increments(u: RealField, r: int) -> RealField:
