@@ -4,19 +4,21 @@ A document's MinHash samples make its band keys and, folded into one parity bitm
 sketch: the number of differing bits of two sketches tells their similarity, precisely where it
 is high.  Documents of equal sets are one class.  In each bucket of equal band keys all
 classes that aren't connected yet are compared by their sketches; pairs whose sketches allow at
-least half the similarity make clusters.  Within a cluster, cut into parts of bounded size, all pairs of classes that
-aren't connected yet are compared on their full sets; then the same between its parts.
+least half the similarity make clusters.  Within a cluster, cut by the sizes of its sets into parts
+of bounded size, all pairs of classes that aren't connected yet are compared on their full sets;
+then the same between those of its parts whose sets are near enough in size.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -31,6 +33,8 @@ SKETCH_BITS = 512
 MOST_BITS = 115
 #: Shingles of a cluster's part: a cell of the exact step holds one part, or two.
 CELL = 1_000_000
+#: Ratio of the sizes in one class of a large cluster; linked sets differ by 4/3 at most, so in neighbouring classes or one.
+SIZES = 1.34
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -254,6 +258,32 @@ def _confirm(cells: DataFrame, keys: list[str], side: str | None) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
+def _dealt(sized: DataFrame) -> DataFrame:
+    """Where each node (node, component, n) of a cluster is compared: doc_id, cluster, wide, class, part, and the parts of its class, the next and the last.
+
+    A cluster of over CELL shingles is wide: it is dealt out by size classes, and these into parts.
+    Sets of classes that aren't neighbours are too different in size for a link.
+    """
+    wide = sized.groupBy("component").agg((F.sum("n") > CELL).alias("wide"))
+    sized = sized.join(wide, "component").withColumn("class", F.when(F.col("wide"), F.floor(F.log("n") / math.log(SIZES))).otherwise(0).cast("int"))
+    parts = sized.groupBy("component", "class").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"))
+    beside = lambda step, name: parts.select("component", (F.col("class") - step).alias("class"), F.col("parts").alias(name))
+    every = parts.join(beside(1, "above"), ["component", "class"], "left").join(beside(-1, "below"), ["component", "class"], "left").fillna(0, ["above", "below"])
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    return sized.join(every, ["component", "class"]).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "wide", "class", part, "parts", "above", "below")
+
+
+def _meetings() -> Column:
+    """The pairs of parts that a row of a wide cluster takes part in: within its class (step 0), and with the neighbouring ones (step 1)."""
+    numbers = lambda count: F.slice(F.sequence(F.lit(0), F.col(count)), F.lit(1), F.col(count))
+    pair = lambda c, step, i, j, left: F.struct(c.cast("int").alias("class"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), left.alias("is_left"))
+    own, c = F.col("part"), F.col("class")
+    within = F.transform(F.filter(numbers("parts"), lambda k: k != own), lambda k: pair(c, 0, F.least(own, k), F.greatest(own, k), own < k))
+    up = F.transform(numbers("above"), lambda k: pair(c, 1, own, k, F.lit(True)))
+    down = F.transform(numbers("below"), lambda k: pair(c - 1, 1, k, own, F.lit(False)))
+    return F.concat(within, up, down)
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
@@ -272,17 +302,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     clusters = components(written(_propose(buckets), "proposed"))
 
     sized = clusters.join(odd.select(F.col("rep").alias("node"), "n"), "node")
-    parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"))
-    members = sized.join(parts, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(members, "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_dealt(sized), "doc_id").withColumnRenamed("doc_id", "rep")
     texts = written(texts, "cluster-texts")
-    links = written(_confirm(texts.withColumn("comp", F.col("rep")), ["cluster", "part"], None), "links-within")
+    links = written(_confirm(texts.withColumn("comp", F.col("rep")), ["cluster", "class", "part"], None), "links-within")
     comps = components(links)
-    if not texts.filter("parts > 1").isEmpty():  # what is left: links between parts of a large cluster that join components
-        wide = texts.filter("parts > 1").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        cells = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
-        cells = cells.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "comp", "text", (F.col("part") < F.col("other")).alias("is_left"))
-        links = links.unionByName(written(_confirm(cells, ["cluster", "i", "j"], "is_left"), "links-across"))
+    if not texts.filter("wide").isEmpty():  # what is left: links between parts of a large cluster that join components
+        wide = texts.filter("wide").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        cells = wide.select("cluster", "rep", "comp", "text", F.explode(_meetings()).alias("m")).select("cluster", "rep", "comp", "text", "m.*")
+        links = links.unionByName(written(_confirm(cells, ["cluster", "class", "step", "i", "j"], "is_left"), "links-across"))
         comps = components(links)
 
     whole = classes.select("digest", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -466,6 +466,19 @@ def test_components_against_brute_force(spark, sf, monkeypatch, cell):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_links_between_sizes_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 300)
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    # Sets of nested texts, some a link apart only through one text; and the exact border, 3 to 4.
+    texts = [" ".join(words[:n]) for n in (24, 30, 38, 49, 64, 83, 84, 109, 110, 111, 144, 190, 250, 330, 400)]
+    texts += [" ".join(words[200 : 204 + n]) for n in (60, 80, 107)] + [" ".join(words[:n]) for n in (64, 190)]
+    rng.shuffle(texts)
+    expected = components({i: shingles(t) for i, t in enumerate(texts)})
+    assert 1 < len(set(expected.values())) < len(texts) - 8
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, texts)).collect()} == expected
+
+
 def test_bucket_links_connect_what_any_pair_connects():
     rng = np.random.default_rng(3)
     for m in (1, 2, 3, 40, 120):
