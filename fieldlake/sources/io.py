@@ -1,7 +1,8 @@
 """Snapshots, checkpoints, samples, binary arrays and parameters.
 
 Fields and samples are Parquet tables partitioned by what their readers ask for, so that a
-snapshot or a quantity is a partition filter; growing a series is appending to it.
+snapshot or a quantity is a partition filter; growing a series is appending to it.  Small
+snapshots share folders, by ranges of their numbers, so that a long series isn't as many files.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from fieldlake.functions.grid import Grid, shell_table
 from fieldlake.model import MODE, POINT, RealField, SpectralField
 from fieldlake.operators.spectral import divergence_free, low_pass, symmetrize
+from fieldlake.sources.shared import drop_written, written
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -36,14 +38,49 @@ def read_parameters(spark: SparkSession, path: str) -> dict:
     return {r["name"]: json.loads(r["value"]) for r in spark.read.schema("name string, value string").json(path).collect()}
 
 
-def write_field(field: RealField | SpectralField, path: str, name: str, mode: str = "append") -> None:
-    """Snapshots of a quantity, in either representation; ``overwrite`` replaces the snapshots written."""
-    space = "real" if isinstance(field, RealField) else "complex"
-    writer = field.df
-    out = writer.write.partitionBy("snapshot").mode(mode)
+#: Bytes of values that share a folder.
+FOLDER_BYTES = 2**24
+
+
+def _span(field: RealField | SpectralField) -> int:
+    """How many numbers of snapshots share a folder: a power of two; one where a snapshot fills it."""
+    g = field.grid
+    fast = g.nx if isinstance(field, RealField) else g.nx // 2 + 1
+    return 1 << max(0, (FOLDER_BYTES // (8 * g.nz * g.ny * fast * len(field.values))).bit_length() - 1)
+
+
+def _ranged(field: RealField | SpectralField) -> DataFrame:
+    """The rows with the first and last number of their folder."""
+    span, df = _span(field), field.df.withColumn("snapshot", F.col("snapshot").cast("long"))
+    first = F.col("snapshot") - F.pmod(F.col("snapshot"), F.lit(span))
+    return df.withColumn("first", first).withColumn("last", F.col("first") + (span - 1))
+
+
+def _put(rows: DataFrame, at: str, folders: list[str], slow: str, span: int, mode: str) -> None:
+    """Writes rows into their folders; ``overwrite`` replaces the snapshots written and keeps what else their folders hold."""
+    spark, fresh = rows.sparkSession, None
+    if mode == "overwrite" and _exists(spark, at):
+        stored = spark.read.schema(rows.schema).parquet(at)
+        if not stored.filter(F.coalesce(F.col("last") - F.col("first") != span - 1, F.lit(True))).isEmpty():
+            raise ValueError(f"{at} holds fields of another size")
+        if span > 1:
+            fresh = rows = written(rows, "fresh")
+            kept = stored.join(fresh.select(*folders).distinct(), folders, "left_semi").join(fresh.select("snapshot").distinct(), "snapshot", "left_anti")
+            rows = rows.unionByName(kept)
+    if span > 1:  # a folder's files are few, and each is in the order of snapshots
+        rows = rows.repartition(*folders, slow).sortWithinPartitions(*folders, "snapshot")
+    out = rows.write.partitionBy(*folders).mode(mode)
     if mode == "overwrite":
         out = out.option("partitionOverwriteMode", "dynamic")
-    out.parquet(f"{path}/{name}/{space}")
+    out.parquet(at)
+    if fresh is not None:
+        drop_written(fresh)
+
+
+def write_field(field: RealField | SpectralField, path: str, name: str, mode: str = "append") -> None:
+    """Snapshots of a quantity, in either representation; ``overwrite`` replaces the snapshots written."""
+    space, slow = ("real", "iz") if isinstance(field, RealField) else ("complex", "ky")
+    _put(_ranged(field), f"{path}/{name}/{space}", ["first", "last"], slow, _span(field), mode)
 
 
 def read_field(spark: SparkSession, path: str, name: str, grid: Grid, space: str, snapshots: list[int] | None = None, components: int | None = None) -> RealField | SpectralField:
@@ -53,6 +90,8 @@ def read_field(spark: SparkSession, path: str, name: str, grid: Grid, space: str
     df = spark.read.parquet(f"{path}/{name}/{space}").withColumn("snapshot", F.col("snapshot").cast("long"))
     if snapshots is not None:
         df = df.filter(F.col("snapshot").isin(snapshots))
+        if snapshots and "first" in df.columns:
+            df = df.filter(F.exists(F.array(*[F.lit(int(k)).cast("long") for k in snapshots]), lambda k: (k >= F.col("first")) & (k <= F.col("last"))))
     first, keys = ("v", POINT) if space == "real" else ("re", MODE)
     n = sum(c.startswith(first) and c[len(first) :].isdigit() for c in df.columns)
     if components is not None and n != components:
@@ -78,10 +117,11 @@ def clean_vorticity(w: SpectralField) -> SpectralField:
 
 
 class Checkpoints:
-    """Snapshots of the vorticity in numbered files of so many snapshots each, as sub-tables."""
+    """Snapshots of the vorticity in numbered files of so many snapshots each: sub-tables of one table of a field."""
 
     def __init__(self, spark: SparkSession, path: str, grid: Grid, per_file: int = 1):
         self.spark, self.path, self.grid, self.per_file = spark, path, grid, per_file
+        self.at = f"{path}/vorticity/complex"
 
     def _known(self) -> list[tuple[int, int]]:
         index = f"{self.path}/index"
@@ -94,7 +134,7 @@ class Checkpoints:
         return self._write(w.with_df(w.df.withColumn("snapshot", F.lit(snapshot).cast("long"))), [snapshot])[snapshot]
 
     def write_all(self, w: SpectralField) -> dict[int, int]:
-        """Every snapshot of ``w``, a job for each file; the files' numbers by snapshot."""
+        """Every snapshot of ``w``, all files by one job; the files' numbers by snapshot."""
         return self._write(w, sorted(r[0] for r in w.df.select("snapshot").distinct().collect()))  # one number for each checkpoint
 
     def _write(self, w: SpectralField, snapshots: list[int]) -> dict[int, int]:
@@ -107,9 +147,8 @@ class Checkpoints:
                     file += 1
                 sizes[file] += 1
             files[s] = placed.get(s, file)
-        for number in sorted(set(files.values())):
-            own = [s for s in snapshots if files[s] == number]
-            write_field(w.with_df(w.df.filter(F.col("snapshot").isin(own))), f"{self.path}/{number}", "vorticity", "overwrite")
+        own = self.spark.createDataFrame(list(files.items()), "snapshot long, file int")  # one row for each checkpoint
+        _put(_ranged(w).join(F.broadcast(own), "snapshot"), self.at, ["file", "first", "last"], "ky", _span(w), "overwrite")
         new = [(files[s], s) for s in snapshots if s not in placed]
         if new:  # after the data: what the index names is there
             self.spark.createDataFrame(new, "file int, snapshot long").coalesce(1).write.mode("append").parquet(f"{self.path}/index")
@@ -122,19 +161,17 @@ class Checkpoints:
         file = next((f for f, s in self._known() if s == snapshot), None)
         if file is None:
             raise KeyError(f"no snapshot {snapshot}")
-        w = read_field(self.spark, f"{self.path}/{file}", "vorticity", self.grid, "complex", [snapshot], 3)
-        return divergence_free(low_pass(w, self.grid.km))
+        rows = self.spark.read.parquet(self.at).filter((F.col("file") == file) & (F.col("first") <= snapshot) & (F.col("last") >= snapshot) & (F.col("snapshot") == snapshot))
+        w = SpectralField(rows.select(*MODE, *[f"{p}{k}" for k in range(3) for p in ("re", "im")]), self.grid, 3)
+        return divergence_free(low_pass(symmetrize(w), self.grid.km))
 
     def union(self) -> DataFrame:
         """All snapshots of all files as one table; nothing is copied."""
-        files = sorted({f for f, _ in self._known()})
-        out = None
-        for f in files:
-            part = self.spark.read.parquet(f"{self.path}/{f}/vorticity/complex")
-            out = part if out is None else out.unionByName(part)
-        if out is None:
+        known = sorted(set(self._known()))
+        if not known:
             raise KeyError("no snapshots")
-        return out
+        index = self.spark.createDataFrame(known, "file int, snapshot long")  # one row for each checkpoint
+        return self.spark.read.parquet(self.at).join(F.broadcast(index), ["file", "snapshot"], "left_semi").drop("file", "first", "last")
 
 
 def append_samples(samples: DataFrame, path: str, quantity: str) -> int:

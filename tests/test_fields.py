@@ -206,3 +206,31 @@ def test_checkpoint_index_names_what_is_there(spark, tmp_path):
     three = w.with_df(w.df.withColumn("snapshot", F.explode(F.array(*[F.lit(k).cast("long") for k in (3, 5, 9)]))))
     assert c.write_all(three) == {3: 0, 5: 0, 9: 1} and c.write(w, 11) == 1 and c.write(w, 5) == 0 and c.last() == 11
     assert c.union().groupBy("snapshot").count().count() == 4 and c.read(9).df.count() == w.df.count()
+
+
+def series(spark, count, n=4):
+    """Snapshots 0.. of a constant field each, whose value is the number."""
+    df = spark.range(count).select(F.col("id").alias("snapshot"), F.explode(F.sequence(F.lit(0), F.lit(n**3 - 1))).alias("p"), F.col("id").cast("double").alias("v0"))
+    return RealField(df.select("snapshot", (F.col("p") / n**2).cast("int").alias("iz"), (F.col("p") / n % n).cast("int").alias("iy"), (F.col("p") % n).alias("ix"), "v0").repartition(6), Grid(n, n, n))
+
+
+def files_under(path, pattern="*.parquet"):
+    return len(list(path.rglob(pattern)))
+
+
+def test_a_long_series_is_few_files(spark, tmp_path):
+    f, at = series(spark, 300), f"file://{tmp_path}/s"
+    io.write_field(f, at, "v")
+    assert files_under(tmp_path / "s") <= 8
+    back = io.read_field(spark, at, "v", f.grid, "real", [3, 5, 299, 300])
+    assert sorted(tuple(r) for r in back.df.groupBy("snapshot").agg(F.count("*"), F.max("v0"), F.min("v0")).collect()) == [(k, 64, k, k) for k in (3, 5, 299)]
+
+
+def test_snapshots_choose_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FOLDER_BYTES", 8 * 64 * 16)  # 16 snapshots a folder
+    f, at = series(spark, 100), f"file://{tmp_path}/s"
+    io.write_field(f, at, "v")
+    back = io.read_field(spark, at, "v", f.grid, "real", [17])
+    plan = back.df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [exists(" in plan and len(list((tmp_path / "s").rglob("last=*"))) == 7
+    assert back.df.count() == 64
