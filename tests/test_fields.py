@@ -234,3 +234,15 @@ def test_snapshots_choose_folders(spark, tmp_path, monkeypatch):
     plan = back.df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [exists(" in plan and len(list((tmp_path / "s").rglob("last=*"))) == 7
     assert back.df.count() == 64
+
+
+def test_series_grow_and_are_replaced_in_shared_folders(spark, tmp_path):
+    f, at = series(spark, 200), f"file://{tmp_path}/s"
+    for odd in (1, 0):
+        io.write_field(f.with_df(f.df.filter(F.col("snapshot") % 2 == odd)), at, "v")
+    assert files_under(tmp_path / "s") <= 16
+    io.write_field(f.with_df(f.df.filter("snapshot in (7, 8)").withColumn("v0", F.lit(-1.0))), at, "v", "overwrite")
+    rows = io.read_field(spark, at, "v", f.grid, "real").df.groupBy("snapshot").agg(F.count("*"), F.min("v0"), F.max("v0")).collect()
+    assert sorted(map(tuple, rows)) == [(k, 64, v, v) for k in range(200) for v in [-1 if k in (7, 8) else k]]
+    with pytest.raises(ValueError):
+        io.write_field(series(spark, 2, 8), at, "v", "overwrite")
