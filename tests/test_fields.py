@@ -246,3 +246,12 @@ def test_series_grow_and_are_replaced_in_shared_folders(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(k, 64, v, v) for k in range(200) for v in [-1 if k in (7, 8) else k]]
     with pytest.raises(ValueError):
         io.write_field(series(spark, 2, 8), at, "v", "overwrite")
+
+
+def test_planes_and_lines_of_a_long_series(spark, tmp_path):
+    f, at = series(spark, 250), f"file://{tmp_path}/s"
+    io.write_field(f, at, "v")
+    back = io.read_field(spark, at, "v", f.grid, "real")
+    for part, n in ((io.zslice(back), 16), (io.xline(back), 4)):
+        assert "PushedFilters: [IsNotNull(iz)" in part.df._jdf.queryExecution().executedPlan().toString()
+        assert len(part.df.inputFiles()) <= 8 and part.df.count() == 250 * n
