@@ -255,3 +255,16 @@ def test_planes_and_lines_of_a_long_series(spark, tmp_path):
     for part, n in ((io.zslice(back), 16), (io.xline(back), 4)):
         assert "PushedFilters: [IsNotNull(iz)" in part.df._jdf.queryExecution().executedPlan().toString()
         assert len(part.df.inputFiles()) <= 8 and part.df.count() == 250 * n
+
+
+def test_many_checkpoints_are_one_job(spark, tmp_path):
+    g = Grid(4, 4, 4)
+    w = G.random_scalar(spark, g, components=3)
+    w = w.with_df(w.df.drop("snapshot").crossJoin(spark.range(200).withColumnRenamed("id", "snapshot")))
+    c = io.Checkpoints(spark, f"file://{tmp_path}/c", g, per_file=20)
+    assert c.write_all(w) == {k: k // 20 for k in range(200)}
+    assert files_under(tmp_path / "c" / "vorticity") <= 10 * 4
+    assert c.write(w.with_df(w.df.filter("snapshot = 0")), 33) == 1
+    rows = c.union().groupBy("snapshot").count().collect()
+    assert sorted(r["snapshot"] for r in rows) == list(range(200)) and {r["count"] for r in rows} == {48}
+    assert c.read(34).df.count() == 48
