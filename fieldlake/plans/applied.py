@@ -207,7 +207,7 @@ query(
 def _native_modes(s, d) -> DataFrame:
     """A complex field as native files and back."""
     path = new_path(s, "native-modes")
-    name = lambda k: f"{path}-{io.binary_name('run', 'c', 'velocity', k)}"
+    name = lambda k: f"{path}-files/{io.binary_name('run', 'c', 'velocity', k)}"
     files = {k: name(k) for k in io.write_binary(cube(s, d), name)}
     return out3(io.read_binaries(s, files, V.CUBE, 3, space="complex"))
 

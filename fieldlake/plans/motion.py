@@ -237,7 +237,7 @@ query("s4_xline", _VOUT + " WHERE iz = 0 AND iy = 0")(lambda s, d: rounded(io.xl
 def _native(s, d) -> tuple[str, dict[int, str]]:
     """All snapshots as native files, by one job: a path for tables, and the files."""
     path = new_path(s, "native")
-    name = lambda k: f"{path}-{io.binary_name('run', 'r', 'velocity', k)}"
+    name = lambda k: f"{path}-files/{io.binary_name('run', 'r', 'velocity', k)}"
     return path, {k: name(k) for k in io.write_binary(V.vec3d(s, d), name)}
 
 

@@ -7,12 +7,16 @@ snapshots share folders, by ranges of their numbers, so that a long series isn't
 
 from __future__ import annotations
 
+import contextlib
 import json
-from collections import Counter
+import os
+import re
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,10 +224,32 @@ def read_binary(spark: SparkSession, path: str, grid: Grid, components: int, sna
     return read_binaries(spark, {snapshot: path}, grid, components, precision, space)
 
 
+#: Files up to this size are read whole, many in a task; larger ones by ranges.
+WHOLE_BYTES = 2**22
+#: Bytes that are unpacked or packed at once.
+BATCH_BYTES = 2**23
+
+
+def _lengths(spark: SparkSession, files: list[str]) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
+    """The files as rows of Spark's source, their names there, and their lengths by those names."""
+    parents = sorted({f.rpartition("/")[0] for f in files})
+    conf, full = spark._jsc.hadoopConfiguration(), {}
+    for parent in parents:
+        at = spark._jvm.org.apache.hadoop.fs.Path(parent or ("/" if files[0].startswith("/") else "."))
+        system = at.getFileSystem(conf)
+        full[parent] = system.makeQualified(at).toString().rstrip("/")
+    names = {f: f"{full[f.rpartition('/')[0]]}/{f.rpartition('/')[2]}" for f in files}
+    # Many files are listed by their folders.
+    found = spark.read.format("binaryFile").load(sorted(set(names.values())) if len(names) <= 32 else sorted(full.values()))
+    wanted = set(names.values())
+    return found, names, {r["path"]: r["length"] for r in found.select("path", "length").toLocalIterator() if r["path"] in wanted}
+
+
 def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, components: int, precision: str = "double", space: str = "real") -> RealField | SpectralField:
     """Native arrays by snapshot, all at once.
 
-    The files are read by ranges, a record for each plane of the slowest axis, wherever their splits fall.
+    Small files are read whole, many in a task; larger ones by ranges, a record for each plane of
+    the slowest axis, wherever their splits fall.  A file of another length is an error.
     """
     kind = {"double": "f8", "single": "f4"}[precision]
     if space == "real":
@@ -234,29 +260,54 @@ def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, compon
     if size >= 2**31:
         raise ValueError("a plane of 2 GB or more is no record")
     snapshots = sorted(files)
-    # No data source reads records of a fixed length; their numbers follow the order of the files and of their splits.
-    records = spark.sparkContext.binaryRecords(",".join(files[k] for k in snapshots), size).zipWithIndex()
-    numbers = F.array(*[F.lit(int(k)).cast("long") for k in snapshots])
-    planes = spark.createDataFrame(records, "raw binary, i long").select(F.element_at(numbers, (F.floor(F.col("i") / slow) + 1).cast("int")).alias("snapshot"), (F.col("i") % slow).alias("p"), "raw")
+    found, full, lengths = _lengths(spark, [files[k] for k in snapshots])
+    wrong = [f for f, name in full.items() if lengths.get(name) != slow * size]
+    if wrong:
+        raise ValueError(f"{len(wrong)} files are missing or don't have {slow * size} bytes: {sorted(wrong)[:3]}")
+    if whole := slow * size <= WHOLE_BYTES:
+        by_name = defaultdict(list)
+        for k in snapshots:
+            by_name[full[files[k]]].append(int(k))
+        sent = spark.sparkContext.broadcast(dict(by_name))  # the names, which the caller holds
+        planes = found.filter(F.col("length") == slow * size).select("path", F.col("content").alias("raw"))
+    else:
+        # No data source reads records of a fixed length; their numbers follow the order of the files and of their splits.
+        sent = spark.sparkContext.broadcast([int(k) for k in snapshots])
+        planes = spark.createDataFrame(spark.sparkContext.binaryRecords(",".join(files[k] for k in snapshots), size).zipWithIndex(), "raw binary, i long")
     sign = lambda k, n: np.where(k <= n // 2, k, k - n)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f"v{k}" for k in range(components)] if space == "real" else [f"{q}{k}" for k in range(components) for q in ("re", "im")]
+    keys = POINT if space == "real" else MODE
+
+    def unpack(units: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        a = np.frombuffer(b"".join(raw for _, _, raw in units), kind).reshape(-1, middle, fast, width)
+        many = [len(raw) // size for _, _, raw in units]
+        p = np.concatenate([np.arange(at, at + n) for (_, at, _), n in zip(units, many)])
+        mid = np.arange(middle)
+        if space != "real":
+            p, mid = sign(p, grid.ny), sign(mid, grid.nz)
+        columns = [
+            np.repeat(np.repeat(np.array([k for k, _, _ in units], np.int64), many), middle * fast),
+            np.repeat(p, middle * fast).astype(np.int32), np.tile(np.repeat(mid, fast), len(a)).astype(np.int32), np.tile(np.arange(fast), middle * len(a)).astype(np.int32),
+            *(a[..., k].ravel().astype(float) for k in range(width)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*keys, *names])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, waiting = [], 0
         for batch in batches:
-            for snapshot, p, raw in zip(batch["snapshot"], batch["p"], batch["raw"]):
-                a = np.frombuffer(bytes(raw), kind).reshape(middle, fast, width).astype(float)
-                out: dict = {"snapshot": np.full(middle * fast, snapshot, np.int64)}
-                slow_key, mid_key, fast_key = ("iz", "iy", "ix") if space == "real" else ("ky", "kz", "kx")
-                out[slow_key] = np.full(middle * fast, p if space == "real" else int(sign(np.int64(p), grid.ny)), np.int32)
-                mid = np.repeat(np.arange(middle), fast)
-                out[mid_key] = (mid if space == "real" else sign(mid, grid.nz)).astype(np.int32)
-                out[fast_key] = np.tile(np.arange(fast, dtype=np.int32), middle)
-                names = [f"v{k}" for k in range(components)] if space == "real" else [f"{q}{k}" for k in range(components) for q in ("re", "im")]
-                yield pd.DataFrame(out | {n: a[..., k].ravel() for k, n in enumerate(names)})
+            for which, raw in zip(batch.column("path" if whole else "i").to_pylist(), batch.column("raw")):
+                for k, p in [(k, 0) for k in sent.value.get(which, ())] if whole else [(sent.value[which // slow], which % slow)]:
+                    units.append((k, p, raw.as_buffer()))
+                    waiting += len(units[-1][2])
+                    if waiting >= BATCH_BYTES:
+                        yield unpack(units)
+                        units, waiting = [], 0
+        if units:
+            yield unpack(units)
 
-    if space == "real":
-        return RealField(planes.mapInPandas(parse, "snapshot long, iz int, iy int, ix int, " + ", ".join(f"v{k} double" for k in range(components))), grid, components)
-    values = ", ".join(f"re{k} double, im{k} double" for k in range(components))
-    return SpectralField(planes.mapInPandas(parse, f"snapshot long, ky int, kz int, kx int, {values}"), grid, components)
+    schema = f"snapshot long, {', '.join(f'{k} int' for k in keys[1:])}, {', '.join(f'{n} double' for n in names)}"
+    kind_of = RealField if space == "real" else SpectralField
+    return kind_of(planes.mapInArrow(parse, schema), grid, components)
 
 
 def binary_planes(field: RealField | SpectralField, precision: str = "double") -> DataFrame:
@@ -268,31 +319,107 @@ def binary_planes(field: RealField | SpectralField, precision: str = "double") -
     else:
         keys, shape = ("ky", "kz", "kx"), (g.nz, g.nx // 2 + 1, len(names))
     wrap = lambda name, n: F.pmod(F.col(name), F.lit(n)).cast("int")
-    rows = field.df.select("snapshot", (wrap(keys[0], g.ny) if keys[0] == "ky" else F.col(keys[0])).alias("p"), (wrap(keys[1], g.nz) if keys[0] == "ky" else F.col(keys[1])).alias("q"), F.col(keys[2]).alias("r"), *names)
+    rows = field.df.select(F.col("snapshot").cast("long").alias("snapshot"), (wrap(keys[0], g.ny) if keys[0] == "ky" else F.col(keys[0]).cast("int")).alias("p"), (wrap(keys[1], g.nz) if keys[0] == "ky" else F.col(keys[1])).alias("q"), F.col(keys[2]).alias("r"), *names)
+    most = max(1, BATCH_BYTES // (int(np.prod(shape)) * np.dtype(kind).itemsize))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(shape, kind)
-        a[pdf["q"].to_numpy(), pdf["r"].to_numpy()] = pdf[names].to_numpy()
-        return pd.DataFrame({"snapshot": [pdf["snapshot"].iat[0]], "p": [pdf["p"].iat[0]], "raw": [a.tobytes()]})
+    def emit(planes: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in planes], pa.int64()), pa.array([p for _, p, _ in planes], pa.int32()), pa.array([a.tobytes() for *_, a in planes], pa.binary())], names=["snapshot", "p", "raw"])
 
-    return rows.groupBy("snapshot", "p").applyInPandas(pack, "snapshot long, p int, raw binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last plane, which may go on in the next batch
+        for batch in batches:
+            k, p, q, r, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(k):
+                continue
+            heads = np.nonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])[0]
+            ends = np.r_[heads[1:], len(k)]
+            for lo in range(0, len(heads), most):
+                own = slice(lo, lo + most)
+                rows = slice(heads[own][0], ends[own][-1])
+                keys = list(zip(k[heads[own]].tolist(), p[heads[own]].tolist()))
+                a = np.zeros((len(keys), *shape), kind)
+                if held is not None and held[:2] == keys[0]:
+                    a[0] = held[2]
+                elif held is not None:
+                    yield emit([held])
+                a[np.repeat(np.arange(len(keys)), ends[own] - heads[own]), q[rows], r[rows]] = np.stack([v[rows] for v in values], 1)
+                if len(keys) > 1:
+                    yield emit([(*key, plane) for key, plane in zip(keys[:-1], a)])
+                held = (*keys[-1], a[-1].copy())
+        if held is not None:
+            yield emit([held])
+
+    return rows.repartition("snapshot", "p").sortWithinPartitions("snapshot", "p").mapInArrow(pack, "snapshot long, p int, raw binary")
 
 
 def write_binary(field: RealField | SpectralField, path: str | Callable[[int], str], precision: str = "double") -> list[int]:
     """Native files, one for each snapshot where ``path`` gives names by snapshot; the snapshots.
 
-    A file has one writer, so planes stream through the driver, one partition at a time.
+    A file has one writer.  In a mounted folder, which driver and executors must share, that is a
+    task for each file; in any other file system planes stream through the driver.
     """
-    spark, out, done = field.df.sparkSession, None, []
+    spark = field.df.sparkSession
+    planes = written(binary_planes(field, precision), "planes")
+    try:
+        if (first := planes.select("snapshot").first()) is None:
+            return []
+        if not callable(path) and planes.select("snapshot").distinct().limit(2).count() > 1:
+            raise ValueError("one file holds one snapshot")
+        name = path if callable(path) else lambda k: path
+        at = spark._jvm.org.apache.hadoop.fs.Path(name(first[0]))
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+            return _write_mounted(planes, name)
+        return _write_streamed(planes, name)
+    finally:
+        drop_written(planes)
+
+
+def _write_mounted(planes: DataFrame, name: Callable[[int], str]) -> list[int]:
+    """Every file by the task that has its planes; a file takes its name once it is whole."""
+    base = os.getcwd()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, out, at = [], None, ""
+
+        def end() -> None:
+            folder, file = os.path.split(at)
+            out.close()
+            os.replace(out.name, at)
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(f"{folder}/.{file}.crc")  # Hadoop's sum of a file that stood here
+
+        try:
+            for batch in batches:
+                for k, raw in zip(batch.column("snapshot").to_pylist(), batch.column("raw")):
+                    if not done or done[-1] != k:
+                        if out is not None:
+                            end()
+                        at = os.path.join(base, re.sub("^file:/*", "/", name(k)))
+                        os.makedirs(os.path.dirname(at), exist_ok=True)
+                        out = open(f"{os.path.dirname(at)}/.{os.path.basename(at)}-{uuid.uuid4().hex}", "wb")
+                        done.append(k)
+                    out.write(raw.as_buffer())
+            if out is not None:
+                end()
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+                os.remove(out.name)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["snapshot"])
+
+    return sorted(r[0] for r in planes.repartition("snapshot").sortWithinPartitions("snapshot", "p").mapInArrow(put, "snapshot long").collect())  # one number for each file
+
+
+def _write_streamed(planes: DataFrame, name: Callable[[int], str]) -> list[int]:
+    """Every file by the driver, one partition's planes at a time."""
+    spark, out, done = planes.sparkSession, None, []
     try:
-        for row in binary_planes(field, precision).orderBy("snapshot", "p").toLocalIterator():
+        for row in planes.orderBy("snapshot", "p").toLocalIterator():
             if not done or done[-1] != row["snapshot"]:
                 if out is not None:
                     out.close()
-                if done and not callable(path):
-                    raise ValueError("one file holds one snapshot")
                 done.append(row["snapshot"])
-                at = spark._jvm.org.apache.hadoop.fs.Path(path(row["snapshot"]) if callable(path) else path)
+                at = spark._jvm.org.apache.hadoop.fs.Path(name(row["snapshot"]))
                 out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
             out.write(bytearray(row["raw"]))
     finally:

@@ -268,3 +268,38 @@ def test_many_checkpoints_are_one_job(spark, tmp_path):
     rows = c.union().groupBy("snapshot").count().collect()
     assert sorted(r["snapshot"] for r in rows) == list(range(200)) and {r["count"] for r in rows} == {48}
     assert c.read(34).df.count() == 48
+
+
+def test_many_native_files_by_tasks(spark, tmp_path):
+    f = series(spark, 120)
+    (tmp_path / "n s").mkdir()
+    (tmp_path / "n s" / "other").write_bytes(bytes(64 * 8))
+    (tmp_path / "n s" / ".f007.crc").write_bytes(b"stale")
+    name = lambda k: f"file://{tmp_path}/n s/f{k:03x}"
+    assert io.write_binary(f, name) == list(range(120))
+    np.testing.assert_array_equal(np.fromfile(tmp_path / "n s" / "f04d"), np.full(64, 77.0))
+    assert sorted(x.name for x in (tmp_path / "n s").iterdir()) == sorted([*(f"f{k:03x}" for k in range(120)), "other"])
+    back = io.read_binaries(spark, {k: name(k) for k in range(120)}, f.grid, 1)
+    assert back.df.rdd.getNumPartitions() <= 16
+    assert sorted(map(tuple, back.df.groupBy("snapshot").agg(F.count_distinct("iz", "iy", "ix"), F.min("v0"), F.max("v0")).collect())) == [(k, 64, k, k) for k in range(120)]
+    with pytest.raises(ValueError):
+        io.write_binary(f, f"file://{tmp_path}/one")
+    (tmp_path / "n s" / "f003").write_bytes(bytes(24))
+    with pytest.raises(ValueError):
+        io.read_binaries(spark, {k: name(k) for k in range(120)}, f.grid, 1)
+
+
+def test_planes_over_batches_and_large_native_files(spark, tmp_path, monkeypatch):
+    """Planes of more rows than a batch, and files that are read by ranges."""
+    monkeypatch.setattr(io, "WHOLE_BYTES", 0)
+    f, a = field(spark, Grid(16, 12, 5), 3, 9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        io.write_binary(f, f"{tmp_path}/a")
+        np.testing.assert_array_equal(np.fromfile(tmp_path / "a").reshape(a.shape), a)
+        two = io.read_binaries(spark, {4: f"{tmp_path}/a", 9: f"{tmp_path}/a"}, f.grid, 3)
+        for k in (4, 9):
+            np.testing.assert_array_equal(io.dense(two.with_df(two.df.filter(F.col("snapshot") == k))), a)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
