@@ -242,7 +242,7 @@ def _lengths(spark: SparkSession, files: list[str]) -> tuple[DataFrame, dict[str
     # Many files are listed by their folders.
     found = spark.read.format("binaryFile").load(sorted(set(names.values())) if len(names) <= 32 else sorted(full.values()))
     wanted = set(names.values())
-    return found, names, {r["path"]: r["length"] for r in found.select("path", "length").toLocalIterator() if r["path"] in wanted}
+    return found, names, {r["path"]: r["length"] for r in found.select("path", "length").collect() if r["path"] in wanted}  # names, which the driver has listed
 
 
 def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, components: int, precision: str = "double", space: str = "real") -> RealField | SpectralField:
