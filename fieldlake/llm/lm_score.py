@@ -34,6 +34,10 @@ SIDE, DIM, HIDDEN = 2, 16, 32
 #: A round masks one position in so many, another residue each time: over the rounds every position once.
 ROUNDS, STRIDE = 3, 3
 BATCH, RATE = 16384, 0.15
+#: Rows of a softmax at once.
+BLOCK = 512
+#: Few positions are trained in so many batches, of so many positions at least: a copy of few documents takes more than one step.
+BATCHES, LEAST_BATCH = 4, 32
 #: Words scored at once.
 SCORE_WORDS = 16384
 #: Copies that are trained at once; distinct words that a task counts before it passes them on; weights of a row of the average.
@@ -111,32 +115,33 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
     h = np.ones((n, HIDDEN + 1), a.dtype)
     np.multiply(a, d, out=h[:, :-1])
     cls, word = target // PER_CLASS, target % PER_CLASS
+    out, dh = np.zeros(n, a.dtype), np.zeros((n, HIDDEN), a.dtype)
+
+    def run(name: str, rows: object, lo: int, hi: int, own: np.ndarray) -> None:
+        """A softmax for the rows from ``lo`` to ``hi``, in blocks that stay in the processor's cache."""
+        w, bias, both = p["w" + name][rows], p["b" + name][rows], 0
+        for at in range(lo, hi, BLOCK):
+            block = slice(at, min(at + BLOCK, hi))
+            found, g, total = _softmax(h[block], w, bias, own[block], update is not None)
+            out[block] += found
+            if update is not None:
+                total = (1 / total)[:, None]
+                dh[block] += (g @ w.T) * total
+                both = both + (h[block] * total).T @ g
+        if update is not None:
+            update("w" + name, rows, both[:-1])
+            update("b" + name, rows, both[-1])
 
-    def learn(name: str, rows: object, h: np.ndarray, g: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Passes on the gradients of a softmax's weights; that of its input."""
-        total = (1 / total)[:, None]
-        back = (g @ p["w" + name][rows].T) * total
-        both = (h * total).T @ g
-        update("w" + name, rows, both[:-1])
-        update("b" + name, rows, both[-1])
-        return back
-
-    out, g, total = _softmax(h, p["wc"], p["bc"], cls, update is not None)
-    if update is not None:
-        dh = learn("c", ..., h, g, total)
+    run("c", ..., 0, n, cls)
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
     for k in np.nonzero(ends[1:] > ends[:-1])[0].tolist():
-        lo, hi = ends[k], ends[k + 1]
-        own, g, total = _softmax(h[lo:hi], p["wo"][k], p["bo"][k], word[lo:hi], update is not None)
-        out[lo:hi] += own
-        if update is not None:
-            dh[lo:hi] += learn("o", k, h[lo:hi], g, total)
+        run("o", k, ends[k], ends[k + 1], word)
     if update is not None:
         da = dh * d * d
         dx = (p["w"] @ da.T).reshape(2 * SIDE, DIM, n)
         update("w", ..., x.T @ da)
         update("b", ..., da.sum(0))
-        slots = context.T.ravel()
+        slots = context.T.ravel().astype(np.intp)
         update("e", ..., np.stack([np.bincount(slots, dx[:, k].ravel(), VOCABULARY + 1) for k in range(DIM)], 1).astype(x.dtype))
     return out
 
@@ -157,7 +162,7 @@ class Trainer:
         self.context.append(context)
         self.target.append(target)
         self.waiting += len(target)
-        if self.waiting >= 4 * BATCH:
+        if self.waiting >= BATCHES * BATCH:
             self.flush()
 
     def flush(self) -> None:
@@ -166,8 +171,9 @@ class Trainer:
         context, target = np.concatenate(self.context), np.concatenate(self.target)
         self.context, self.target, self.waiting = [], [], 0
         self.used += np.r_[np.bincount(context.ravel(), minlength=VOCABULARY + 1), np.bincount(target // PER_CLASS, minlength=CLASSES), len(target)]
-        for lo in range(0, len(target), BATCH):
-            by = lo + np.argsort(target[lo : lo + BATCH], kind="stable")
+        size = min(BATCH, max(LEAST_BATCH, -(-len(target) // BATCHES)))
+        for lo in range(0, len(target), size):
+            by = lo + np.argsort(target[lo : lo + size], kind="stable")
             n = np.float32(len(by))
 
             def update(name: str, rows: object, g: np.ndarray, n=n) -> None:

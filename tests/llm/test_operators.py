@@ -132,6 +132,31 @@ def test_short_documents_train_with_production_values(spark):
     assert rows[0]["mean_log_likelihood"] > rows[1]["mean_log_likelihood"] + 0.2
 
 
+def test_few_positions_take_several_steps():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 9, 200).astype(np.int16)
+    start = lm_score.initial(np.bincount(ids, minlength=lm_score.VOCABULARY).astype(float))
+    trainer = lm_score.Trainer(start)
+    trainer.add(lm_score.windows(ids, np.arange(200)), ids)
+    trainer.flush()
+    # A single step of Adagrad moves no weight by more than its rate.
+    assert np.abs(trainer.flat - start).max() > 1.5 * lm_score.RATE
+
+
+def test_blocks_of_softmaxes_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.integers(0, 300, 1000)).astype(np.int16)
+    p, context = lm_score.parts(lm_score.initial(np.ones(lm_score.VOCABULARY))), rng.integers(0, 300, (1000, 2 * lm_score.SIDE)).astype(np.int16)
+    found = []
+    for block in (10_000, 7):
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        grads = []
+        found.append([lm_score.forward(p, context, ids, lambda name, rows, g, grads=grads: grads.append(g)), *grads])
+    assert len(found[0]) == len(found[1])
+    for a, b in zip(*found):
+        np.testing.assert_allclose(a, b, rtol=1e-3, atol=1e-3)
+
+
 # Pages.
 
 PAGES = [
