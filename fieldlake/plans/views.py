@@ -33,10 +33,18 @@ def scal3d(spark, d) -> RealField:
 
 
 def vec3d(spark, d) -> RealField:
-    """Three embeddings in a row as a vector field; incomplete triplets are left out."""
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("long").alias("snapshot"), (F.col("vec_id") % 3).alias("c"), F.posexplode("embedding").alias("p", "v"))
-    part = [F.max(F.when(F.col("c") == k, F.col("v").cast("double"))).alias(f"v{k}") for k in range(3)]
-    rows = e.groupBy("snapshot", "p").agg(*part).filter("v0 is not null and v1 is not null and v2 is not null")
+    """Three embeddings in a row as a vector field; incomplete triplets are left out.
+
+    Whole embeddings are brought together, not their points; of several with one number each
+    point has the largest value.
+    """
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("long").alias("snapshot"), (F.col("vec_id") % 3).alias("c"), "embedding")
+    largest = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+    own = [F.collect_list(F.when(F.col("c") == k, F.col("embedding"))).alias(f"v{k}") for k in range(3)]
+    found = e.groupBy("snapshot").agg(*own).filter("size(v0) > 0 and size(v1) > 0 and size(v2) > 0")
+    one = [F.when(F.size(v) == 1, F.col(v)[0]).otherwise(F.aggregate(v, F.col(v)[0], largest)).alias(v) for v in ("v0", "v1", "v2")]
+    rows = found.select("snapshot", *one).select("snapshot", F.posexplode(F.arrays_zip("v0", "v1", "v2")).alias("p", "v"))
+    rows = rows.select("snapshot", "p", *[F.col("v")[f"v{k}"].cast("double").alias(f"v{k}") for k in range(3)]).filter("v0 is not null and v1 is not null and v2 is not null")
     return RealField(rows.select("snapshot", *_cube(F.col("p")), "v0", "v1", "v2"), CUBE, 3)
 
 
