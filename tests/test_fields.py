@@ -303,3 +303,20 @@ def test_planes_over_batches_and_large_native_files(spark, tmp_path, monkeypatch
             np.testing.assert_array_equal(io.dense(two.with_df(two.df.filter(F.col("snapshot") == k))), a)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_embeddings_meet_whole(spark, tmp_path):
+    """Before the shuffle nothing is exploded; several embeddings of one number, nulls and short ones give what SQL gives."""
+    import duckdb
+
+    from fieldlake.plans import views as V
+
+    rng = np.random.default_rng(1)
+    e = [(k, [float(x) for x in rng.normal(size=64).round(3)]) for k in [*range(12), 4, 4, 20, 21]]
+    e += [(12, [1.0] * 64), (13, None), (14, [2.0] * 64), (15, [None, *[1.0] * 63]), (16, [1.0] * 40), (17, [3.0] * 64), (17, [4.0] * 10), (None, [1.0] * 64)]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = V.vec3d(spark, str(tmp_path))
+    want = duckdb.sql(f"WITH embeddings AS (SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'), {V.VEC} SELECT * FROM vec ORDER BY ALL").fetchall()
+    assert len(want) == 4 * 64 + 39 and sorted(map(tuple, v.df.collect())) == want
+    plan = v.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan[: plan.index("Aggregate")] and "Generate" not in plan[plan.index("Aggregate") :]
