@@ -1,8 +1,9 @@
 """Fourier transforms between real and spectral fields.
 
 The fast form works on slabs: planes of constant z are transformed in x and y, one shuffle
-deals the rows out by ky, and each of those slabs is transformed in z.  The forward transform is
-not normalised; ``normalize`` divides by the number of points; the inverse is a plain sum.
+deals the rows out by ky, and each of those slabs is transformed in z.  Small snapshots are
+transformed whole, many at a time.  The forward transform is not normalised; ``normalize``
+divides by the number of points; the inverse is a plain sum.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ from fieldlake.functions.grid import Grid
 from fieldlake.model import MODE, POINT, RealField, SpectralField, need
 
 _SLAB = "snapshot long, iz int, ky int, re array<double>, im array<double>"
+#: Snapshots of up to so many bytes aren't cut into slabs.
+SMALL_BYTES = 2**16
+
+
+def _small(g: Grid, components: int) -> bool:
+    return 8 * g.points * components <= SMALL_BYTES
 
 
 def _signed(n: int) -> np.ndarray:
@@ -81,7 +88,15 @@ def dft(field: RealField) -> SpectralField:
         a[group, pdf["iz"].to_numpy()] = (np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy())).reshape(-1, nkx, c)
         return modes(pdf["snapshot"].to_numpy()[first], pdf["ky"].to_numpy()[first], np.fft.fft(a, axis=1))
 
+    def whole(pdf: pd.DataFrame, group: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+        a = np.zeros((len(first), g.nz, g.ny, g.nx, c))
+        a[group, pdf["iz"].to_numpy(), pdf["iy"].to_numpy(), pdf["ix"].to_numpy()] = pdf[names].to_numpy()
+        f = np.fft.fft(np.fft.fft(np.fft.rfft(a, axis=3), axis=2), axis=1).transpose(0, 2, 1, 3, 4)
+        return modes(np.repeat(pdf["snapshot"].to_numpy()[first], g.ny), np.tile(_signed(g.ny), len(first)), f.reshape(-1, g.nz, nkx, c))
+
     schema = f"snapshot long, ky int, kz int, kx int, {values}"
+    if g.nz > 1 and _small(g, c):
+        return SpectralField(_by_group(field.df.select(*POINT, *names), ["snapshot"], whole, schema), g, c)
     out = _by_group(field.df.select(*POINT, *names), ["snapshot", "iz"], planes, schema if g.nz == 1 else _SLAB)
     if g.nz > 1:
         out = _by_group(out, ["snapshot", "ky"], pillars, schema)
@@ -113,6 +128,13 @@ def ift(field: SpectralField) -> RealField:
         a[group, pdf["ky"].to_numpy() % g.ny] = (np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy())).reshape(-1, nkx, c)
         return points(pdf["snapshot"].to_numpy()[first], pdf["iz"].to_numpy()[first], a)
 
+    def whole(pdf: pd.DataFrame, group: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+        a = np.zeros((len(first), g.nz, g.ny, nkx, c), complex)
+        v = pdf[names].to_numpy().reshape(-1, c, 2)
+        a[group, pdf["kz"].to_numpy() % g.nz, pdf["ky"].to_numpy() % g.ny, pdf["kx"].to_numpy()] = v[..., 0] + 1j * v[..., 1]
+        f = (np.fft.ifft(a, axis=1) * g.nz).reshape(-1, g.ny, nkx, c)
+        return points(np.repeat(pdf["snapshot"].to_numpy()[first], g.nz), np.tile(np.arange(g.nz), len(first)), f)
+
     def flat(pdf: pd.DataFrame, group: np.ndarray, first: np.ndarray) -> pd.DataFrame:
         a = np.zeros((len(first), g.ny, nkx, c), complex)
         v = pdf[names].to_numpy().reshape(-1, c, 2)
@@ -123,6 +145,8 @@ def ift(field: SpectralField) -> RealField:
     modes = field.df.select(*MODE, *names)
     if g.nz == 1:
         return RealField(_by_group(modes, ["snapshot"], flat, schema), g, c)
+    if _small(g, c):
+        return RealField(_by_group(modes, ["snapshot"], whole, schema), g, c)
     return RealField(_by_group(_by_group(modes, ["snapshot", "ky"], pillars, _SLAB), ["snapshot", "iz"], planes, schema), g, c)
 
 

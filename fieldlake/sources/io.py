@@ -60,7 +60,7 @@ def _ranged(field: RealField | SpectralField) -> DataFrame:
     return df.withColumn("first", first).withColumn("last", F.col("first") + (span - 1))
 
 
-def _put(rows: DataFrame, at: str, folders: list[str], slow: str, span: int, mode: str) -> None:
+def _put(rows: DataFrame, at: str, folders: list[str], slow: str | None, span: int, mode: str) -> None:
     """Writes rows into their folders; ``overwrite`` replaces the snapshots written and keeps what else their folders hold."""
     spark, fresh = rows.sparkSession, None
     if mode == "overwrite" and _exists(spark, at):
@@ -72,7 +72,7 @@ def _put(rows: DataFrame, at: str, folders: list[str], slow: str, span: int, mod
             kept = stored.join(fresh.select(*folders).distinct(), folders, "left_semi").join(fresh.select("snapshot").distinct(), "snapshot", "left_anti")
             rows = rows.unionByName(kept)
     if span > 1:  # a folder's files are few, and each is in the order of snapshots
-        rows = rows.repartition(*folders, slow).sortWithinPartitions(*folders, "snapshot")
+        rows = rows.repartition(*folders, *([slow] if slow else [])).sortWithinPartitions(*folders, "snapshot")
     out = rows.write.partitionBy(*folders).mode(mode)
     if mode == "overwrite":
         out = out.option("partitionOverwriteMode", "dynamic")
@@ -139,7 +139,11 @@ class Checkpoints:
 
     def write_all(self, w: SpectralField) -> dict[int, int]:
         """Every snapshot of ``w``, all files by one job; the files' numbers by snapshot."""
-        return self._write(w, sorted(r[0] for r in w.df.select("snapshot").distinct().collect()))  # one number for each checkpoint
+        w = w.with_df(fresh := written(w.df, "checkpoints"))  # what made the field is done once
+        try:
+            return self._write(w, sorted(r[0] for r in fresh.select("snapshot").distinct().collect()))  # one number for each checkpoint
+        finally:
+            drop_written(fresh)
 
     def _write(self, w: SpectralField, snapshots: list[int]) -> dict[int, int]:
         known = self._known()
@@ -151,11 +155,13 @@ class Checkpoints:
                     file += 1
                 sizes[file] += 1
             files[s] = placed.get(s, file)
-        own = self.spark.createDataFrame(list(files.items()), "snapshot long, file int")  # one row for each checkpoint
-        _put(_ranged(w).join(F.broadcast(own), "snapshot"), self.at, ["file", "first", "last"], "ky", _span(w), "overwrite")
+        own = self.spark.createDataFrame(pa.table({"snapshot": pa.array(files.keys(), pa.int64()), "file": pa.array(files.values(), pa.int32())}))  # one row for each checkpoint
+        slow = "ky" if 4 * self.per_file >= _span(w) else None  # files of few snapshots aren't cut further
+        _put(_ranged(w).join(F.broadcast(own), "snapshot"), self.at, ["file", "first", "last"], slow, _span(w), "overwrite")
         new = [(files[s], s) for s in snapshots if s not in placed]
         if new:  # after the data: what the index names is there
-            self.spark.createDataFrame(new, "file int, snapshot long").coalesce(1).write.mode("append").parquet(f"{self.path}/index")
+            table = pa.table({"file": pa.array([f for f, _ in new], pa.int32()), "snapshot": pa.array([s for _, s in new], pa.int64())})
+            self.spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{self.path}/index")
         return files
 
     def last(self) -> int | None:
@@ -174,7 +180,7 @@ class Checkpoints:
         known = sorted(set(self._known()))
         if not known:
             raise KeyError("no snapshots")
-        index = self.spark.createDataFrame(known, "file int, snapshot long")  # one row for each checkpoint
+        index = self.spark.createDataFrame(pa.table({"file": pa.array([f for f, _ in known], pa.int32()), "snapshot": pa.array([s for _, s in known], pa.int64())}))  # one row for each checkpoint
         return self.spark.read.parquet(self.at).join(F.broadcast(index), ["file", "snapshot"], "left_semi").drop("file", "first", "last")
 
 

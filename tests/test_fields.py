@@ -320,3 +320,29 @@ def test_embeddings_meet_whole(spark, tmp_path):
     assert len(want) == 4 * 64 + 39 and sorted(map(tuple, v.df.collect())) == want
     plan = v.df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan[: plan.index("Aggregate")] and "Generate" not in plan[plan.index("Aggregate") :]
+
+
+def test_small_snapshots_are_transformed_whole(spark, monkeypatch):
+    f, _ = field(spark, Grid(6, 4, 5), 2, 3)
+    found = []
+    for limit in (T.SMALL_BYTES, 0):
+        monkeypatch.setattr(T, "SMALL_BYTES", limit)
+        w = T.dft(f)
+        plan = w.df._jdf.queryExecution().optimizedPlan().toString()
+        found.append((plan.count("MapInPandas"), sorted(map(tuple, w.df.collect())), sorted(map(tuple, T.ift(w).df.collect()))))
+    assert [n for n, *_ in found] == [1, 2]
+    np.testing.assert_allclose(np.array(found[0][1]), np.array(found[1][1]), atol=1e-13)
+    np.testing.assert_allclose(np.array(found[0][2]), np.array(found[1][2]), atol=1e-12)
+
+
+def test_checkpoints_make_their_field_once(spark, tmp_path):
+    w, seen = G.random_scalar(spark, Grid(4, 4, 4), components=3), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    c = io.Checkpoints(spark, f"file://{tmp_path}/c", w.grid, per_file=2)
+    c.write_all(w.with_df(w.df.mapInArrow(count, w.df.schema)))
+    assert seen.value == c.union().count() == 48
