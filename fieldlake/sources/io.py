@@ -232,6 +232,8 @@ def read_binary(spark: SparkSession, path: str, grid: Grid, components: int, sna
 
 #: Files up to this size are read whole, many in a task; larger ones by ranges.
 WHOLE_BYTES = 2**22
+#: Bytes, and small files, of a task that reads them in a mounted folder.
+TASK_BYTES, TASK_FILES = 2**25, 4096
 #: Bytes that are unpacked or packed at once.
 BATCH_BYTES = 2**23
 
@@ -251,6 +253,37 @@ def _lengths(spark: SparkSession, files: list[str]) -> tuple[DataFrame, dict[str
     return found, names, {r["path"]: r["length"] for r in found.select("path", "length").collect() if r["path"] in wanted}  # names, which the driver has listed
 
 
+def _mounted(spark: SparkSession, files: list[str]) -> bool:
+    """Whether the files lie in a mounted folder, which driver and executors must share."""
+    system = lambda f: spark._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return all(system(f"{p}/x") == "file" for p in {f.rpartition("/")[0] for f in files})
+
+
+def _local(file: str, base: str) -> str:
+    return os.path.join(base, re.sub("^file:/*", "/", file))
+
+
+def _read_mounted(spark: SparkSession, files: dict[int, str], size: int) -> DataFrame:
+    """snapshot and raw of small files, which tasks open themselves: a source of Spark's takes some milliseconds for each."""
+    base, many = os.getcwd(), max(1, min(TASK_FILES, TASK_BYTES // max(1, size)))
+    names = spark.createDataFrame(pa.table({"snapshot": pa.array(files.keys(), pa.int64()), "file": pa.array(files.values(), pa.string())}))  # names, which the caller holds
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, BATCH_BYTES // max(1, size))
+        for batch in batches:
+            for lo in range(0, len(batch), at_once):
+                part, found = batch.slice(lo, at_once), []
+                for file in part.column("file").to_pylist():
+                    with open(_local(file, base), "rb") as f:
+                        found.append(f.read())
+                    if len(found[-1]) != size:
+                        raise ValueError(f"{file} has {len(found[-1])} bytes, not {size}")
+                yield pa.RecordBatch.from_arrays([part.column("snapshot"), pa.array(found, pa.binary())], names=["snapshot", "raw"])
+
+    tasks = max(-(-len(files) // many), min(len(files), spark.sparkContext.defaultParallelism))
+    return names.repartition(tasks).mapInArrow(read, "snapshot long, raw binary")
+
+
 def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, components: int, precision: str = "double", space: str = "real") -> RealField | SpectralField:
     """Native arrays by snapshot, all at once.
 
@@ -265,12 +298,19 @@ def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, compon
     size = middle * fast * width * np.dtype(kind).itemsize
     if size >= 2**31:
         raise ValueError("a plane of 2 GB or more is no record")
-    snapshots = sorted(files)
-    found, full, lengths = _lengths(spark, [files[k] for k in snapshots])
-    wrong = [f for f, name in full.items() if lengths.get(name) != slow * size]
+    snapshots, whole = sorted(files), slow * size <= WHOLE_BYTES
+    if mounted := whole and _mounted(spark, [files[k] for k in snapshots]):
+        here = {f: _local(f, os.getcwd()) for f in files.values()}
+        wrong = [f for f, at in here.items() if not os.path.isfile(at) or os.path.getsize(at) != slow * size]
+    else:
+        found, full, lengths = _lengths(spark, [files[k] for k in snapshots])
+        wrong = [f for f, name in full.items() if lengths.get(name) != slow * size]
     if wrong:
         raise ValueError(f"{len(wrong)} files are missing or don't have {slow * size} bytes: {sorted(wrong)[:3]}")
-    if whole := slow * size <= WHOLE_BYTES:
+    sent = None
+    if mounted:
+        planes = _read_mounted(spark, {int(k): files[k] for k in snapshots}, slow * size)
+    elif whole:
         by_name = defaultdict(list)
         for k in snapshots:
             by_name[full[files[k]]].append(int(k))
@@ -301,8 +341,8 @@ def read_binaries(spark: SparkSession, files: dict[int, str], grid: Grid, compon
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, waiting = [], 0
         for batch in batches:
-            for which, raw in zip(batch.column("path" if whole else "i").to_pylist(), batch.column("raw")):
-                for k, p in [(k, 0) for k in sent.value.get(which, ())] if whole else [(sent.value[which // slow], which % slow)]:
+            for which, raw in zip(batch.column("snapshot" if mounted else "path" if whole else "i").to_pylist(), batch.column("raw")):
+                for k, p in [(which, 0)] if mounted else [(k, 0) for k in sent.value.get(which, ())] if whole else [(sent.value[which // slow], which % slow)]:
                     units.append((k, p, raw.as_buffer()))
                     waiting += len(units[-1][2])
                     if waiting >= BATCH_BYTES:
@@ -400,7 +440,7 @@ def _write_mounted(planes: DataFrame, name: Callable[[int], str]) -> list[int]:
                     if not done or done[-1] != k:
                         if out is not None:
                             end()
-                        at = os.path.join(base, re.sub("^file:/*", "/", name(k)))
+                        at = _local(name(k), base)
                         os.makedirs(os.path.dirname(at), exist_ok=True)
                         out = open(f"{os.path.dirname(at)}/.{os.path.basename(at)}-{uuid.uuid4().hex}", "wb")
                         done.append(k)

@@ -346,3 +346,15 @@ def test_checkpoints_make_their_field_once(spark, tmp_path):
     c = io.Checkpoints(spark, f"file://{tmp_path}/c", w.grid, per_file=2)
     c.write_all(w.with_df(w.df.mapInArrow(count, w.df.schema)))
     assert seen.value == c.union().count() == 48
+
+
+def test_small_native_files_are_opened_by_tasks(spark, tmp_path):
+    f = series(spark, 30)
+    name = lambda k: f"file://{tmp_path}/n/f{k:03x}"
+    io.write_binary(f, name)
+    back = io.read_binaries(spark, {**{k: name(k) for k in range(30)}, 77: name(5)}, f.grid, 1)
+    assert "binaryFile" not in back.df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, back.df.groupBy("snapshot").agg(F.count("*"), F.min("v0"), F.max("v0")).collect())) == [(k, 64, k % 72, k % 72) for k in [*range(30), 77]]
+    (tmp_path / "n" / "f003").unlink()
+    with pytest.raises(ValueError):
+        io.read_binaries(spark, {3: name(3)}, f.grid, 1)
