@@ -13,6 +13,8 @@ sum of its words' conditional log-probabilities.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -50,6 +52,17 @@ SHAPES = {
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
+#: glibc's M_TRIM_THRESHOLD, M_TOP_PAD and M_MMAP_THRESHOLD.
+_KEPT = ((-1, 2**28), (-2, 2**24), (-3, 2**25))
+
+
+def keep_memory() -> None:
+    """Lets the process keep what arrays have freed for its next ones; else every block's arrays are mapped, and their pages faulted in, anew."""
+    with contextlib.suppress(OSError, AttributeError):  # another library has no such setting
+        for option, value in _KEPT:
+            ctypes.CDLL(None).mallopt(option, value)
+
+
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of one vector."""
     out, at = {}, 0
@@ -80,22 +93,27 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets; with ``learn`` also the loss's gradient by the logits, times each row's total, and the totals.
-
-    ``h`` ends with a column of ones.
-    """
+def _logits(w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as their last row, less a bound of all logits; whether that bound is near them all."""
     # Hidden units lie between -1 and 1, so no logit is above this bound; where it may be far above them all, the rows' own maxima.
     reach = np.abs(w).sum(0)
     most = (reach + bias).max()
-    near = most - (bias - reach).max() < 60
-    logits = h @ np.concatenate([w, (bias - most if near else bias)[None]])
+    near = bool(most - (bias - reach).max() < 60)
+    return np.concatenate([w, (bias - most if near else bias)[None]]), near
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, near: bool, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets; with ``learn`` also the loss's gradient by the logits, times each row's total, and the totals.
+
+    ``h`` ends with a column of ones; ``w`` and ``near`` are from ``_logits``.
+    """
+    logits = h @ w
     if not near:
         logits -= logits.max(1, keepdims=True)
     at = np.arange(len(target))
     own = logits[at, target]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(len(bias), logits.dtype)
+    total = logits @ np.ones(w.shape[1], logits.dtype)
     if learn:
         logits[at, target] -= total
     return own - np.log(total), logits, total
@@ -119,10 +137,11 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
 
     def run(name: str, rows: object, lo: int, hi: int, own: np.ndarray) -> None:
         """A softmax for the rows from ``lo`` to ``hi``, in blocks that stay in the processor's cache."""
-        w, bias, both = p["w" + name][rows], p["b" + name][rows], 0
+        w, both = p["w" + name][rows], 0
+        ready, near = _logits(w, p["b" + name][rows])  # once for all blocks
         for at in range(lo, hi, BLOCK):
             block = slice(at, min(at + BLOCK, hi))
-            found, g, total = _softmax(h[block], w, bias, own[block], update is not None)
+            found, g, total = _softmax(h[block], ready, near, own[block], update is not None)
             out[block] += found
             if update is not None:
                 total = (1 / total)[:, None]
@@ -361,6 +380,7 @@ def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: i
         sent = context.broadcast(flat)  # of a fixed size
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             trainer = Trainer(sent.value)
             for batch in batches:
                 for raw in batch.column("ids").to_pylist():
@@ -405,6 +425,7 @@ def score(docs: DataFrame, network: Network | None = None) -> DataFrame:
     shares, sent = network.shares, docs.sparkSession.sparkContext.broadcast((network.flat, network.unseen))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         network = Network([], sent.value[0], None, sent.value[1])
         for batch in batches:
             raw = batch.column("ids").to_pylist()

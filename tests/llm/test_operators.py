@@ -143,6 +143,16 @@ def test_few_positions_take_several_steps():
     assert np.abs(trainer.flat - start).max() > 1.5 * lm_score.RATE
 
 
+def test_weights_are_prepared_once_for_all_blocks(monkeypatch):
+    rng, calls = np.random.default_rng(6), []
+    ready = lm_score._logits
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    monkeypatch.setattr(lm_score, "_logits", lambda w, bias: calls.append(w.shape) or ready(w, bias))
+    ids = np.sort(rng.integers(0, 300, 1000)).astype(np.int16)
+    lm_score.forward(lm_score.parts(lm_score.initial(np.ones(lm_score.VOCABULARY))), rng.integers(0, 300, (1000, 2 * lm_score.SIDE)).astype(np.int16), ids)
+    assert len(calls) == 3  # the classes, and the words of two of them
+
+
 def test_blocks_of_softmaxes_change_nothing(monkeypatch):
     rng = np.random.default_rng(4)
     ids = np.sort(rng.integers(0, 300, 1000)).astype(np.int16)
