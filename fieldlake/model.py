@@ -20,16 +20,23 @@ MODE = ("snapshot", "ky", "kz", "kx")
 
 @dataclass(frozen=True)
 class RealField:
+    """``whole``, where it is known, has the same points as one row for each snapshot: v0.. are arrays in the order of iz, iy and ix."""
+
     df: DataFrame
     grid: Grid
     components: int = 1
+    whole: DataFrame | None = None
 
     @property
     def values(self) -> list[str]:
         return [f"v{c}" for c in range(self.components)]
 
     def with_df(self, df: DataFrame, components: int | None = None) -> RealField:
-        return replace(self, df=df, components=self.components if components is None else components)
+        return replace(self, df=df, components=self.components if components is None else components, whole=None)
+
+    def of_snapshots(self, condition) -> RealField:
+        """The snapshots for whose numbers the condition holds."""
+        return replace(self, df=self.df.filter(condition), whole=None if self.whole is None else self.whole.filter(condition))
 
     def map(self, *values) -> RealField:
         """Other values at the same points."""
@@ -74,6 +81,14 @@ class SpectralField:
         return self.df.select(*MODE, *self.values).join(right, list(MODE))
 
 
+def points(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, p and values of every place p of arrays at which each of them has a value."""
+    first, *others = values
+    out = rows.select(*keys, F.posexplode(first).alias("p", "_0"), *others)
+    out = out.select(*keys, "p", F.col("_0").cast("double").alias(first), *[F.get(v, F.col("p")).cast("double").alias(v) for v in others])
+    return out.filter(" and ".join(f"{v} is not null" for v in values))
+
+
 def need(field, kind: type, what: str) -> None:
     """A field in the wrong space is an error at once."""
     if not isinstance(field, kind):

@@ -180,7 +180,7 @@ def _grown(s, d) -> DataFrame:
     """A series written in two parts, odd snapshots first."""
     path, v = new_path(s, "series"), V.vec3d(s, d)
     for odd in (1, 0):
-        io.write_field(v.with_df(v.df.filter(F.col("snapshot") % 2 == odd)), path, "velocity")
+        io.write_field(v.of_snapshots(F.col("snapshot") % 2 == odd), path, "velocity")
     return rounded(io.read_field(s, path, "velocity", V.CUBE, "real", components=3).df, POINT, ["v0", "v1", "v2"])
 
 

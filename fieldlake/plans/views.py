@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlake.functions.grid import Grid
-from fieldlake.model import RealField
+from fieldlake.model import RealField, points
 
 LINE = Grid(64)
 CUBE = Grid(4, 4, 4)
@@ -42,10 +42,9 @@ def vec3d(spark, d) -> RealField:
     largest = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
     own = [F.collect_list(F.when(F.col("c") == k, F.col("embedding"))).alias(f"v{k}") for k in range(3)]
     found = e.groupBy("snapshot").agg(*own).filter("size(v0) > 0 and size(v1) > 0 and size(v2) > 0")
-    one = [F.when(F.size(v) == 1, F.col(v)[0]).otherwise(F.aggregate(v, F.col(v)[0], largest)).alias(v) for v in ("v0", "v1", "v2")]
-    rows = found.select("snapshot", *one).select("snapshot", F.posexplode(F.arrays_zip("v0", "v1", "v2")).alias("p", "v"))
-    rows = rows.select("snapshot", "p", *[F.col("v")[f"v{k}"].cast("double").alias(f"v{k}") for k in range(3)]).filter("v0 is not null and v1 is not null and v2 is not null")
-    return RealField(rows.select("snapshot", *_cube(F.col("p")), "v0", "v1", "v2"), CUBE, 3)
+    one = [F.when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(F.aggregate(v, F.get(v, F.lit(0)), largest)).alias(v) for v in ("v0", "v1", "v2")]
+    whole = found.select("snapshot", *one)
+    return RealField(points(whole, ["snapshot"], ["v0", "v1", "v2"]).select("snapshot", *_cube(F.col("p")), "v0", "v1", "v2"), CUBE, 3, whole)
 
 
 def traj(spark, d) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlake.functions.grid import Grid, shell_table
-from fieldlake.model import MODE, POINT, RealField, SpectralField
+from fieldlake.model import MODE, POINT, RealField, SpectralField, points
 from fieldlake.operators.spectral import divergence_free, low_pass, symmetrize
 from fieldlake.sources.shared import drop_written, written
 
@@ -53,9 +53,9 @@ def _span(field: RealField | SpectralField) -> int:
     return 1 << max(0, (FOLDER_BYTES // (8 * g.nz * g.ny * fast * len(field.values))).bit_length() - 1)
 
 
-def _ranged(field: RealField | SpectralField) -> DataFrame:
-    """The rows with the first and last number of their folder."""
-    span, df = _span(field), field.df.withColumn("snapshot", F.col("snapshot").cast("long"))
+def _ranged(field: RealField | SpectralField, df: DataFrame | None = None) -> DataFrame:
+    """The rows, or those of ``df``, with the first and last number of their folder."""
+    span, df = _span(field), (field.df if df is None else df).withColumn("snapshot", F.col("snapshot").cast("long"))
     first = F.col("snapshot") - F.pmod(F.col("snapshot"), F.lit(span))
     return df.withColumn("first", first).withColumn("last", F.col("first") + (span - 1))
 
@@ -81,9 +81,33 @@ def _put(rows: DataFrame, at: str, folders: list[str], slow: str | None, span: i
         drop_written(fresh)
 
 
+#: Files that a task has open at once where its rows come in order anyhow; of more, Spark sorts the rest.
+OPEN_FILES = 16
+
+
+def _append_whole(field: RealField, at: str) -> None:
+    """Appends whole snapshots: planes are brought together and put in order as arrays, and become points as they are written."""
+    g, values, spark = field.grid, field.values, field.df.sparkSession
+    size, folders = g.ny * g.nx, ["first", "last"]
+    plane = F.transform(F.sequence(F.lit(0), F.lit(g.nz - 1)), lambda z: F.struct(*[F.slice(v, z * size + 1, size).alias(v) for v in values]))
+    rows = _ranged(field, field.whole.select("snapshot", F.posexplode(plane).alias("iz", "plane"))).select("snapshot", "iz", *[F.col("plane")[v].alias(v) for v in values], *folders)
+    rows = rows.repartition(*folders, "iz").sortWithinPartitions(*folders, "snapshot")
+    rows = points(rows, ["snapshot", "iz", *folders], values)
+    rows = rows.select("snapshot", "iz", (F.col("p") / g.nx).cast("int").alias("iy"), (F.col("p") % g.nx).alias("ix"), *values, *folders)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, OPEN_FILES)  # else the points are sorted once more
+    try:
+        rows.write.partitionBy(*folders).mode("append").parquet(at)
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_field(field: RealField | SpectralField, path: str, name: str, mode: str = "append") -> None:
     """Snapshots of a quantity, in either representation; ``overwrite`` replaces the snapshots written."""
     space, slow = ("real", "iz") if isinstance(field, RealField) else ("complex", "ky")
+    if mode == "append" and space == "real" and field.whole is not None and _span(field) > 1:
+        return _append_whole(field, f"{path}/{name}/{space}")
     _put(_ranged(field), f"{path}/{name}/{space}", ["first", "last"], slow, _span(field), mode)
 
 

@@ -248,6 +248,27 @@ def test_series_grow_and_are_replaced_in_shared_folders(spark, tmp_path):
         io.write_field(series(spark, 2, 8), at, "v", "overwrite")
 
 
+def test_whole_snapshots_are_written_as_arrays(spark, tmp_path, monkeypatch):
+    """The shuffle and the sort of a written series have planes as arrays, not points; short and missing values stay out."""
+    from fieldlake.plans import views as V
+
+    monkeypatch.setattr(io, "FOLDER_BYTES", 8 * 64 * 3 * 16)  # 16 snapshots a folder
+    rng = np.random.default_rng(2)
+    e = [(k, [float(x) for x in rng.normal(size=64).round(3)]) for k in range(120)] + [(k, [None, *[1.0] * 40]) for k in (120, 121, 122)]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v, at, plans = V.vec3d(spark, str(tmp_path)), f"file://{tmp_path}/s", []
+    kept = io.points
+    monkeypatch.setattr(io, "points", lambda rows, *more: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or kept(rows, *more))
+    for odd in (1, 0):
+        io.write_field(v.of_snapshots(F.col("snapshot") % 2 == odd), at, "v")
+    assert len(plans) == 2 and all("Sort" in p and "RepartitionByExpression" in p for p in plans)
+    back = io.read_field(spark, at, "v", v.grid, "real")
+    assert back.df.count() == 40 * 64 + 40 and sorted(map(tuple, back.df.collect())) == sorted(map(tuple, v.df.select(*back.df.columns).collect()))
+    assert back.df.schema == io.read_field(spark, at, "v", v.grid, "real", [3]).df.schema and len(list((tmp_path / "s").rglob("last=*"))) == 3
+    assert all(len(io.read_field(spark, at, "v", v.grid, "real", [k]).df.inputFiles()) <= 8 for k in (0, 40))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_planes_and_lines_of_a_long_series(spark, tmp_path):
     f, at = series(spark, 250), f"file://{tmp_path}/s"
     io.write_field(f, at, "v")
