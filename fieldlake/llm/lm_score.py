@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,12 @@ BATCH, RATE = 16384, 0.15
 BLOCK = 512
 #: Few positions are trained in so many batches, of so many positions at least: a copy of few documents takes more than one step.
 BATCHES, LEAST_BATCH = 4, 32
+#: Bytes of texts that are split at once, to be encoded and to be counted.
+SPLIT_BYTES, COUNT_BYTES = 2**23, 2**25
 #: Words scored at once.
 SCORE_WORDS = 16384
-#: Copies that are trained at once; distinct words that a task counts before it passes them on; weights of a row of the average.
-MOST_COPIES, COUNTED_WORDS, CHUNK = 8192, 400_000, 1024
+#: Copies that are trained at once; weights of a row of the average.
+MOST_COPIES, CHUNK = 8192, 1024
 _EDGE = VOCABULARY  # stands beyond a document's ends
 
 SHAPES = {
@@ -223,43 +226,53 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _bytes_of(words: pa.StringArray) -> list[bytes]:
+    """As ``to_pylist``, which makes an object of Arrow's for each value first."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def distinct_words(texts: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """Slices of the texts, of some ``most`` bytes each: where they begin, each text's number of words, the distinct words (A-Z lower-cased), and which of them each word is."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    starts = np.nonzero(np.r_[np.ones(min(1, len(part)), bool), part[1:] != part[:-1]])[0].tolist()
+    for lo, hi in zip(starts, [*starts[1:], len(sizes)]):
+        # A lone surrogate is no UTF-8, but these functions only look at single bytes.
+        split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_trim_whitespace(pc.ascii_lower(texts[lo:hi])), ""))
+        flat = split.flatten()
+        kept = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text without words is split into an empty one
+        many = np.diff(np.r_[0, np.cumsum(kept)][split.offsets.to_numpy() - split.offsets[0].as_py()])
+        words = (flat if kept.all() else flat.filter(pa.array(kept))).dictionary_encode()
+        yield lo, many, words.dictionary, words.indices.to_numpy(zero_copy_only=False)
 
 
 class Ids:
-    """Ids of a text's words; others than the frequent ones share buckets, and have hashes."""
+    """Ids of texts' words; others than the frequent ones share buckets, and have hashes."""
 
     def __init__(self, frequent: list[str]):
         self.get = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(frequent)}.get
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = words_of(text)
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and their hashes, 0 for frequent ones."""
         ids = np.fromiter(map(self.get, words, repeat(-1)), np.int16, len(words))
         rare = np.nonzero(ids < 0)[0]
         others = list(map(words.__getitem__, rare.tolist()))
         ids[rare] = VOCABULARY - BUCKETS + np.fromiter(map(crc32, others), np.int64, len(rare)) % BUCKETS
-        return ids, np.fromiter(map(_word_hash, others), np.uint64, len(rare)).view(np.int64)
+        hashes = np.zeros(len(words), np.int64)
+        hashes[rare] = np.fromiter(map(_word_hash, others), np.uint64, len(rare)).view(np.int64)
+        return ids, hashes
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Every word (its bytes, A-Z lower-cased) of the corpus with its count; a task adds up its own words before the shuffle."""
+    """Every word (its bytes, A-Z lower-cased) of the corpus with its count; a task adds up its own words, a batch of texts at a time, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "count"])
-            counts.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > COUNTED_WORDS:
-                    yield emit()
-        yield emit()
+            for _, _, words, which in distinct_words(batch.column("text"), COUNT_BYTES):
+                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(which, minlength=len(words)))], names=["word", "count"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -315,10 +328,13 @@ def encode(docs: DataFrame, frequent: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent)
         for batch in batches:
-            found = [ids.of(t) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(o) for _, o in found)]).astype(np.int32)
-            others = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *(o for _, o in found)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([x.tobytes() for x, _ in found], pa.binary()), others], names=["doc_id", "row", "ids", "others"])
+            for lo, many, words, which in distinct_words(batch.column("text"), SPLIT_BYTES):
+                own, hashes = ids.of(_bytes_of(words))
+                found, ends = own[which], np.r_[0, np.cumsum(many)]
+                rare = found >= VOCABULARY - BUCKETS
+                others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)][ends].astype(np.int32)), pa.array(hashes[which[rare]]))
+                raw = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(many)), batch.column("row").slice(lo, len(many)), raw, others], names=["doc_id", "row", "ids", "others"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -115,6 +116,25 @@ def test_every_word_is_predicted_by_its_own_share(spark):
     assert len(own) == len(texts) and all(np.isclose(own[i], got[i]["log_likelihood"], rtol=0.01, atol=0.5) for i in own)  # another training, whose rows lie otherwise in partitions
 
 
+def test_words_are_split_many_texts_at_once_as_one_by_one():
+    rng = random.Random(8)
+    texts = ["", None, "  ", "a\x0bB\x0c c\t\nd ", " x", "x ", "\u00c4 \u00e4\u2003em\u00a0nb", "A\x1cb \x85 c", "q" * 99, "a\0b \0"]
+    texts += ["".join(rng.choice("aB \t\n\x0b\x0c\r\x1c\x1f\x85 \u00e9Z") for _ in range(rng.randrange(30))) for _ in range(500)]
+    for column in (pa.array(texts), pa.array(texts)[3:70], pa.array([None, None], pa.string()), pa.array([], pa.string())):
+        for most in (1, 50, 2**25):
+            seen, known = [], lm_score.Ids(["a", "b"])
+            for lo, many, words, which in lm_score.distinct_words(column, most):
+                assert lo == len(seen)
+                words = lm_score._bytes_of(words)
+                assert len(set(words)) == len(words)
+                ids, hashes = known.of(words)
+                assert [h for w, h in zip(words, hashes) if w not in (b"a", b"b")] == [np.uint64(lm_score._word_hash(w)).astype(np.int64) for w in words if w not in (b"a", b"b")]
+                assert ids.tolist() == [{b"a": 0, b"b": 1}.get(w, lm_score.VOCABULARY - lm_score.BUCKETS + crc32(w) % lm_score.BUCKETS) for w in words]
+                ends = np.cumsum([0, *many])
+                seen += [[words[k] for k in which[a:b]] for a, b in zip(ends, ends[1:])]
+            assert seen == [(t or "").encode().lower().split() for t in column.to_pylist()]
+
+
 def test_rounds_mask_every_position_once():
     rng = np.random.default_rng(5)
     for n in [*range(40), 1000]:
