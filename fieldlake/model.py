@@ -20,23 +20,28 @@ MODE = ("snapshot", "ky", "kz", "kx")
 
 @dataclass(frozen=True)
 class RealField:
-    """``whole``, where it is known, has the same points as one row for each snapshot: v0.. are arrays in the order of iz, iy and ix."""
+    """``whole``, where it is known, has the same points as one row for each snapshot: v0.. are arrays in the order of iz, iy and ix.
+
+    ``line``, where it is known, is the same for the first line along x alone, without what the other points cost.
+    """
 
     df: DataFrame
     grid: Grid
     components: int = 1
     whole: DataFrame | None = None
+    line: DataFrame | None = None
 
     @property
     def values(self) -> list[str]:
         return [f"v{c}" for c in range(self.components)]
 
     def with_df(self, df: DataFrame, components: int | None = None) -> RealField:
-        return replace(self, df=df, components=self.components if components is None else components, whole=None)
+        return replace(self, df=df, components=self.components if components is None else components, whole=None, line=None)
 
     def of_snapshots(self, condition) -> RealField:
         """The snapshots for whose numbers the condition holds."""
-        return replace(self, df=self.df.filter(condition), whole=None if self.whole is None else self.whole.filter(condition))
+        own = lambda rows: None if rows is None else rows.filter(condition)
+        return replace(self, df=self.df.filter(condition), whole=own(self.whole), line=own(self.line))
 
     def map(self, *values) -> RealField:
         """Other values at the same points."""

@@ -231,7 +231,16 @@ def _stored(s, d, snapshots=None):
 
 query("s1_snapshots", _VOUT + " WHERE snapshot IN (3, 5, 8)")(lambda s, d: rounded(_stored(s, d, [3, 5, 8]).df, POINT, ["v0", "v1", "v2"]))
 query("s3_zslice", _VOUT + " WHERE iz = 0")(lambda s, d: rounded(io.zslice(_stored(s, d)).df, POINT, ["v0", "v1", "v2"]))
-query("s4_xline", _VOUT + " WHERE iz = 0 AND iy = 0")(lambda s, d: rounded(io.xline(_stored(s, d)).df, POINT, ["v0", "v1", "v2"]))
+
+
+def _lines(s, d):
+    """The series of x-lines, which has nothing else of the fields."""
+    path = new_path(s, "xlines")
+    io.append_xlines(V.vec3d(s, d), path, "velocity")
+    return io.read_xlines(s, path, "velocity", V.CUBE, components=3)
+
+
+query("s4_xline", _VOUT + " WHERE iz = 0 AND iy = 0")(lambda s, d: rounded(_lines(s, d).df, POINT, ["v0", "v1", "v2"]))
 
 
 def _native(s, d) -> tuple[str, dict[int, str]]:

@@ -35,16 +35,20 @@ def scal3d(spark, d) -> RealField:
 def vec3d(spark, d) -> RealField:
     """Three embeddings in a row as a vector field; incomplete triplets are left out.
 
-    Whole embeddings are brought together, not their points; of several with one number each
-    point has the largest value.
+    Whole embeddings are brought together, not their points (for the first line along x only the
+    line's values of each); of several with one number each point has the largest value.
     """
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("long").alias("snapshot"), (F.col("vec_id") % 3).alias("c"), "embedding")
     largest = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
-    own = [F.collect_list(F.when(F.col("c") == k, F.col("embedding"))).alias(f"v{k}") for k in range(3)]
-    found = e.groupBy("snapshot").agg(*own).filter("size(v0) > 0 and size(v1) > 0 and size(v2) > 0")
-    one = [F.when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(F.aggregate(v, F.get(v, F.lit(0)), largest)).alias(v) for v in ("v0", "v1", "v2")]
-    whole = found.select("snapshot", *one)
-    return RealField(points(whole, ["snapshot"], ["v0", "v1", "v2"]).select("snapshot", *_cube(F.col("p")), "v0", "v1", "v2"), CUBE, 3, whole)
+
+    def together(values) -> DataFrame:
+        own = [F.collect_list(F.when(F.col("c") == k, values)).alias(f"v{k}") for k in range(3)]
+        found = e.groupBy("snapshot").agg(*own).filter("size(v0) > 0 and size(v1) > 0 and size(v2) > 0")
+        one = [F.when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(F.aggregate(v, F.get(v, F.lit(0)), largest)).alias(v) for v in ("v0", "v1", "v2")]
+        return found.select("snapshot", *one)
+
+    whole, line = together(F.col("embedding")), together(F.slice("embedding", 1, CUBE.nx))
+    return RealField(points(whole, ["snapshot"], ["v0", "v1", "v2"]).select("snapshot", *_cube(F.col("p")), "v0", "v1", "v2"), CUBE, 3, whole, line)
 
 
 def traj(spark, d) -> DataFrame:

@@ -14,6 +14,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,8 @@ def _put(rows: DataFrame, at: str, folders: list[str], slow: str | None, span: i
         drop_written(fresh)
 
 
+#: Files of a full folder at least, which are written and read side by side.
+FOLDER_FILES = 4
 #: Files that a task has open at once where its rows come in order anyhow; of more, Spark sorts the rest.
 OPEN_FILES = 16
 
@@ -91,7 +94,8 @@ def _append_whole(field: RealField, at: str) -> None:
     size, folders = g.ny * g.nx, ["first", "last"]
     plane = F.transform(F.sequence(F.lit(0), F.lit(g.nz - 1)), lambda z: F.struct(*[F.slice(v, z * size + 1, size).alias(v) for v in values]))
     rows = _ranged(field, field.whole.select("snapshot", F.posexplode(plane).alias("iz", "plane"))).select("snapshot", "iz", *[F.col("plane")[v].alias(v) for v in values], *folders)
-    rows = rows.repartition(*folders, "iz").sortWithinPartitions(*folders, "snapshot")
+    part = F.floor((F.col("snapshot") - F.col("first")) * -(-FOLDER_FILES // g.nz) / _span(field))
+    rows = rows.repartition(*folders, "iz", part).sortWithinPartitions(*folders, "snapshot")
     rows = points(rows, ["snapshot", "iz", *folders], values)
     rows = rows.select("snapshot", "iz", (F.col("p") / g.nx).cast("int").alias("iy"), (F.col("p") % g.nx).alias("ix"), *values, *folders)
     key = "spark.sql.maxConcurrentOutputFileWriters"
@@ -135,8 +139,22 @@ def zslice(field: RealField, iz: int = 0) -> RealField:
 
 
 def xline(field: RealField) -> RealField:
-    """The first line along x."""
-    return field.with_df(field.df.filter((F.col("iz") == 0) & (F.col("iy") == 0)))
+    """The first line along x, a field on that line."""
+    grid = replace(field.grid, ny=1, nz=1)
+    if field.line is None:
+        return replace(field.with_df(field.df.filter((F.col("iz") == 0) & (F.col("iy") == 0))), grid=grid)
+    rows = points(field.line, ["snapshot"], field.values)
+    return RealField(rows.select("snapshot", F.lit(0).alias("iz"), F.lit(0).alias("iy"), F.col("p").alias("ix"), *field.values), grid, field.components, field.line)
+
+
+def append_xlines(field: RealField, path: str, name: str) -> None:
+    """Appends the first line along x of every snapshot to the quantity's series of lines; the rest of the field isn't stored."""
+    write_field(xline(field), path, f"xlines/{name}")
+
+
+def read_xlines(spark: SparkSession, path: str, name: str, grid: Grid, snapshots: list[int] | None = None, components: int | None = None) -> RealField:
+    """The series of lines again; ``grid`` is that of the field."""
+    return read_field(spark, path, f"xlines/{name}", replace(grid, ny=1, nz=1), "real", snapshots, components)
 
 
 def clean_vorticity(w: SpectralField) -> SpectralField:

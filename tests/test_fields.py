@@ -379,3 +379,31 @@ def test_small_native_files_are_opened_by_tasks(spark, tmp_path):
     (tmp_path / "n" / "f003").unlink()
     with pytest.raises(ValueError):
         io.read_binaries(spark, {3: name(3)}, f.grid, 1)
+
+
+def test_xlines_are_a_series_of_their_own(spark, tmp_path, monkeypatch):
+    """Only the lines' values are brought together and stored, with what SQL gives; lines of points give the same."""
+    import duckdb
+
+    from fieldlake.plans import motion
+    from fieldlake.plans import views as V
+
+    rng = np.random.default_rng(6)
+    e = [(k, [float(x) for x in rng.normal(size=64).round(3)]) for k in [*range(90), 4, 4, 95]]
+    e += [(96, [1.0] * 64), (97, None), (98, [2.0] * 64), (99, [None, 5.0]), (100, [1.0] * 40), (101, [3.0] * 64), (101, [4.0] * 3), (102, []), (103, [1.0]), (104, [1.0]), (None, [1.0] * 64)]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = motion.SQL["s4_xline"].replace("WITH ", f"WITH embeddings AS (SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'), ", 1)
+    want = duckdb.sql(f"{sql} ORDER BY ALL").fetchall()
+    v, at = V.vec3d(spark, str(tmp_path)), f"file://{tmp_path}/s"
+    plan = io.xline(v).whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan[plan.index("Aggregate") :]
+    for odd in (1, 0):
+        io.append_xlines(v.of_snapshots(F.col("snapshot") % 2 == odd), at, "v")
+    back = io.read_xlines(spark, at, "v", v.grid, components=3)
+    rows = lambda f: sorted(map(tuple, f.df.selectExpr("snapshot", "iz", "iy", "ix", *[f"round(v{c}, 6) + 0.0D" for c in range(3)]).collect()))
+    assert len(want) == 30 * 4 + 1 and rows(back) == want and back.grid == Grid(4)
+    assert rows(io.read_xlines(spark, at, "v", v.grid, [3])) == [x for x in want if x[0] == 3]
+    io.append_xlines(v.with_df(v.df), at, "points")
+    assert rows(io.read_xlines(spark, at, "points", v.grid)) == want
+    monkeypatch.setattr(motion, "new_path", lambda s, name: f"file://{tmp_path}/q")
+    assert motion.QUERIES["s4_xline"](spark, str(tmp_path)).count() == sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "q").rglob("real")) == len(want)
