@@ -96,6 +96,21 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
+def joined(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many documents in one vector, with edges around each, and where each begins."""
+    edge = np.full(SIDE, _EDGE, np.int16).tobytes()
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents)) // 2 + SIDE
+    return np.frombuffer(edge + edge.join([*documents, b""]), np.int16), SIDE + np.cumsum(sizes) - sizes
+
+
+def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As ``windows``, in a vector of ``joined``."""
+    out = np.empty((len(at), 2 * SIDE), np.int16)
+    for slot, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k):
+        out[:, slot] = ids[at + k]
+    return out
+
+
 def _logits(w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
     """Weights with the bias as their last row, less a bound of all logits; whether that bound is near them all."""
     # Hidden units lie between -1 and 1, so no logit is above this bound; where it may be far above them all, the rows' own maxima.
@@ -126,8 +141,13 @@ def _softmax(h: np.ndarray, w: np.ndarray, near: bool, target: np.ndarray, learn
 Update = Callable[[str, object, np.ndarray], None]
 
 
-def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, update: Update | None = None) -> np.ndarray:
-    """Log-probabilities of the targets; ``update`` gets the gradients, each after its weight's last use.  Targets come sorted."""
+def ready_logits(p: dict[str, np.ndarray]) -> dict[object, tuple[np.ndarray, bool]]:
+    """What ``_logits`` gives for each softmax of weights that stay as they are: ... is that over classes."""
+    return {...: _logits(p["wc"], p["bc"])} | {k: _logits(p["wo"][k], p["bo"][k]) for k in range(CLASSES)}
+
+
+def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, update: Update | None = None, known: dict[object, tuple[np.ndarray, bool]] | None = None) -> np.ndarray:
+    """Log-probabilities of the targets; ``update`` gets the gradients, each after its weight's last use.  Targets come sorted; ``known`` is from ``ready_logits``."""
     n = len(target)
     x = p["e"].take(context.ravel(), 0).reshape(n, -1)
     a = x @ p["w"]
@@ -141,7 +161,7 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
     def run(name: str, rows: object, lo: int, hi: int, own: np.ndarray) -> None:
         """A softmax for the rows from ``lo`` to ``hi``, in blocks that stay in the processor's cache."""
         w, both = p["w" + name][rows], 0
-        ready, near = _logits(w, p["b" + name][rows])  # once for all blocks
+        ready, near = _logits(w, p["b" + name][rows]) if known is None else known[rows]  # once for all blocks
         for at in range(lo, hi, BLOCK):
             block = slice(at, min(at + BLOCK, hi))
             found, g, total = _softmax(h[block], ready, near, own[block], update is not None)
@@ -149,10 +169,10 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
             if update is not None:
                 total = (1 / total)[:, None]
                 dh[block] += (g @ w.T) * total
-                both = both + (h[block] * total).T @ g
+                both = both + g.T @ (h[block] * total)
         if update is not None:
-            update("w" + name, rows, both[:-1])
-            update("b" + name, rows, both[-1])
+            update("w" + name, rows, both[:, :-1].T)
+            update("b" + name, rows, both[:, -1])
 
     run("c", ..., 0, n, cls)
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
@@ -161,7 +181,7 @@ def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, u
     if update is not None:
         da = dh * d * d
         dx = (p["w"] @ da.T).reshape(2 * SIDE, DIM, n)
-        update("w", ..., x.T @ da)
+        update("w", ..., (da.T @ x).T)
         update("b", ..., da.sum(0))
         slots = context.T.ravel().astype(np.intp)
         update("e", ..., np.stack([np.bincount(slots, dx[:, k].ravel(), VOCABULARY + 1) for k in range(DIM)], 1).astype(x.dtype))
@@ -200,9 +220,13 @@ class Trainer:
 
             def update(name: str, rows: object, g: np.ndarray, n=n) -> None:
                 g = g / n
-                square = self.squares[name][rows] + g * g
-                self.squares[name][rows] = square
-                self.p[name][rows] -= np.float32(RATE) * g / np.sqrt(square)
+                square, own = self.squares[name][rows], self.p[name][rows]  # views
+                root = g * g
+                square += root
+                np.sqrt(square, out=root)
+                g *= np.float32(RATE)
+                g /= root
+                own -= g
 
             forward(self.p, context[by], target[by], update)
 
@@ -306,18 +330,17 @@ class Network:
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each document the sum of its words' log-probabilities; ``ids`` are those of all, one after another."""
         p, out = parts(self.flat), np.zeros(len(sizes))
+        known = ready_logits(p)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        padded = np.full(len(ids) + 2 * SIDE, _EDGE, np.int16)
-        padded[SIDE : SIDE + len(ids)] = ids
-        same = np.full(len(padded), -1, np.int64)
-        same[SIDE : SIDE + len(ids)] = owner
+        place = np.arange(len(ids)) + SIDE * (owner + 1)  # edges stand between documents
+        padded = np.full(len(ids) + SIDE * (len(sizes) + 1), _EDGE, np.int16)
+        padded[place] = ids
         for lo in range(0, len(ids), SCORE_WORDS):
             n = min(SCORE_WORDS, len(ids) - lo)
             target, own = ids[lo : lo + n], owner[lo : lo + n]
             by = np.argsort(target, kind="stable")  # 16-bit: a radix sort
-            context = np.stack([np.where(same[lo + k : lo + k + n] == own, padded[lo + k : lo + k + n], _EDGE) for k in range(2 * SIDE + 1) if k != SIDE], 1)
             first = own[0]
-            s = np.bincount(own[by] - first, forward(p, context[by], target[by]))
+            s = np.bincount(own[by] - first, forward(p, around(padded, place[lo + by]), target[by], known=known))
             out[first : first + len(s)] += s
         return out
 
@@ -382,10 +405,24 @@ def fit(docs: DataFrame) -> tuple[Network, DataFrame]:
     return network, encoded
 
 
+def first_masked(raw: bytes, k: int, rounds: int = ROUNDS, stride: int = STRIDE) -> int:
+    """The first position of a document's ids that round ``k`` masks, if it has so many."""
+    return (crc32(raw[:64]) + k * max(1, stride // rounds)) % stride
+
+
 def masked(raw: bytes, k: int, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
     """The positions of a document's ids that round ``k`` masks: where rounds are as many as the stride, each position is masked in one of them."""
-    first = (crc32(raw[:64]) + k * max(1, stride // rounds)) % stride
-    return np.arange(first, len(raw) // 2, stride)
+    return np.arange(first_masked(raw, k, rounds, stride), len(raw) // 2, stride)
+
+
+def all_masked(documents: list[bytes], firsts: list[int], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and ids of every document's masked positions, in order."""
+    ids, starts = joined(documents)
+    firsts = np.array(firsts, np.int64)
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents)) // 2
+    many = np.maximum(0, (sizes - firsts + stride - 1) // stride)
+    at = np.repeat(starts + firsts - stride * (np.cumsum(many) - many), many) + stride * np.arange(many.sum())
+    return around(ids, at), ids[at]
 
 
 def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
@@ -398,12 +435,16 @@ def train(encoded: DataFrame, frequent: list[str], counts: np.ndarray, rounds: i
         def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
             keep_memory()
             trainer = Trainer(sent.value)
+            held, firsts, waiting = [], [], 0
             for batch in batches:
                 for raw in batch.column("ids").to_pylist():
-                    x = np.frombuffer(raw, np.int16)
-                    at = masked(raw, k, rounds, stride)
-                    if len(at):
-                        trainer.add(windows(x, at), x[at])
+                    held.append(raw)
+                    firsts.append(first_masked(raw, k, rounds, stride))
+                    waiting += max(0, -((firsts[-1] - len(raw) // 2) // stride))
+                    if waiting >= BATCHES * BATCH:  # as many as the trainer takes at once
+                        trainer.add(*all_masked(held, firsts, stride))
+                        held, firsts, waiting = [], [], 0
+            trainer.add(*all_masked(held, firsts, stride))
             trainer.flush()
             share = trainer.share()
             chunks = [(i, share[lo : lo + CHUNK]) for i, lo in enumerate(range(0, len(share), CHUNK)) if share[lo : lo + CHUNK].any()]

@@ -143,6 +143,28 @@ def test_rounds_mask_every_position_once():
         assert sorted(np.concatenate(masked)) == list(range(n))
 
 
+def test_many_documents_are_masked_at_once_as_one_by_one():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, lm_score.VOCABULARY, n).astype(np.int16).tobytes() for n in [*range(12), 0, 500, 1, 0]]
+    for documents in (docs, docs[:1], docs[5:6], []):
+        for k in range(lm_score.ROUNDS):
+            context, target = lm_score.all_masked(documents, [lm_score.first_masked(raw, k) for raw in documents])
+            own = [(np.frombuffer(raw, np.int16), lm_score.masked(raw, k)) for raw in documents]
+            assert target.tolist() == [i for x, at in own for i in x[at]]
+            assert context.tolist() == [w for x, at in own for w in lm_score.windows(x, at).tolist()]
+
+
+def test_scoring_prepares_its_softmaxes_once(monkeypatch):
+    """Not for each slice of words anew; what comes out is the same."""
+    rng = np.random.default_rng(10)
+    net = lm_score.Network([], lm_score.initial(rng.integers(1, 99, lm_score.VOCABULARY).astype(float)))
+    ids, sizes = rng.integers(0, lm_score.VOCABULARY, 5000).astype(np.int16), np.array([2500, 0, 2400, 100])
+    whole, calls, kept = net.score(ids, sizes), [], lm_score._logits
+    monkeypatch.setattr(lm_score, "SCORE_WORDS", 500)
+    monkeypatch.setattr(lm_score, "_logits", lambda *a: calls.append(a) or kept(*a))
+    assert np.allclose(net.score(ids, sizes), whole, rtol=1e-6) and len(calls) == lm_score.CLASSES + 1
+
+
 def test_short_documents_train_with_production_values(spark):
     """Every document is shorter than the positions that were once skipped."""
     train = frame(spark, [t for _ in range(1500) for t in ("the red house", "a blue boat", "old green hill")])
